@@ -416,9 +416,9 @@ seen AS (
   FROM runs WHERE epoch < 50),
 marked AS (
   SELECT *, max(CASE WHEN before IS NULL OR val_loss < before THEN epoch END)
-           OVER (PARTITION BY run ORDER BY epoch) AS at FROM seen),
-stops AS (SELECT run, coalesce(min(epoch) FILTER (WHERE epoch - at >= 5), max(epoch)) AS stop_epoch FROM marked GROUP BY run)
-SELECT run, stop_epoch, max(at) AS best_epoch, min(val_loss) AS best_loss
+           OVER (PARTITION BY run ORDER BY epoch) AS top FROM seen),
+stops AS (SELECT run, coalesce(min(epoch) FILTER (WHERE epoch - top >= 5), max(epoch)) AS stop_epoch FROM marked GROUP BY run)
+SELECT run, stop_epoch, max(top) AS best_epoch, min(val_loss) AS best_loss
 FROM marked JOIN stops USING (run) WHERE epoch <= stop_epoch GROUP BY run, stop_epoch""")
 def early_stop_epoch(spark, sf):
     return metrics.early_stop_epoch(_runs(spark, sf))

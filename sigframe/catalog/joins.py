@@ -175,6 +175,6 @@ best AS (SELECT user_id, pos, neighbor, d FROM pairs
 SELECT user_id, pos, round(d, 4) AS distance, neighbor FROM z LEFT JOIN best USING (user_id, pos)""")
 def matrix_profile(spark, sf):
     found = profile.matrix_profile(
-        table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 8
+        table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 8, block=32
     )
     return found.withColumn("distance", F.round("distance", 4))

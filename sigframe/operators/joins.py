@@ -12,8 +12,9 @@ from sigframe.functions.kernels import nearest_udf
 from sigframe.operators.ranking import global_rank
 from sigframe.runtime import durable
 
-# Bytes of centroids a task may hold at a time; larger codebooks go block by block.
-CODEBOOK_BYTES = 256 * 1024 * 1024
+# Centroids a task may hold at a time; larger codebooks go block by block.  At 2,048
+# doubles each this is 512 MB, at the usual 20 it is 5 MB.
+MAX_CENTROIDS = 32_768
 
 
 def join_cluster_labels(
@@ -83,8 +84,13 @@ def time_bucket_join(
     return left.join(right, [file, edge], "inner")
 
 
-def _centroid_matrix(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = codebook.orderBy("token").collect()
+def small_table(df: DataFrame, key: str, max_rows: int) -> list | None:
+    """The rows of ``df`` in key order if there are at most ``max_rows``, else None."""
+    rows = df.orderBy(key).limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
+def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["token"] for r in rows]), np.array([r["centroid"] for r in rows])
 
 
@@ -94,34 +100,31 @@ def nearest_centroid(
     codebook: DataFrame,
     out: str = "token",
     distance: str | None = None,
-    max_bytes: int = CODEBOOK_BYTES,
+    max_centroids: int = MAX_CENTROIDS,
 ) -> DataFrame:
     """Add the token of the nearest centroid by Euclidean distance, lowest on ties.
 
-    ``codebook`` has columns ``token`` and ``centroid``.  Its size is measured
-    first.  Up to ``max_bytes`` it is broadcast whole and the search is a map.
-    Beyond, blocks of it are applied one after the other, each to a durable table
-    that carries the best hit so far, so the result is the same.  Null vectors
-    get a null token.  ``distance`` names an optional column with the squared
-    distance.
+    ``codebook`` has columns ``token`` and ``centroid``.  One of up to
+    ``max_centroids`` is broadcast whole and the search is a map.  Of a larger
+    one, blocks are applied one after the other, each to a durable table that
+    carries the best hit so far, so the result is the same.  Null vectors get a
+    null token.  ``distance`` names an optional column with the squared distance.
     """
     spark = df.sparkSession
-    measured = codebook.agg(
-        F.count("*").alias("k"), F.coalesce(F.max(F.size("centroid")), F.lit(0)).alias("d")
-    ).first()
-    if measured["k"] == 0:
-        raise ValueError("the codebook is empty")
-    per_block = max(1, max_bytes // (8 * max(1, measured["d"])))
-    if measured["k"] <= per_block:
-        found = df.withColumn("_hit", nearest_udf(spark, *_centroid_matrix(codebook))(F.col(vec)))
+    book = codebook.select("token", "centroid")
+    rows = small_table(book, "token", max_centroids)
+    if rows is not None:
+        if not rows:
+            raise ValueError("the codebook is empty")
+        found = df.withColumn("_hit", nearest_udf(spark, *_matrix(rows))(F.col(vec)))
     else:
-        numbered = durable(global_rank(codebook.select("token", "centroid"), ["token"], "_at"))
+        numbered = durable(global_rank(book, ["token"], "_at"), "codebook")
         found = df.withColumn("_hit", F.lit(None).cast("struct<distance:double,token:bigint>"))
-        for start in range(0, measured["k"], per_block):
-            block = numbered.where(F.col("_at").between(start, start + per_block - 1))
-            search = nearest_udf(spark, *_centroid_matrix(block))
+        for start in range(0, numbered.count(), max_centroids):
+            block = numbered.where(F.col("_at").between(start, start + max_centroids - 1))
+            search = nearest_udf(spark, *_matrix(block.orderBy("token").collect()))
             # least() skips nulls and compares distance before token.
-            found = durable(found.withColumn("_hit", F.least("_hit", search(F.col(vec)))))
+            found = durable(found.withColumn("_hit", F.least("_hit", search(F.col(vec)))), "nearest")
     found = found.withColumn(out, F.col("_hit.token"))
     if distance is not None:
         found = found.withColumn(distance, F.col("_hit.distance"))

@@ -151,22 +151,23 @@ def matrix_profile(
     )
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = batch.iloc[i]
-                starts = row["_a_block"] * block, row["_block"] * block
-                a, a_flat = normalized(np.asarray(row["_a_values"], dtype=np.float64), m)
-                b, b_flat = normalized(np.asarray(row["_values"], dtype=np.float64), m)
+        slices = (b.iloc[i : i + GROUP] for b in batches for i in range(0, len(b), GROUP))
+        for some in slices:
+            ends = []
+            for i, j, left_values, right_values in zip(
+                some["_a_block"], some["_block"], some["_a_values"], some["_values"]
+            ):
+                a, a_flat = normalized(np.asarray(left_values, dtype=np.float64), m)
+                b, b_flat = normalized(np.asarray(right_values, dtype=np.float64), m)
                 down, down_at, up, up_at = best_matches(
-                    a, a_flat, starts[0], b, b_flat, starts[1], zone
-                )
-                keys = {c: row[c] for c in by}
-                yield pd.DataFrame(
-                    [
-                        {**keys, "_block": row["_a_block"], "_best": down, "_at": starts[1] + down_at},
-                        {**keys, "_block": row["_block"], "_best": up, "_at": starts[0] + up_at},
-                    ]
+                    a, a_flat, i * block, b, b_flat, j * block, zone
                 )
+                ends.append((i, down, j * block + down_at, j, up, i * block + up_at))
+            for side in (ends_of(ends, 0), ends_of(ends, 3)):
+                yield some[by].assign(**side)
+
+    def ends_of(ends: list[tuple], first: int) -> dict[str, list]:
+        return {c: [e[first + k] for e in ends] for k, c in enumerate(("_block", "_best", "_at"))}
 
     key_schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
     key_schema = f"{key_schema}, " if by else ""

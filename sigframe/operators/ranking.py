@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigframe.runtime import durable, join_null_safe, shuffle_width
+from sigframe.runtime import durable, shuffle_width
 
 
 def order_number(df: DataFrame, column: str) -> Column:
@@ -71,22 +71,26 @@ def group_rank(
         sliced = df.withColumn("_slice", slice_of)
     else:
         sliced = _with_slice(df, order[0], slices or min(1000, 4 * shuffle_width(df.sparkSession)))
-    sizes = sliced.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One struct key: null group values compare equal inside it, and the window, the
+    # counts and the join all share its partitioning, so rows are shuffled once.
+    names = [f"k{i}" for i in range(len(by))]
+    key = F.struct(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_slice").alias("slice"))
+    keyed = sliced.withColumn("_key", key).drop("_slice")
+    sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*[F.col(f"_key.{n}") for n in names])
+    earlier = group.orderBy("_key.slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *by,
-        "_slice",
+        F.col("_key").alias("_of"),
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(group).alias("_total"),
     )
-    local = Window.partitionBy(*by, "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_local", F.row_number().over(local) - 1)
-    ranked = join_null_safe(numbered, offsets, [*by, "_slice"])
+    local = Window.partitionBy("_key").orderBy(*order)
+    numbered = keyed.withColumn("_local", F.row_number().over(local) - 1)
+    ranked = numbered.join(offsets, F.col("_key") == F.col("_of"))
     ranked = ranked.withColumn(out, F.col("_local") + F.col("_before"))
     if size is not None:
         ranked = ranked.withColumn(size, F.col("_total"))
-    return ranked.drop("_slice", "_local", "_before", "_total")
+    return ranked.drop("_key", "_of", "_local", "_before", "_total")
 
 
 def global_rank(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
@@ -100,11 +104,11 @@ def global_rank(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
     placed = durable(
         df.repartitionByRange(runs, *order)
         .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id()),
+        .withColumn("_row_id", F.monotonically_increasing_id()),
         "ranked",
     )
-    run = F.shiftright("_at", 33)
-    # Row ids restart at run * 2^33, so a row's offset in its run is _at minus that.
+    run = F.shiftright("_row_id", 33)
+    # Row ids restart at run * 2^33, so a row's offset in its run is the id minus that.
     sizes = placed.groupBy(run.alias("_run")).agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -113,8 +117,8 @@ def global_rank(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
     return (
         placed.withColumn("_run", run)
         .join(F.broadcast(starts), "_run")
-        .withColumn(out, F.col("_at") - F.shiftleft(F.col("_run"), 33) + F.col("_before"))
-        .drop("_at", "_run", "_before")
+        .withColumn(out, F.col("_row_id") - F.shiftleft(F.col("_run"), 33) + F.col("_before"))
+        .drop("_row_id", "_run", "_before")
     )
 
 

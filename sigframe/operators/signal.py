@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigframe.functions.kernels import dense_udf, power_bands_udf
-from sigframe.runtime import join_null_safe
 
 
 def series_duration(samples: str = "samples", rate: str = "sample_rate") -> Column:
@@ -129,51 +128,40 @@ def resample(
 ) -> DataFrame:
     """One mean value per time step and series, empty steps filled from the last one.
 
-    Steps are worked on in chunks of ``chunk``: the fill runs inside a chunk, and
-    the last value of the chunks before is carried in, so a long series is spread
-    over many tasks.  Output: ``by..., step, t, value``.
+    Every step with values is repeated up to the next such step.  That step is
+    looked up inside a chunk of ``chunk`` steps, and for the last one of a chunk in
+    a table with one row per chunk, so a long series is spread over many tasks.
+    Rows without time or value are ignored.  Output: ``by..., step, t, value``.
     """
+    names = [f"k{i}" for i in range(len(by))]
+    series = [F.col(c).alias(n) for c, n in zip(by, names)]
     stepped = (
-        df.where(F.col(order).isNotNull())
+        df.where(F.col(order).isNotNull() & F.col(value).isNotNull())
         .groupBy(*by, F.floor(F.col(order) / step).cast("bigint").alias("step"))
-        .agg(F.avg(value).alias("_v"))
+        .agg(F.avg(value).alias("value"))
+        .withColumn("_key", F.struct(*series, _chunk_of(F.col("step"), chunk).alias("chunk")))
     )
-    chunk_no = F.floor(F.col("step") / chunk).cast("bigint")
-    spans = stepped.groupBy(*by).agg(F.min("step").alias("_lo"), F.max("step").alias("_hi"))
-    first_chunk = F.floor(F.col("_lo") / chunk).cast("bigint")
-    last_chunk = F.floor(F.col("_hi") / chunk).cast("bigint")
-    grid = spans.withColumn("_chunk", F.explode(F.sequence(first_chunk, last_chunk))).select(
-        *by,
-        "_chunk",
-        F.explode(
-            F.sequence(
-                F.greatest("_lo", F.col("_chunk") * chunk),
-                F.least("_hi", (F.col("_chunk") + 1) * chunk - 1),
-            )
-        ).alias("step"),
+    firsts = stepped.groupBy("_key").agg(F.min("step").alias("_first"))
+    along = Window.partitionBy(*[F.col(f"_key.{n}") for n in names]).orderBy("_key.chunk")
+    following = firsts.select(F.col("_key").alias("_of"), F.lead("_first").over(along).alias("_next"))
+    inside = Window.partitionBy("_key").orderBy("step")
+    held = (
+        stepped.withColumn("_lead", F.lead("step").over(inside))
+        .join(following, F.col("_key") == F.col("_of"))
+        .withColumn("_end", F.coalesce("_lead", "_next", F.col("step") + 1) - 1)
     )
-    held = join_null_safe(
-        grid, stepped.withColumn("_chunk", chunk_no), [*by, "_chunk", "step"], "left"
-    )
-    upto = Window.partitionBy(*by, "_chunk").orderBy("step")
-    filled = held.withColumn("_in", F.last("_v", ignorenulls=True).over(upto))
-    ends = (
-        stepped.withColumn("_chunk", chunk_no)
-        .where(F.col("_v").isNotNull())
-        .groupBy(*by, "_chunk")
-        .agg(F.max_by("_v", "step").alias("_end"))
-    )
-    chunks = spans.withColumn("_chunk", F.explode(F.sequence(first_chunk, last_chunk)))
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = join_null_safe(chunks.select(*by, "_chunk"), ends, [*by, "_chunk"], "left").select(
-        *by, "_chunk", F.last("_end", ignorenulls=True).over(before).alias("_carry")
-    )
-    return join_null_safe(filled, carried, [*by, "_chunk"], "left").select(
-        *by,
-        "step",
-        (F.col("step") * step).alias("t"),
-        F.coalesce("_in", "_carry").alias("value"),
+    # A wide gap is unrolled chunk by chunk, so no array exceeds one chunk.
+    chunks = F.sequence(_chunk_of(F.col("step"), chunk), _chunk_of(F.col("_end"), chunk))
+    low = F.greatest("step", F.col("_c") * chunk)
+    high = F.least("_end", (F.col("_c") + 1) * chunk - 1)
+    filled = held.withColumn("_c", F.explode(chunks)).select(
+        *by, "value", F.explode(F.sequence(low, high)).alias("step")
     )
+    return filled.select(*by, "step", (F.col("step") * step).alias("t"), "value")
+
+
+def _chunk_of(position: Column, chunk: int) -> Column:
+    return F.floor(position / chunk).cast("bigint")
 
 
 def embed_clips(

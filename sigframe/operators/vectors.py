@@ -15,6 +15,9 @@ from sigframe.functions.kernels import dense_udf
 
 CLIP_KEYS = ("file", "start_time", "end_time")
 
+# Widest vector whose elements are aggregated one by one.
+NARROW = 32
+
 
 def pack_vector(
     df: DataFrame, keys: Sequence[str] = CLIP_KEYS, vec: str = "embedding", size: int | None = None
@@ -66,8 +69,15 @@ def missing_vectors(df: DataFrame, by: list[str], vec: str = "embedding") -> Dat
     )
 
 
-def mean_std_columns(vec: str) -> Column:
-    """Aggregate: means followed by population standard deviations, as one array."""
+def mean_std_columns(vec: str, width: int | None = None) -> Column:
+    """Aggregate: means followed by population standard deviations, as one array.
+
+    For vectors known to be of a small ``width`` plain aggregates per element are
+    used; they stay in Spark's hash aggregate however many groups there are.
+    """
+    if width is not None and width <= NARROW:
+        items = [F.get(vec, F.lit(i)).cast("double") for i in range(width)]
+        return F.array(*[F.avg(x) for x in items], *[F.stddev_pop(x) for x in items])
     stats = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vec)))
     n = stats["count"].cast("double")
     to_std = F.transform(

@@ -23,7 +23,7 @@ from sigframe.operators.joins import lookup_map
 from sigframe.operators.metrics import best_run, macro_scores
 from sigframe.operators.ranking import global_rank
 from sigframe.operators.sampling import stratified_folds
-from sigframe.runtime import durable
+from sigframe.runtime import durable, spread
 
 
 def label_index(df: DataFrame, label: str, out: str = "idx") -> DataFrame:
@@ -75,7 +75,7 @@ def train_classifier(
     seed: int = 42,
 ) -> FittedClassifier:
     """Network of one hidden layer on vectors ``vec`` with class index ``label``."""
-    data = _with_features(df, vec)
+    data = _with_features(spread(df.select(vec, label), vec, label), vec)
     shape = data.agg(F.max(F.size(vec)).alias("d"), (F.max(label) + 1).alias("c")).first()
     learner = MultilayerPerceptronClassifier(
         layers=[int(shape["d"]), hidden, max(2, int(shape["c"]))],

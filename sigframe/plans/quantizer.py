@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sigframe.operators.joins import nearest_centroid
 from sigframe.operators.vectors import rotate
+from sigframe.runtime import spread
 
 CODEBOOK_SCHEMA = "token bigint, centroid array<double>"
 
@@ -45,7 +46,7 @@ def fit_kmeans(
     df: DataFrame, vec: str, k: int, iters: int = 25, seed: int = 42, restarts: int = 1
 ) -> KMeansModel:
     """The model of lowest training cost over ``restarts`` seeds."""
-    train = _features(df, vec).select("_features").persist()
+    train = _features(spread(df.select(vec), vec), vec).select("_features").persist()
     try:
         models = [
             KMeans(k=k, maxIter=iters, seed=seed + i, featuresCol="_features").fit(train)
