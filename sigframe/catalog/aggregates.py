@@ -168,17 +168,30 @@ def missing_vectors(spark, sf):
     return vectors.missing_vectors(holes, ["label"])
 
 
-@query("vector_mean_std", f"""WITH {FRAMES},
-stats AS (
+MEAN_STD = """stats AS (
   SELECT file, avg(mfcc[i]) AS m, stddev_pop(mfcc[i]) AS s, i, count(*) AS n
   FROM frames, unnest(range(1, 5)) AS t(i) GROUP BY file, i)
 SELECT file, n, i - 1 AS pos, round(m, 5) AS value FROM stats UNION ALL
-SELECT file, n, i + 3 AS pos, round(s, 5) AS value FROM stats""")
+SELECT file, n, i + 3 AS pos, round(s, 5) AS value FROM stats"""
+
+
+@query("vector_mean_std", f"WITH {FRAMES}, {MEAN_STD}")
 def vector_mean_std(spark, sf):
-    stats = vectors.vector_mean_std(frames(spark, sf), ["file"], "mfcc")
+    stats = vectors.vector_mean_std(frames(spark, sf), ["file"], "mfcc", width=4)
     return vectors.long_form(stats, ["file", "n"], "stats").withColumn("value", rounded("value", 5))
 
 
+@query("vector_mean_std_wide", f"""WITH {CLIPS},
+stats AS (
+  SELECT class, avg(embedding[i]) AS m, stddev_pop(embedding[i]) AS s, i, count(*) AS n
+  FROM clips, unnest(range(1, 65)) AS t(i) GROUP BY class, i)
+SELECT class, n, i - 1 AS pos, round(m, 5) + 0e0 AS value FROM stats UNION ALL
+SELECT class, n, i + 63 AS pos, round(s, 5) + 0e0 AS value FROM stats""")
+def vector_mean_std_wide(spark, sf):
+    stats = vectors.vector_mean_std(clips(spark, sf), ["class"])
+    return vectors.long_form(stats, ["class", "n"], "stats").withColumn("value", rounded("value", 5))
+
+
 @query("bucket_features", f"""WITH {FRAMES}, {CODEBOOK}, {PROTOTYPES},
 points AS (SELECT DISTINCT mfcc FROM frames),
 measured AS (

@@ -94,7 +94,7 @@ def codebook(spark: SparkSession, sf: str) -> DataFrame:
     """``token, centroid``: the mean frame of each bin."""
     from sigframe.operators.vectors import mean_vector
 
-    means = mean_vector(frames(spark, sf), ["bin"], "mfcc")
+    means = mean_vector(frames(spark, sf), ["bin"], "mfcc", width=4)
     return means.select(F.col("bin").alias("token"), F.col("mfcc").alias("centroid"))
 
 

@@ -24,7 +24,7 @@ BLOCK_CELLS = 4_000_000
 
 def rows_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Dense matrix of the non-null vectors, and the mask of rows that have one."""
-    present = np.asarray(column.is_valid())
+    present = np.array(column.is_valid())
     flat = column.flatten().to_numpy(zero_copy_only=False)
     lengths = column.drop_null().value_lengths().to_numpy(zero_copy_only=False)
     if (lengths != width).any():
@@ -78,6 +78,10 @@ def nearest_udf(spark: SparkSession, tokens: np.ndarray, centroids: np.ndarray):
         ids, matrix = shared.value
         points, present = rows_of(vectors, matrix.shape[1])
         index, distance = nearest_rows(points, matrix)
+        # A vector with a missing or NaN element is near to nothing.
+        finite = np.isfinite(distance)
+        present[present] = finite
+        index, distance = index[finite], distance[finite]
         token = np.zeros(len(present), dtype=np.int64)
         gap = np.zeros(len(present), dtype=np.float64)
         token[present], gap[present] = ids[index], distance
@@ -105,20 +109,27 @@ def dense_udf(
         [(np.asarray(w, dtype=np.float64), np.asarray(b, dtype=np.float64)) for w, b in layers]
     )
 
+    def activate(x: np.ndarray, kind: str) -> np.ndarray:
+        if kind == "relu":
+            return np.maximum(x, 0.0)
+        if kind == "sigmoid":
+            return 1.0 / (1.0 + np.exp(-x))
+        if kind == "softmax":
+            x = np.exp(x - x.max(axis=1, keepdims=True))
+            return x / x.sum(axis=1, keepdims=True)
+        return x
+
     def forward(vectors: pa.Array) -> pa.Array:
         stack = shared.value
-        x, present = rows_of(vectors, stack[0][0].shape[0])
-        for i, (weight, bias) in enumerate(stack):
-            x = x @ weight + bias
-            kind = final if i == len(stack) - 1 else hidden
-            if kind == "relu":
-                x = np.maximum(x, 0.0)
-            elif kind == "sigmoid":
-                x = 1.0 / (1.0 + np.exp(-x))
-            elif kind == "softmax":
-                x = np.exp(x - x.max(axis=1, keepdims=True))
-                x /= x.sum(axis=1, keepdims=True)
-        return arrays_from(x, present, pa.float64())
+        points, present = rows_of(vectors, stack[0][0].shape[0])
+        out = np.empty((len(points), stack[-1][0].shape[1]))
+        step = max(1, BLOCK_CELLS // max(w.shape[1] for w, _ in stack))
+        for start in range(0, len(points), step):
+            x = points[start : start + step]
+            for i, (weight, bias) in enumerate(stack):
+                x = activate(x @ weight + bias, final if i == len(stack) - 1 else hidden)
+            out[start : start + step] = x
+        return arrays_from(out, present, pa.float64())
 
     return F.arrow_udf(forward, "array<double>")
 

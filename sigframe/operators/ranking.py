@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from sigframe.runtime import durable, shuffle_width
 
 
+# Cut points are literals of the plan, so their number is limited.
+MAX_SLICES = 10_000
+
+
 def order_number(df: DataFrame, column: str) -> Column:
     """The column as a double that never decreases where the column does not."""
     kind, c = dict(df.dtypes)[column], F.col(column)
@@ -29,7 +33,8 @@ def order_number(df: DataFrame, column: str) -> Column:
 def cut_points(df: DataFrame, column: str, slices: int) -> list[float]:
     """At most ``slices - 1`` increasing values that split ``column`` evenly."""
     shares = [i / slices for i in range(1, slices)]
-    found = df.agg(F.percentile_approx(order_number(df, column), shares)).first()[0]
+    accuracy = max(10_000, 10 * slices)
+    found = df.agg(F.percentile_approx(order_number(df, column), shares, accuracy)).first()[0]
     return sorted({v for v in found or [] if v == v and abs(v) != float("inf")})
 
 
@@ -70,7 +75,9 @@ def group_rank(
     if slice_of is not None:
         sliced = df.withColumn("_slice", slice_of)
     else:
-        sliced = _with_slice(df, order[0], slices or min(1000, 4 * shuffle_width(df.sparkSession)))
+        if slices is None:
+            slices = min(MAX_SLICES, 4 * shuffle_width(df.sparkSession))
+        sliced = _with_slice(df, order[0], slices)
     # One struct key: null group values compare equal inside it, and the window, the
     # counts and the join all share its partitioning, so rows are shuffled once.
     names = [f"k{i}" for i in range(len(by))]
@@ -128,6 +135,11 @@ def spread_key(column: str, seed: int) -> Column:
     return F.pmod(mixed * F.lit(2654435761), F.lit(4294967296))
 
 
-def spread_slice(key: Column, slices: int = 1024) -> Column:
-    """Slice of a key from :func:`spread_key`, not decreasing along the key."""
-    return F.floor(key * slices / F.lit(4294967296)).cast("int")
+def spread_slice(df: DataFrame, key: str) -> Column:
+    """Slice of a key from :func:`spread_key`, not decreasing along the key.
+
+    There are 16 slices per shuffle partition, so a group of a third of all rows
+    has windows of a small part of a partition.
+    """
+    slices = max(1024, 16 * shuffle_width(df.sparkSession))
+    return F.floor(F.col(key) * slices / F.lit(4294967296)).cast("int")

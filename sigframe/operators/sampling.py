@@ -87,7 +87,7 @@ def with_test_flag(
         ["_spread", unit_id],
         out="_pos",
         size="_n",
-        slice_of=spread_slice(F.col("_spread")),
+        slice_of=spread_slice(spread, "_spread"),
     )
     wanted = F.greatest(F.lit(1), F.floor(F.col("_n") * frac + 0.5))
     flag = F.col("_pos") < F.least(wanted, F.col("_n") - 1)
@@ -116,14 +116,17 @@ def stratified_folds(
     """Add a fold number 0..k-1; within a class fold sizes differ by at most one."""
     spread = _spread(df, id_col, seed)
     ranked = group_rank(
-        spread, [label], ["_spread", id_col], "_pos", slice_of=spread_slice(F.col("_spread"))
+        spread, [label], ["_spread", id_col], "_pos", slice_of=spread_slice(spread, "_spread")
     )
     return ranked.withColumn(out, (F.col("_pos") % k).cast("int")).drop("_spread", "_pos")
 
 
 def shuffle_rows(df: DataFrame, seed: int) -> DataFrame:
-    """Rows in random order."""
-    return df.orderBy(F.rand(seed))
+    """Rows in an order that depends on their content and the seed only.
+
+    A hash takes the place of random numbers, which a retried task would draw anew.
+    """
+    return df.orderBy(F.xxhash64(*df.columns, F.lit(seed)))
 
 
 def needed_sample(population: Column, confidence: int = 95, interval: float = 2.0) -> Column:

@@ -212,6 +212,6 @@ def group_map(
         return finish(merge(rows))
 
     states = df.mapInPandas(reduce_batches, state_schema)
-    salted = states.withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    salted = states.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     merged = salted.groupBy(*by, "_salt").applyInPandas(merge_salted, state_schema)
     return merged.groupBy(*by).applyInPandas(merge_finish, schema)

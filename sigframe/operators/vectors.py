@@ -42,19 +42,33 @@ def _present(df: DataFrame, vec: str) -> DataFrame:
     return df.where(F.col(vec).isNotNull())
 
 
-def mean_vector(df: DataFrame, by: list[str], vec: str = "embedding") -> DataFrame:
+def mean_vector(
+    df: DataFrame, by: list[str], vec: str = "embedding", width: int | None = None
+) -> DataFrame:
     """Element-wise mean per group, with the number ``n`` of vectors behind it.
 
     Sums are built before the shuffle, so a group of any size sends one partial
     sum per task.  Null vectors are left out (see :func:`missing_vectors`);
-    vectors of different lengths in one group raise.
+    vectors of different lengths in one group raise.  ``width`` states the length
+    of the vectors, see :func:`mean_std_columns`.
     """
-    mean = Summarizer.mean(array_to_vector(F.col(vec)))
-    return (
-        _present(df, vec)
-        .groupBy(*by)
-        .agg(vector_to_array(mean).alias(vec), F.count("*").alias("n"))
-    )
+    if width is not None and width <= NARROW:
+        mean = _checked(vec, width, [F.avg(x) for x in _elements(vec, width)])
+    else:
+        mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vec))))
+    return _present(df, vec).groupBy(*by).agg(mean.alias(vec), F.count("*").alias("n"))
+
+
+def _elements(vec: str, width: int) -> list[Column]:
+    return [F.get(vec, F.lit(i)).cast("double") for i in range(width)]
+
+
+def _checked(vec: str, width: int, aggregates: list[Column]) -> Column:
+    """The aggregates as an array, an error if a vector of the group has another width."""
+    size = F.size(vec)
+    right = (F.min(size) == width) & (F.max(size) == width)
+    failure = F.raise_error(F.lit(f"expected vectors of {width} values")).cast("array<double>")
+    return F.when(right, F.array(*aggregates)).otherwise(failure)
 
 
 def class_prototypes(df: DataFrame, label: str, vec: str = "embedding") -> DataFrame:
@@ -76,8 +90,10 @@ def mean_std_columns(vec: str, width: int | None = None) -> Column:
     used; they stay in Spark's hash aggregate however many groups there are.
     """
     if width is not None and width <= NARROW:
-        items = [F.get(vec, F.lit(i)).cast("double") for i in range(width)]
-        return F.array(*[F.avg(x) for x in items], *[F.stddev_pop(x) for x in items])
+        items = _elements(vec, width)
+        return _checked(
+            vec, width, [F.avg(x) for x in items] + [F.stddev_pop(x) for x in items]
+        )
     stats = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vec)))
     n = stats["count"].cast("double")
     to_std = F.transform(
@@ -88,11 +104,12 @@ def mean_std_columns(vec: str, width: int | None = None) -> Column:
 
 
 def vector_mean_std(
-    df: DataFrame, by: list[str], vec: str = "embedding", out: str = "stats"
+    df: DataFrame, by: list[str], vec: str = "embedding", out: str = "stats",
+    width: int | None = None,
 ) -> DataFrame:
     """Length 2d array per group: d means, then d population standard deviations."""
     return _present(df, vec).groupBy(*by).agg(
-        mean_std_columns(vec).alias(out), F.count("*").alias("n")
+        mean_std_columns(vec, width).alias(out), F.count("*").alias("n")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.util import DefaultParamsReader, MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ def write_partitioned(
     Rows of one value are dealt to ``spread`` tasks, so a large directory is not
     written by a single one.
     """
-    dealt = df.withColumn("_deal", F.pmod(F.xxhash64(*df.columns), F.lit(spread)))
+    # Dealt by content, so that a retried task deals the same way; maps have no hash.
+    plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    dealt = df.withColumn("_deal", F.pmod(F.xxhash64(*plain), F.lit(spread)))
     dealt = dealt.repartition(*by, "_deal").drop("_deal")
     dealt.write.mode(mode).partitionBy(*by).parquet(path)
 
@@ -96,6 +99,16 @@ def save_label_map(df: DataFrame, path: str, label: str = "label", idx: str = "i
     pairs.write.mode("overwrite").text(path)
 
 
+def save_model(model: MLWritable, path: str) -> None:
+    """Save a fitted Spark model, replacing what is at ``path``."""
+    model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str) -> MLWritable:
+    """Load a model of any class written by :func:`save_model`."""
+    return DefaultParamsReader.loadParamsInstance(path, spark)
+
+
 def save_report(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").json(path)
 

@@ -62,11 +62,11 @@ def test_nearest_whole_and_in_blocks(spark, points):
 
 
 def test_nearest_ties_take_the_lowest_token(frame):
-    df = frame([(1, [0.0]), (2, [10.0]), (3, None)], "i int, v array<float>")
+    df = frame([(1, [0.0]), (2, [10.0]), (3, None), (4, [float("nan")]), (5, [None])], "i int, v array<float>")
     book = frame([(9, [1.0]), (4, [-1.0]), (7, [-1.0]), (8, [1e6])], "token int, centroid array<double>")
     for limit in (10, 2):
         found = {r["i"]: r["token"] for r in joins.nearest_centroid(df, "v", book, max_centroids=limit).collect()}
-        assert found == {1: 4, 2: 9, 3: None}
+        assert found == {1: 4, 2: 9, 3: None, 4: None, 5: None}
 
 
 def test_nearest_rows_far_from_origin():

@@ -128,3 +128,15 @@ def test_submission(frame):
     assert [r["row_id"] for r in rows] == ["x_10", "x_5"]
     assert rows[0].asDict().keys() == {"row_id", "a", "b"}
     assert rows[0]["a"] == pytest.approx(np.e / (np.e + 1))
+
+
+def test_models_round_trip(spark, blobs, tmp_path):
+    from sigframe.sources import sinks
+
+    model = quantizer.fit_kmeans(blobs, "v", 4)
+    sinks.save_model(model, str(tmp_path / "kmeans"))
+    assert np.allclose(sinks.load_model(spark, str(tmp_path / "kmeans")).clusterCenters(), model.clusterCenters())
+    fitted = classifier.train_classifier(blobs, "v", "label", hidden=4, max_iter=5)
+    sinks.save_model(fitted.model, str(tmp_path / "net"))
+    again = classifier.FittedClassifier(sinks.load_model(spark, str(tmp_path / "net")), "v")
+    assert again.transform(blobs).select("id", "prediction").collect() == fitted.transform(blobs).select("id", "prediction").collect()

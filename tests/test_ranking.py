@@ -3,7 +3,6 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from sigframe.operators.ranking import global_rank, group_rank, spread_key, spread_slice
 
@@ -78,7 +77,7 @@ def test_global_rank_of_nothing(frame):
 
 def test_spread_slice_follows_the_key(spark):
     df = spark.range(5000).withColumn("k", spread_key("id", 42))
-    df = df.withColumn("s", spread_slice(F.col("k")))
+    df = df.withColumn("s", spread_slice(df, "k"))
     rows = sorted((r["k"], r["s"]) for r in df.collect())
     assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
     assert len({k for k, _ in rows}) == 5000
