@@ -138,7 +138,7 @@ SELECT 'l_quantity' AS "column", count(l_quantity) AS count, round(avg(l_quantit
        quantile_disc(l_quantity, 25e-2) AS p25, quantile_disc(l_quantity, 5e-1) AS p50,
        quantile_disc(l_quantity, 75e-2) AS p75 FROM lineitem""")
 def summary(spark, sf):
-    found = profile.summary(table(spark, sf, "lineitem"), ["l_quantity"])
+    found = profile.summary(table(spark, sf, "lineitem"), ["l_quantity"], accuracy=1_000_000)
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "stddev")})
 
 
@@ -246,17 +246,17 @@ SELECT user_id, count(*) AS n, round(avg(value * pi()), 6) AS mean, round(stddev
 FROM events GROUP BY user_id""")
 def group_map(spark, sf):
     def partial(rows):
-        v = rows["value"]
-        return rows.head(1)[["user_id"]].assign(n=len(v), s=v.sum(), q=(v * v).sum())
+        squared = rows.assign(q=rows["value"] ** 2)
+        sums = squared.groupby("user_id").agg(n=("value", "size"), s=("value", "sum"), q=("q", "sum"))
+        return sums.reset_index()
 
     def merge(states):
-        sums = states[["n", "s", "q"]].sum()
-        return states.head(1)[["user_id"]].assign(n=int(sums["n"]), s=sums["s"], q=sums["q"])
+        return states.groupby("user_id", as_index=False).sum()
 
-    def finish(state):
-        mean = state["s"] / state["n"]
-        std = ((state["q"] / state["n"] - mean * mean).clip(lower=0)) ** 0.5
-        return state[["user_id", "n"]].assign(mean=mean, std=std)
+    def finish(states):
+        mean = states["s"] / states["n"]
+        std = ((states["q"] / states["n"] - mean * mean).clip(lower=0)) ** 0.5
+        return states[["user_id", "n"]].assign(mean=mean, std=std)
 
     found = signal.group_map(
         table(spark, sf, "events").select("user_id", (F.col("value") * F.pi()).alias("value")),

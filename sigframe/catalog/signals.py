@@ -30,11 +30,16 @@ def long_duration(spark, sf):
 
 @query("clip_windows", """WITH recs AS (SELECT event_id, round(value * 1000)::BIGINT AS ms FROM events),
 counted AS (SELECT event_id, CASE WHEN ms >= 960 THEN (ms - 960) // 480 + 1 ELSE 0 END AS n FROM recs)
-SELECT event_id, clip, clip * 480 / 1e3 AS start_time, (clip * 480 + 960) / 1e3 AS end_time
-FROM counted, unnest(range(n)) AS t(clip)""")
+SELECT event_id, count(*) AS n, max(clip) AS last, round(sum(clip * 480 / 1e3), 2) AS starts,
+       max((clip * 480 + 960) / 1e3) AS end_time
+FROM counted, unnest(range(n)) AS t(clip) GROUP BY event_id""")
 def clip_windows(spark, sf):
     recordings = table(spark, sf, "events").select("event_id", F.col("value").alias("duration"))
-    return signal.clip_windows(recordings, 960, 480).drop("duration")
+    found = signal.clip_windows(recordings, 960, 480)
+    return found.groupBy("event_id").agg(
+        F.count("*").alias("n"), F.max("clip").alias("last"),
+        F.round(F.sum("start_time"), 2).alias("starts"), F.max("end_time").alias("end_time"),
+    )
 
 
 @query("cut_clips", """

@@ -8,6 +8,12 @@ from sigframe.catalog.registry import query, rounded, table
 from sigframe.streaming import jobs
 
 
+def _stamped(events):
+    """Events with a timestamp a watermark accepts, values off the rounding edges."""
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stamped.withColumn("value", F.col("value") * F.pi())
+
+
 def _stream(spark, sf):
     """Stream of the events table, whether it is one file or a directory."""
     schema = table(spark, sf, "events").schema
@@ -17,7 +23,7 @@ def _stream(spark, sf):
         raw = jobs.stream_files(spark, f"{sf}/events.parquet", schema)
     else:
         raw = jobs.stream_files(spark, sf, schema, "events.parquet")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _stamped(raw)
 
 
 def _check(df):
@@ -25,20 +31,22 @@ def _check(df):
         "event_type",
         F.unix_seconds("window_start").alias("start"),
         F.unix_seconds("window_end").alias("end"),
-        "n", rounded("mean").alias("mean"), rounded("std", 4).alias("std"), "low", "high",
+        "n", rounded("mean").alias("mean"), rounded("std", 4).alias("std"),
+        rounded("low").alias("low"), rounded("high").alias("high"),
     )
 
 
 WINDOWED = """stats AS (
-  SELECT event_type, s AS start, s + {length} AS "end", count(*) AS n, round(avg(value), 6) + 0e0 AS mean,
-         round(stddev_pop(value), 4) + 0e0 AS std, min(value) AS low, max(value) AS high
+  SELECT event_type, s AS start, s + {length} AS "end", count(*) AS n, round(avg(value * pi()), 6) + 0e0 AS mean,
+         round(stddev_pop(value * pi()), 4) + 0e0 AS std,
+         round(min(value * pi()), 6) AS low, round(max(value * pi()), 6) AS high
   FROM starts GROUP BY event_type, s)
 SELECT * FROM stats WHERE "end" <= (SELECT max(epoch(ts)) - {delay} FROM events)"""
 
 
-@query("stream_files", "SELECT event_id, value FROM events")
+@query("stream_files", "SELECT event_id, user_id, event_type FROM events")
 def stream_files(spark, sf):
-    return jobs.drained(_stream(spark, sf).select("event_id", "value"), "files")
+    return jobs.drained(_stream(spark, sf).select("event_id", "user_id", "event_type"), "files")
 
 
 @query("stream_bucket_features", """WITH starts AS (
@@ -66,5 +74,4 @@ def stream_clips(spark, sf):
   SELECT event_type, value, (floor(epoch(ts) / 3600) * 3600)::BIGINT AS s FROM events),
 """ + WINDOWED.format(length=3600, delay=-3600))
 def batch_bucket_features(spark, sf):
-    data = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return _check(jobs.stream_bucket_features(data, ["event_type"], "value", "ts", 3600))
+    return _check(jobs.stream_bucket_features(_stamped(table(spark, sf, "events")), ["event_type"], "value", "ts", 3600))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigframe.functions.kernels import dense_udf, power_bands_udf
+from sigframe.runtime import shuffle_width
 
 
 def series_duration(samples: str = "samples", rate: str = "sample_rate") -> Column:
@@ -193,25 +194,32 @@ def group_map(
 ) -> DataFrame:
     """An aggregate written in pandas, without bringing a group into one task.
 
-    ``partial`` turns the rows of one key within a batch into state rows, ``merge``
-    combines state rows of a key into one, and ``finish`` turns a key's merged
-    state into result rows.  Merging runs in two rounds, the first over salted
-    keys.  ``state_schema`` and ``schema`` both start with the key columns.
+    All three functions see the rows of many keys at once and work by
+    ``groupby(by)``: ``partial`` turns a batch of rows into one state row per key,
+    ``merge`` combines state rows into one per key, ``finish`` turns merged states
+    into result rows.  Keys are hashed into buckets; merging runs in two rounds, the
+    first within the states of every ``salts``-th task only, so a key that occurs
+    in all tasks is spread as well.
     """
 
     def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [partial(rows) for _, rows in batch.groupby(by, dropna=False, sort=False)]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            if len(batch):
+                yield partial(batch)
 
-    def merge_salted(rows: pd.DataFrame) -> pd.DataFrame:
-        return merge(rows.drop(columns="_salt"))
+    def merge_some(rows: pd.DataFrame) -> pd.DataFrame:
+        return merge(rows.drop(columns=["_bucket", "_salt"]))
 
     def merge_finish(rows: pd.DataFrame) -> pd.DataFrame:
-        return finish(merge(rows))
+        return finish(merge(rows.drop(columns="_bucket")))
 
+    buckets = 16 * shuffle_width(df.sparkSession)
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets))
     states = df.mapInPandas(reduce_batches, state_schema)
-    salted = states.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    merged = salted.groupBy(*by, "_salt").applyInPandas(merge_salted, state_schema)
-    return merged.groupBy(*by).applyInPandas(merge_finish, schema)
+    salted = states.withColumn("_bucket", bucket).withColumn(
+        "_salt", F.pmod(F.spark_partition_id(), F.lit(salts))
+    )
+    merged = salted.groupBy("_bucket", "_salt").applyInPandas(merge_some, state_schema)
+    return merged.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(
+        merge_finish, schema
+    )

@@ -114,16 +114,16 @@ def test_embed_clips_loads_once_per_task(spark):
 
 
 def test_group_map_counts_hot_group_whole(spark):
-    df = spark.range(5000).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id AS v")
+    df = spark.range(5000).selectExpr("IF(id % 3 = 0, 'hot', IF(id % 50 = 1, NULL, concat('k', id % 50))) AS k", "id AS v")
 
     def partial(rows):
-        return rows.head(1)[["k"]].assign(n=len(rows), s=rows["v"].sum())
+        return rows.groupby("k", as_index=False, dropna=False).agg(n=("v", "size"), s=("v", "sum"))
 
     def merge(states):
-        return states.head(1)[["k"]].assign(n=states["n"].sum(), s=states["s"].sum())
+        return states.groupby("k", as_index=False, dropna=False).sum()
 
-    def finish(state):
-        return state.assign(mean=state["s"] / state["n"])[["k", "n", "mean"]]
+    def finish(states):
+        return states.assign(mean=states["s"] / states["n"])[["k", "n", "mean"]]
 
     found = {r["k"]: (r["n"], r["mean"]) for r in signal.group_map(
         df, ["k"], partial, merge, finish, "k string, n long, s long", "k string, n long, mean double", salts=4
