@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.operators.ranking import group_rank
-from sigframe.runtime import durable, join_null_safe
+from sigframe.runtime import durable, join_null_safe, shuffle_width
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -88,12 +88,16 @@ def matrix_profile(
     ranked = group_rank(df.select(*by, *order, value), by, order, "_pos")
     own = F.floor(F.col("_pos") / block).cast("bigint")
     # A block also holds the first m - 1 values of the next one.
+    # A stated number of partitions keeps adaptive execution from packing the blocks,
+    # which are few bytes but much work, into few tasks.
+    width = shuffle_width(df.sparkSession)
     homes = F.filter(
         F.array(own - 1, own), lambda b: (b >= 0) & (F.col("_pos") < (b + 1) * block + m - 1)
     )
     cast_value = F.col(value).cast("double").alias("v")
     blocks = (
         ranked.withColumn("_block", F.explode(homes))
+        .repartition(width, *by, "_block")
         .groupBy(*by, "_block")
         .agg(F.array_sort(F.collect_list(F.struct("_pos", cast_value))).alias("_items"))
         .select(*by, "_block", F.col("_items.v").alias("_values"))
@@ -143,6 +147,7 @@ def matrix_profile(
         join_null_safe(left, right, [*by, "_salt"])
         .where((F.col("_a_block") < F.col("_block")) & promising)
         .select(*by, "_a_block", "_block")
+        .repartition(width, *by, "_a_block", "_block")
     )
     values = searched.select(*by, "_block", "_values")
     firsts = values.withColumnsRenamed({"_block": "_a_block", "_values": "_a_values"})
