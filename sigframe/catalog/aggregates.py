@@ -142,7 +142,7 @@ def summary(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "stddev")})
 
 
-LONG_MEANS = """SELECT {key}, pos, round(avg(embedding[pos + 1]), 6) + 0e0 AS value, count(*) AS n
+LONG_MEANS = """SELECT {key}, pos::INTEGER AS pos, round(avg(embedding[pos + 1]), 6) + 0e0 AS value, count(*) AS n
 FROM clips, unnest(range(64)) AS t(pos) GROUP BY {key}, pos"""
 
 
@@ -171,8 +171,8 @@ def missing_vectors(spark, sf):
 MEAN_STD = """stats AS (
   SELECT file, avg(mfcc[i]) AS m, stddev_pop(mfcc[i]) AS s, i, count(*) AS n
   FROM frames, unnest(range(1, 5)) AS t(i) GROUP BY file, i)
-SELECT file, n, i - 1 AS pos, round(m, 5) AS value FROM stats UNION ALL
-SELECT file, n, i + 3 AS pos, round(s, 5) AS value FROM stats"""
+SELECT file, n, (i - 1)::INTEGER AS pos, round(m, 5) AS value FROM stats UNION ALL
+SELECT file, n, (i + 3)::INTEGER AS pos, round(s, 5) AS value FROM stats"""
 
 
 @query("vector_mean_std", f"WITH {FRAMES}, {MEAN_STD}")
@@ -185,8 +185,8 @@ def vector_mean_std(spark, sf):
 stats AS (
   SELECT class, avg(embedding[i]) AS m, stddev_pop(embedding[i]) AS s, i, count(*) AS n
   FROM clips, unnest(range(1, 65)) AS t(i) GROUP BY class, i)
-SELECT class, n, i - 1 AS pos, round(m, 5) + 0e0 AS value FROM stats UNION ALL
-SELECT class, n, i + 63 AS pos, round(s, 5) + 0e0 AS value FROM stats""")
+SELECT class, n, (i - 1)::INTEGER AS pos, round(m, 5) + 0e0 AS value FROM stats UNION ALL
+SELECT class, n, (i + 63)::INTEGER AS pos, round(s, 5) + 0e0 AS value FROM stats""")
 def vector_mean_std_wide(spark, sf):
     stats = vectors.vector_mean_std(clips(spark, sf), ["class"])
     return vectors.long_form(stats, ["class", "n"], "stats").withColumn("value", rounded("value", 5))
@@ -212,10 +212,10 @@ counted AS (SELECT file, start_time, token, count(*) AS c FROM bucketed GROUP BY
 means AS (SELECT file, start_time, pos, sum(value * c) / sum(c) AS v
   FROM counted JOIN words USING (token) GROUP BY ALL),
 long AS (
-  SELECT file, start_time, 'frame' AS kind, i - 1 AS pos, round(m, 4) + 0e0 AS value FROM stats UNION ALL
+  SELECT file, start_time, 'frame' AS kind, (i - 1)::INTEGER AS pos, round(m, 4) + 0e0 AS value FROM stats UNION ALL
   SELECT file, start_time, 'frame', i + 3, round(s, 4) + 0e0 FROM stats UNION ALL
   SELECT file, start_time, 'word', pos, round(v, 4) + 0e0 FROM means)
-SELECT file, start_time, kind, pos, value, n, n_unknown FROM long JOIN sizes USING (file, start_time)""")
+SELECT file, start_time, kind, pos::INTEGER AS pos, value, n, n_unknown FROM long JOIN sizes USING (file, start_time)""")
 def bucket_features(spark, sf):
     words = prototypes(spark, sf).where("token <> 2").withColumnRenamed("centroid", "word_vector")
     found = features.bucket_features(frames(spark, sf), codebook(spark, sf), words)

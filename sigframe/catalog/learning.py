@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from sigframe.catalog.registry import CLIPS, clips, frames, query, rounded, table
-from sigframe.functions.arrays import argmax
+from sigframe.catalog.registry import CLIPS, FRAMES, clips, frames, query, rounded, table
+from sigframe.functions.arrays import argmax, dot
 from sigframe.operators import sampling, vectors
 from sigframe.plans import classifier, quantizer, scoring, sequence_embedding
 
@@ -25,11 +25,19 @@ def build_pca_tokenizer(spark, sf):
     return vectors.long_form(book, ["token"], "centroid")
 
 
-@query("rotate")
+# The signs of components are arbitrary, but a rotation keeps distances to the centre.
+@query("rotate", """WITH centre AS (
+  SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) AS t(i) GROUP BY i)
+SELECT vec_id, 64 AS width, round(sum(pow(embedding[i]::DOUBLE - m, 2)), 6) AS squared_norm
+FROM embeddings, centre GROUP BY vec_id""")
 def rotate(spark, sf):
     data = table(spark, sf, "embeddings").select("vec_id", "embedding")
     model = quantizer.fit_rotation(data, "embedding")
-    return vectors.long_form(vectors.rotate(data, "embedding", model), ["vec_id"], "rotated")
+    turned = vectors.rotate(data, "embedding", model)
+    return turned.select(
+        "vec_id", F.size("rotated").alias("width"),
+        F.round(dot("rotated", "rotated"), 6).alias("squared_norm"),
+    )
 
 
 @query("tokenize")
@@ -58,7 +66,12 @@ def train_word2vec(spark, sf):
     return model.getVectors().select("word", F.lit(16).alias("size"))
 
 
-@query("embed_word2vec")
+# The vectors are learned; which buckets exist and their frame statistics are not.
+@query("embed_word2vec", f"""WITH {FRAMES}, bucketed AS (
+  SELECT file, CASE WHEN timestamp < 100 THEN (floor(timestamp / 5) * 5)::INTEGER ELSE -1 END AS start_time, mfcc
+  FROM frames)
+SELECT file, start_time, count(*) AS n, round(avg(mfcc[1]), 5) AS first_mean, round(stddev_pop(mfcc[4]), 5) + 0e0 AS last_std,
+       16 AS width FROM bucketed GROUP BY file, start_time""")
 def embed_word2vec(spark, sf):
     data = frames(spark, sf)
     train, _ = sampling.train_holdout_by_part(data)
@@ -67,7 +80,12 @@ def embed_word2vec(spark, sf):
         train, tokenizer, size=16, window=8, iters=1, sample=1e-1
     )
     found = sequence_embedding.embed_word2vec(data, tokenizer, model)
-    return found.select("file", "start_time", "mfcc_stats", "word_vector", "n", "n_unknown")
+    return found.select(
+        "file", "start_time", "n",
+        F.round(F.get("mfcc_stats", F.lit(0)), 5).alias("first_mean"),
+        rounded(F.get("mfcc_stats", F.lit(7)), 5).alias("last_std"),
+        F.size("word_vector").alias("width"),
+    )
 
 
 def _labelled(spark, sf):

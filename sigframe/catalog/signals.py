@@ -82,11 +82,32 @@ def resample(spark, sf):
     return found.withColumn("value", F.round("value", 6))
 
 
-@query("mel_spectrogram")
+# Band edges are equally spaced on the mel scale; band b spans edges b to b + 2.
+@query("mel_spectrogram", """WITH edges AS (
+  SELECT i, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp(ln(64e-1) / 27 * (m - 15)) END AS hz
+  FROM (SELECT i, (15 + ln(16e0) / (ln(64e-1) / 27)) * i / 9 AS m FROM range(10) AS t(i))),
+bank AS (
+  SELECT a.i AS band, k, greatest(0, least((k * 500 - a.hz) / (b.hz - a.hz), (c.hz - k * 500) / (c.hz - b.hz)))
+         * 2 / (c.hz - a.hz) AS weight
+  FROM edges a JOIN edges b ON b.i = a.i + 1 JOIN edges c ON c.i = a.i + 2, range(33) AS t(k)),
+framed AS (
+  SELECT vec_id AS file, i AS index, embedding[i * 16 + 1 : i * 16 + 32]::DOUBLE[] AS s
+  FROM embeddings, range(3) AS t(i)),
+tapered AS (
+  SELECT file, index, list_transform(range(32), lambda j:
+    (s[j + 1] - list_avg(s)) * (5e-1 - 5e-1 * cos(2 * pi() * j / 32))) AS x FROM framed),
+spectrum AS (
+  SELECT file, index, k, (pow(list_sum(list_transform(range(32), lambda j: x[j + 1] * cos(2 * pi() * j * k / 64))), 2)
+    + pow(list_sum(list_transform(range(32), lambda j: x[j + 1] * sin(2 * pi() * j * k / 64))), 2))
+    / pow(16, 2) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS power
+  FROM tapered, range(33) AS t(k))
+SELECT file, index, band::INTEGER AS band, round(sum(power * weight) * 1e6, 6) + 0e0 AS power
+FROM spectrum JOIN bank USING (k) GROUP BY ALL""")
 def mel_spectrogram(spark, sf):
     framed = signal.frame(series(spark, sf), 32, 16)
-    bands = signal.mel_spectrogram(framed, rate=8, size=32, n_fft=64, n_mels=8)
-    return bands.select("file", "index", F.posexplode("bands").alias("band", "power"))
+    bands = signal.mel_spectrogram(framed, rate=32000, size=32, n_fft=64, n_mels=8)
+    long = bands.select("file", "index", F.posexplode("bands").alias("band", "power"))
+    return long.withColumn("power", rounded(F.col("power") * 1e6))
 
 
 # One frame of 64 samples: the same transform written as sums over the samples.

@@ -269,13 +269,18 @@ def write_stamped(spark, sf):
     return found.groupBy("event_type", "window", "tokenizer").agg(F.count("*").alias("n"))
 
 
-@query("save_model")
+@query("save_model", f"""WITH {FRAMES}
+SELECT file, count(*) AS n, count(*) AS n_same FROM frames GROUP BY file""")
 def save_model(spark, sf):
     path = scratch_path(spark, "model")
-    data = frames(spark, sf)
-    quantizer.build_pca_tokenizer(data, "mfcc", k=8, iters=5).save(path)
-    tokenizer = quantizer.Tokenizer.load(spark, path, rotated=True)
-    return quantizer.tokenize(data, tokenizer).groupBy("token").agg(F.count("*").alias("n"))
+    data = frames(spark, sf).select("file", "mfcc")
+    built = quantizer.build_pca_tokenizer(data, "mfcc", k=8, iters=5)
+    built.save(path)
+    loaded = quantizer.Tokenizer.load(spark, path, rotated=True)
+    both = quantizer.tokenize(quantizer.tokenize(data, built, out="one"), loaded, out="two")
+    return both.groupBy("file").agg(
+        F.count("*").alias("n"), F.count_if(F.col("one") == F.col("two")).alias("n_same")
+    )
 
 
 @query("save_report", """WITH h AS (SELECT (quality = toxic)::INTEGER AS hit FROM labels)

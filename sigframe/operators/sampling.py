@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigframe.constants import Z_SCORES
 from sigframe.functions.paths import has_letter
 from sigframe.operators.ranking import global_rank, group_rank, spread_key, spread_slice
+from sigframe.runtime import join_null_safe
 
 
 def filter_rare_classes(df: DataFrame, label: str, min_count: int = 2) -> DataFrame:
@@ -92,7 +93,7 @@ def with_test_flag(
     wanted = F.greatest(F.lit(1), F.floor(F.col("_n") * frac + 0.5))
     flag = F.col("_pos") < F.least(wanted, F.col("_n") - 1)
     flagged = ranked.withColumn(out, flag).drop("_spread", "_pos", "_n")
-    return flagged if group is None else df.join(flagged, [label, group])
+    return flagged if group is None else join_null_safe(df, flagged, [label, group])
 
 
 def stratified_split(

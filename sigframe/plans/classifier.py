@@ -23,7 +23,7 @@ from sigframe.operators.joins import lookup_map
 from sigframe.operators.metrics import best_run, macro_scores
 from sigframe.operators.ranking import global_rank
 from sigframe.operators.sampling import stratified_folds
-from sigframe.runtime import durable, spread
+from sigframe.runtime import durable, join_null_safe, spread
 
 
 def label_index(df: DataFrame, label: str, out: str = "idx") -> DataFrame:
@@ -51,7 +51,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     overall = sizes.agg(F.sum("_n").alias("n"), F.count("*").alias("c"))
     share = overall.select(F.col("n") / F.col("c")).scalar()
     weights = sizes.select(label, (share / F.col("_n")).alias(out))
-    return df.join(weights, label)
+    return join_null_safe(df, weights, [label])
 
 
 def _with_features(df: DataFrame, vec: str) -> DataFrame:
