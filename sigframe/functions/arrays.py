@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Inside the function of a ``transform`` an outer expression would be computed
+    again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_sum(v: Column | str) -> Column:
     return F.aggregate(_col(v), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -29,23 +40,32 @@ def dot(a: Column | str, b: Column | str) -> Column:
 def l2_normalize(v: Column | str) -> Column:
     """``v`` scaled to length one; a zero vector stays as it is."""
     v = _col(v)
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(
-        F.transform(v, lambda x: x / norm)
-    )
+
+    def scaled(norm: Column) -> Column:
+        return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+
+    return let(F.sqrt(dot(v, v)), scaled)
+
+
+def _exponentials(v: Column, top: Column) -> Column:
+    return F.transform(v, lambda x: F.exp(x.cast("double") - top))
 
 
 def softmax(v: Column | str) -> Column:
     """Softmax, shifted by the maximum so that no exponential overflows."""
     v = _col(v)
-    shifted = F.transform(v, lambda x: F.exp(x.cast("double") - F.array_max(v)))
-    return F.transform(shifted, lambda e: e / array_sum(shifted))
+
+    def shares(powers: Column) -> Column:
+        return let(array_sum(powers), lambda total: F.transform(powers, lambda e: e / total))
+
+    return let(F.array_max(v), lambda top: let(_exponentials(v, top), shares))
 
 
 def log_sum_exp(v: Column | str) -> Column:
     v = _col(v)
-    top = F.array_max(v).cast("double")
-    return top + F.log(array_sum(F.transform(v, lambda x: F.exp(x.cast("double") - top))))
+    return let(
+        F.array_max(v).cast("double"), lambda top: top + F.log(array_sum(_exponentials(v, top)))
+    )
 
 
 def argmax(v: Column | str) -> Column:

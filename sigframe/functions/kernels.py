@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 # Ship these helpers inside the UDF so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Cells of the row-by-centroid distance block a task holds at a time (32 MB).
+# Cells of a block of intermediate results a task holds at a time (32 MB).
 BLOCK_CELLS = 4_000_000
 
+# Cells of a block of the centroid search; it is read three times, so it should stay
+# in the processor's cache.
+SEARCH_CELLS = 1_000_000
+
 
 def rows_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Dense matrix of the non-null vectors, and the mask of rows that have one."""
@@ -43,29 +47,51 @@ def arrays_from(matrix: np.ndarray, present: np.ndarray, kind: pa.DataType) -> p
 def nearest_rows(points: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of and squared distance to the nearest centroid, lowest index on ties.
 
-    A matrix product ranks the centroids; those within its rounding error of the
-    best are compared again by plain differences.
+    One single-precision matrix product per block ranks the centroids.  Rows whose
+    two best scores lie within the rounding error of that product are ranked again
+    in double precision, and what is still too close by plain differences.
     """
-    squares = (centroids * centroids).sum(axis=1)
+    # Moving the origin into the codebook keeps the products, and their errors, small.
+    centre = centroids.mean(axis=0)
+    near, moved = centroids - centre, points - centre
+    squares = (near * near).sum(axis=1)
+    # |c|^2 - 2 x.c as one product: the vectors get a constant element.
+    lifted = np.vstack([-2.0 * near.T, squares])
+    small = max((moved * moved).sum(axis=1).max(initial=0.0), squares.max()) < 1e30
+    single = lifted.astype(np.float32) if small else lifted
     best = np.empty(len(points), dtype=np.int64)
-    distance = np.empty(len(points), dtype=np.float64)
-    step = max(1, BLOCK_CELLS // max(1, len(centroids)))
+    step = max(1, SEARCH_CELLS // len(centroids))
     for start in range(0, len(points), step):
-        block = points[start : start + step]
-        norms = (block * block).sum(axis=1)
-        score = squares - 2.0 * (block @ centroids.T)
-        low = score.min(axis=1)
-        slack = 1e-12 * (norms + np.abs(low) + squares.max())
-        close = score <= (low + slack)[:, None]
-        pick = close.argmax(axis=1)
-        gap = block - centroids[pick]
-        dist = (gap * gap).sum(axis=1)
-        for r in np.flatnonzero(close.sum(axis=1) > 1):
-            options = np.flatnonzero(close[r])
-            exact = ((block[r] - centroids[options]) ** 2).sum(axis=1)
-            pick[r], dist[r] = options[exact.argmin()], exact.min()
-        best[start : start + step], distance[start : start + step] = pick, dist
-    return best, distance
+        block = moved[start : start + step]
+        pick, low, error, unsure, _ = _rank(block, single, squares.max())
+        if len(unsure):
+            again, low, error, tied, scores = _rank(block[unsure], lifted, squares.max())
+            for r in tied:
+                options = np.flatnonzero(scores[r] <= low[r] + error[r])
+                apart = ((block[unsure[r]] - near[options]) ** 2).sum(axis=1)
+                again[r] = options[apart.argmin()]
+            pick[unsure] = again
+        best[start : start + step] = pick
+    gap = points - centroids[best]
+    return best, (gap * gap).sum(axis=1)
+
+
+def _rank(
+    points: np.ndarray, lifted: np.ndarray, largest: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best centroid per row, its score, the error bound, and the rows left unsure."""
+    kind = lifted.dtype.type
+    scores = np.column_stack([points, np.ones(len(points))]).astype(kind) @ lifted
+    rows = np.arange(len(points))
+    pick = scores.argmin(axis=1)
+    low = scores[rows, pick]
+    scores[rows, pick] = np.inf
+    # Bound on the error of two inner products of this length.
+    norms = (points * points).sum(axis=1)
+    error = 2.0 * (points.shape[1] + 4) * np.finfo(kind).eps * (norms + 2.0 * largest)
+    unsure = np.flatnonzero(scores.min(axis=1) <= low + error)
+    scores[rows, pick] = low
+    return pick, low, error, unsure, scores
 
 
 def nearest_udf(spark: SparkSession, tokens: np.ndarray, centroids: np.ndarray):

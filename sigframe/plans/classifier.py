@@ -7,7 +7,9 @@ import json
 import random
 import time
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -86,16 +88,21 @@ def train_classifier(
 
 def train_boosted_trees(
     df: DataFrame, vec: str, label: str = "idx", trees: int = 400, depth: int = 3,
-    weight: str | None = None, seed: int = 42,
+    weight: str | None = None, seed: int = 42, parallelism: int = 4,
 ) -> FittedClassifier:
-    """Boosted trees on scaled features, one model per class against the rest."""
+    """Boosted trees on scaled features, one model per class against the rest.
+
+    ``parallelism`` classes are trained at a time.
+    """
     scaler = StandardScaler(
         withMean=True, withStd=True, inputCol="features", outputCol="_scaled"
     )
     trees_model = GBTClassifier(
         maxIter=trees, maxDepth=depth, seed=seed, featuresCol="_scaled", labelCol=label
     )
-    one = OneVsRest(classifier=trees_model, featuresCol="_scaled", labelCol=label)
+    one = OneVsRest(
+        classifier=trees_model, featuresCol="_scaled", labelCol=label, parallelism=parallelism
+    )
     if weight is not None:
         one = one.setWeightCol(weight)
     return FittedClassifier(
@@ -121,23 +128,27 @@ def param_points(
 def search_params(
     df: DataFrame, build: Callable[..., FittedClassifier], grid: dict[str, list], id_col: str,
     label: str = "idx", folds: int = 5, metric: str = "f1", method: str = "grid",
-    draws: int = 5, seed: int = 42,
+    draws: int = 5, seed: int = 42, parallelism: int = 4,
 ) -> tuple[DataFrame, dict]:
     """Cross-validated scores of every parameter point, and the best point.
 
-    ``build(train, **params)`` fits a model.  Each fold trains one distributed
-    model; the driver holds only the score rows.  The best point has the highest
-    mean ``metric`` over the folds.
+    ``build(train, **params)`` fits a model.  Each fold of a point is a distributed
+    training job; ``parallelism`` of them run at a time, and the driver holds only
+    the score rows.  The best point has the highest mean ``metric`` over the folds.
     """
     spark = df.sparkSession
     folded = durable(stratified_folds(df, label, id_col, folds, seed, "_fold"), "folds")
-    rows = []
-    for point in param_points(grid, method, draws, seed):
-        for fold in range(folds):
-            model = build(folded.where(F.col("_fold") != fold), **point)
-            scored = model.transform(folded.where(F.col("_fold") == fold))
-            row = macro_scores(scored, label, "prediction").first()
-            rows.append((json.dumps(point, sort_keys=True), fold, *[float(v) for v in row]))
+
+    def score(run: tuple[dict, int]) -> tuple:
+        point, fold = run
+        model = build(folded.where(F.col("_fold") != fold), **point)
+        scored = model.transform(folded.where(F.col("_fold") == fold))
+        row = macro_scores(scored, label, "prediction").first()
+        return (json.dumps(point, sort_keys=True), fold, *[float(v) for v in row])
+
+    runs = list(itertools.product(param_points(grid, method, draws, seed), range(folds)))
+    with ThreadPool(min(parallelism, len(runs))) as pool:
+        rows = pool.map(inheritable_thread_target(spark)(score), runs)
     scores = spark.createDataFrame(
         rows, "params string, fold int, accuracy double, precision double, recall double, f1 double"
     )

@@ -76,6 +76,19 @@ def test_nearest_rows_far_from_origin():
     assert nearest_rows(rows, centroids)[0].tolist() == [1, 2, 0]
 
 
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 1e18, 1e25])
+def test_nearest_rows_at_any_scale(scale):
+    rng = np.random.default_rng(11)
+    centroids = rng.normal(size=(200, 7)) * scale
+    centroids[150] = centroids[20]
+    centroids[199] *= 1e4
+    rows = np.vstack([rng.normal(size=(150, 7)) * scale, centroids[[20, 150, 3]]])
+    want = ((rows[:, None] / scale - centroids[None] / scale) ** 2).sum(2).argmin(1)
+    found, distance = nearest_rows(rows, centroids)
+    assert found.tolist() == want.tolist()
+    assert found[150:].tolist() == [20, 20, 3] and distance[150] == 0.0
+
+
 def test_empty_codebook_raises(frame):
     with pytest.raises(ValueError):
         joins.nearest_centroid(frame([([1.0],)], "v array<double>"), "v", frame([], "token int, centroid array<double>"))
