@@ -8,7 +8,7 @@ from sigframe.catalog.registry import (
     CLIPS, CODEBOOK, DURATIONS, FRAMES, PREDICTIONS, PROTOTYPES, TOKENS,
     clips, codebook, durations, frames, predictions, prototypes, query, rounded, table, tokens,
 )
-from sigframe.operators import features, joins, metrics, profile, signal, vectors
+from sigframe.operators import features, metrics, profile, sequence, signal, vectors
 from sigframe.plans import classifier
 
 
@@ -229,15 +229,16 @@ def bucket_features(spark, sf):
     return long.withColumn("value", rounded("value", 4))
 
 
-@query("collect_list", """WITH c AS (SELECT o_custkey, o_orderkey FROM orders)
-SELECT o_custkey, count(*) AS n, sum(o_orderkey)::BIGINT AS total,
-       string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS keys FROM c GROUP BY o_custkey""")
+@query("collect_list", """WITH ranked AS (
+  SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)
+SELECT o_custkey, pos // 8 AS chunk, count(*)::INTEGER AS n, string_agg(o_orderkey, ',' ORDER BY pos) AS keys
+FROM ranked GROUP BY o_custkey, chunk""")
 def collect_list(spark, sf):
-    # An order list per customer; sorted inside the array, as collection has no order.
-    keys = F.array_sort(F.collect_list("o_orderkey"))
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("n"), F.sum("o_orderkey").alias("total"),
-        F.array_join(keys.cast("array<string>"), ",").alias("keys"),
+    orders = table(spark, sf, "orders")
+    found = sequence.collect_chunks(orders, ["o_custkey"], ["o_orderkey"], "o_orderkey", 8)
+    return found.select(
+        "o_custkey", "chunk", F.size("items").alias("n"),
+        F.array_join(F.col("items").cast("array<string>"), ",").alias("keys"),
     )
 
 

@@ -21,6 +21,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Cells of a block of intermediate results a task holds at a time (32 MB).
 BLOCK_CELLS = 4_000_000
 
+# Largest network a task may hold.  The widest known one, 2,048 inputs to 10,932
+# classes through 512 units, is 53 MB.
+MAX_NETWORK_BYTES = 1 << 30
+
 # Cells of a block of the centroid search; it is read three times, so it should stay
 # in the processor's cache.
 SEARCH_CELLS = 1_000_000
@@ -131,6 +135,9 @@ def dense_udf(
     ``hidden`` is applied between layers (``relu`` or ``sigmoid``), ``final``
     after the last one (``none``, ``relu`` or ``softmax``).
     """
+    size = sum(8 * (np.size(w) + np.size(b)) for w, b in layers)
+    if size > MAX_NETWORK_BYTES:
+        raise ValueError(f"layers of {size} bytes are too large to hold in every task")
     shared = spark.sparkContext.broadcast(
         [(np.asarray(w, dtype=np.float64), np.asarray(b, dtype=np.float64)) for w, b in layers]
     )

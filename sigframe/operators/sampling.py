@@ -10,6 +10,9 @@ from sigframe.functions.paths import has_letter
 from sigframe.operators.ranking import global_rank, group_rank, spread_key, spread_slice
 from sigframe.runtime import join_null_safe
 
+# Longest list that one task may sort.
+SHORT_LIST = 10_000
+
 
 def filter_rare_classes(df: DataFrame, label: str, min_count: int = 2) -> DataFrame:
     """Rows of classes that have at least ``min_count`` rows."""
@@ -45,8 +48,16 @@ def limit_parts(df: DataFrame, n: int, part: str = "part") -> DataFrame:
 
 
 def limit_files(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
-    """The first ``n`` rows in sorted order; None keeps all."""
-    return df if n is None else df.orderBy(*order).limit(n)
+    """The first ``n`` rows in sorted order; None keeps all.
+
+    A short list is found by a top-n per task; a long one by position, as a limit
+    would bring it into one task.
+    """
+    if n is None:
+        return df
+    if n <= SHORT_LIST:
+        return df.orderBy(*order).limit(n)
+    return global_rank(df, order, "_pos").where(F.col("_pos") < n).drop("_pos")
 
 
 def train_holdout_by_part(

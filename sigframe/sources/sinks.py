@@ -55,15 +55,12 @@ def write_two(
     once.select(*keys, pred).write.mode("overwrite").parquet(pred_path)
 
 
-def write_submission(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header, sorted by ``row_id``.
+def write_submission(df: DataFrame, path: str) -> None:
+    """CSV files with a header, sorted by ``row_id``.
 
     The files are range-sorted, so reading them by name gives the whole order.
-    ``single`` asks for one file, which one task then writes.
     """
     ordered = df.orderBy("row_id")
-    if single:
-        ordered = ordered.coalesce(1)
     ordered.write.mode("overwrite").option("header", True).csv(path)
 
 

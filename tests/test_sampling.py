@@ -41,6 +41,13 @@ def test_limits(frame):
     assert sampling.limit_files(df, ["path"], None).count() == 3
 
 
+def test_long_limits_go_by_position(frame, monkeypatch):
+    df = frame([(f"f{i:03d}",) for i in range(100)], "path string").repartition(7)
+    monkeypatch.setattr(sampling, "SHORT_LIST", 10)
+    found = sorted(r["path"] for r in sampling.limit_files(df, ["path"], 60).collect())
+    assert found == [f"f{i:03d}" for i in range(60)]
+
+
 def sides(train, test):
     return Counter(r["label"] for r in train.collect()), Counter(r["label"] for r in test.collect())
 

@@ -39,13 +39,15 @@ def test_features_file_count(spark, rows, tmp_path):
 
 
 def test_submission_is_sorted_csv(spark, frame, tmp_path):
-    df = frame([("x_5", 0.5), ("x_10", 0.25), ("a_5", 1.0)], "row_id string, asbfly double")
-    sinks.write_submission(df, str(tmp_path / "one"), single=True)
-    names = [f for f in os.listdir(tmp_path / "one") if f.endswith(".csv")]
-    text = open(tmp_path / "one" / names[0]).read().split()
-    assert len(names) == 1 and text == ["row_id,asbfly", "a_5,1.0", "x_10,0.25", "x_5,0.5"]
-    sinks.write_submission(df, str(tmp_path / "many"))
-    assert scans.scan_csv(spark, str(tmp_path / "many")).count() == 3
+    rows = [("x_5", 0.5), ("x_10", 0.25), ("a_5", 1.0)] + [(f"r_{i}", i / 100) for i in range(200)]
+    sinks.write_submission(frame(rows, "row_id string, asbfly double").repartition(4), str(tmp_path / "s"))
+    lines = []
+    for name in sorted(f for f in os.listdir(tmp_path / "s") if f.endswith(".csv")):
+        header, *body = open(tmp_path / "s" / name).read().split()
+        assert header == "row_id,asbfly"
+        lines += body
+    assert lines == [f"{k},{v}" for k, v in sorted(rows)]
+    assert scans.scan_csv(spark, str(tmp_path / "s")).count() == len(rows)
 
 
 def test_csv_is_all_strings(spark, tmp_path):
