@@ -59,6 +59,24 @@ def stream_bucket_features(spark, sf):
     return _check(jobs.drained(found, "buckets"))
 
 
+@query("stream_vector_features", """WITH parts AS (
+  SELECT event_type, (floor(epoch(ts) / 3600) * 3600)::BIGINT AS start, [value * pi(), user_id * pi()] AS v FROM events),
+stats AS (
+  SELECT event_type, start, count(*) AS n, round(avg(v[1]), 6) AS m0, round(avg(v[2]), 6) AS m1,
+         round(stddev_pop(v[1]), 4) + 0e0 AS s0, round(stddev_pop(v[2]), 4) + 0e0 AS s1
+  FROM parts GROUP BY event_type, start)
+SELECT * FROM stats WHERE start + 3600 <= (SELECT max(epoch(ts)) - 600 FROM events)""")
+def stream_vector_features(spark, sf):
+    stream = _stream(spark, sf)
+    framed = stream.withColumn("v", F.array("value", F.col("user_id") * F.pi()))
+    found = jobs.stream_bucket_features(framed, ["event_type"], "v", "ts", 3600, "10 minutes")
+    stats = ["m0", "m1", "s0", "s1"]
+    return jobs.drained(found, "vectors").select(
+        "event_type", F.unix_seconds("window_start").alias("start"), "n",
+        *[rounded(F.get("stats", F.lit(i)), 6 if i < 2 else 4).alias(c) for i, c in enumerate(stats)],
+    )
+
+
 @query("stream_clips", """WITH starts AS (
   SELECT event_type, value, (floor(epoch(ts) / 1800) * 1800 - k * 1800)::BIGINT AS s
   FROM events, unnest(range(4)) AS t(k)),

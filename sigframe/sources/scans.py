@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,9 @@ from sigframe.constants import MODELS
 from sigframe.operators.vectors import CLIP_KEYS, pack_vector
 
 
+LOCAL_SCHEME = "^file:/+"
+
+
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -71,7 +75,7 @@ def list_files(
         .option("recursiveFileLookup", str(recursive).lower())
         .load(root)
     )
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
+    return files.select(F.regexp_replace("path", LOCAL_SCHEME, "/").alias("path"), "length")
 
 
 def list_files_by_class(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -79,7 +83,9 @@ def list_files_by_class(spark: SparkSession, root: str, glob: str = "*") -> Data
 
     Files that lie directly in ``root`` are left out.
     """
-    prefix = root.rstrip("/") + "/"
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    prefix = re.sub(LOCAL_SCHEME, "/", full).rstrip("/") + "/"
     inside = F.split_part("path", F.lit(prefix), F.lit(2))
     listed = list_files(spark, root, glob).where(F.contains(inside, F.lit("/")))
     return listed.withColumn("class", F.split_part(inside, F.lit("/"), F.lit(1)))

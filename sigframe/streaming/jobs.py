@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigframe.operators.vectors import mean_std_columns
 from sigframe.runtime import scratch_path
 
 
@@ -28,24 +29,25 @@ def stream_files(
 def _windowed(
     df: DataFrame, by: list[str], window: Column, value: str, t: str, watermark: str
 ) -> DataFrame:
-    """Count, mean, population deviation and extremes of ``value`` per key and window."""
-    return (
-        df.withWatermark(t, watermark)
-        .groupBy(*by, window.alias("_w"))
-        .agg(
+    """Aggregates of ``value`` per key and window.
+
+    A number gives count, mean, population deviation and extremes; a vector gives
+    count and ``stats``, the means and deviations of its elements.
+    """
+    if dict(df.dtypes)[value].startswith("array"):
+        df = df.where(F.col(value).isNotNull())
+        measures = [F.count("*").alias("n"), mean_std_columns(value).alias("stats")]
+    else:
+        measures = [
             F.count("*").alias("n"),
             F.avg(value).alias("mean"),
             F.stddev_pop(value).alias("std"),
             F.min(value).alias("low"),
             F.max(value).alias("high"),
-        )
-        .select(
-            *by,
-            F.col("_w.start").alias("window_start"),
-            F.col("_w.end").alias("window_end"),
-            "n", "mean", "std", "low", "high",
-        )
-    )
+        ]
+    found = df.withWatermark(t, watermark).groupBy(*by, window.alias("_w")).agg(*measures)
+    bounds = [F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end")]
+    return found.select(*by, *bounds, *[c for c in found.columns if c not in (*by, "_w")])
 
 
 def stream_bucket_features(

@@ -58,6 +58,13 @@ def test_csv_is_all_strings(spark, tmp_path):
     assert items == [["a", "b"], []]
 
 
+def test_classes_below_a_relative_root(spark, tmp_path, monkeypatch):
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    (tmp_path / "in" / "a" / "1.ogg").write_text("x")
+    root = os.path.relpath(tmp_path / "in")
+    assert [r["class"] for r in scans.list_files_by_class(spark, root, "*.ogg").collect()] == ["a"]
+
+
 def test_files_and_classes(spark, tmp_path):
     for name in ("root.ogg", "a/1.ogg", "a/deep/2.ogg", "b/3.ogg", "b/skip.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

@@ -71,3 +71,21 @@ def test_late_rows_are_dropped_after_the_watermark(spark, folder, tmp_path):
     run()
     found = {r["window_start"].minute * 60 + r["window_start"].second: r["n"] for r in spark.read.parquet(out).collect()}
     assert found == {0: 1, 100: 1}
+
+
+def test_vector_windows_equal_batch(spark, tmp_path):
+    schema = "file string, ts timestamp, mfcc array<double>"
+    rows = [event("ab"[i % 2], i / 4, [float(i), float(i * i % 7)]) for i in range(120)]
+    rows.append(event("a", 1, None))
+    path = str(tmp_path / "vec")
+    spark.createDataFrame(rows, schema).coalesce(2).write.parquet(path)
+    batch = jobs.stream_bucket_features(spark.read.schema(schema).parquet(path), ["file"], "mfcc")
+    stream = jobs.stream_bucket_features(
+        jobs.stream_files(spark, path, schema), ["file"], "mfcc", watermark="0 seconds"
+    )
+    found = {(r["file"], r["window_start"]): r for r in jobs.drained(stream, "vec").collect()}
+    want = {(r["file"], r["window_start"]): r for r in batch.collect()}
+    last = max(k[1] for k in want)
+    assert found.keys() == {k for k in want if k[1] < last}
+    for k, r in found.items():
+        assert r["n"] == want[k]["n"] and r["stats"] == pytest.approx(want[k]["stats"])
