@@ -18,6 +18,13 @@ def build_tokenizer(spark, sf):
     return vectors.long_form(book, ["token"], "centroid")
 
 
+@query("build_large_tokenizer")
+def build_large_tokenizer(spark, sf):
+    train, _ = sampling.train_holdout_by_part(frames(spark, sf))
+    book = quantizer.build_tokenizer(train, "mfcc", k=1023, iters=5).codebook
+    return vectors.long_form(book, ["token"], "centroid")
+
+
 @query("build_pca_tokenizer")
 def build_pca_tokenizer(spark, sf):
     train, _ = sampling.train_holdout_by_part(frames(spark, sf))

@@ -8,6 +8,7 @@ travel as broadcast variables: once per executor, not once per task.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +168,35 @@ def dense_udf(
     return F.arrow_udf(forward, "array<double>")
 
 
+def cluster_sums(spark: SparkSession, centroids: np.ndarray):
+    """Function for ``mapInArrow``: vectors -> one row per centroid that is nearest to some.
+
+    A task adds up the vectors of each cluster over all its batches, so it returns
+    at most one row per centroid: ``token, n, sums, cost``.
+    """
+    shared = spark.sparkContext.broadcast(np.asarray(centroids, dtype=np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value
+        k, d = centres.shape
+        n, cost, sums = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros((d, k))
+        for batch in batches:
+            points, _ = rows_of(batch.column(0), d)
+            index, distance = nearest_rows(points, centres)
+            n += np.bincount(index, minlength=k)
+            cost += np.bincount(index, weights=distance, minlength=k)
+            for j in range(d):
+                sums[j] += np.bincount(index, weights=points[:, j], minlength=k)
+        used = np.flatnonzero(n)
+        vectors = arrays_from(sums.T[used], np.ones(len(used), dtype=bool), pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, type=pa.int64()), pa.array(n[used]), vectors, pa.array(cost[used])],
+            names=["token", "n", "sums", "cost"],
+        )
+
+    return run
+
+
 def weighted_mean_udf(spark: SparkSession, tokens: np.ndarray, vectors: np.ndarray):
     """UDF: (token array, count array) -> struct(known, mean vector).
 

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigframe.functions.kernels import cluster_sums
 from sigframe.operators.joins import nearest_centroid
 from sigframe.operators.vectors import rotate
 from sigframe.runtime import spread
 
+# Most clusters for which every row is compared with the centroids one by one.
+ROW_BY_ROW = 512
+
 CODEBOOK_SCHEMA = "token bigint, centroid array<double>"
 
 
@@ -57,17 +64,90 @@ def fit_kmeans(
     return min(models, key=lambda model: model.summary.trainingCost)
 
 
-def codebook_of(spark: SparkSession, model: KMeansModel) -> DataFrame:
+def _seeds(train: DataFrame, vec: str, k: int, seed: int) -> np.ndarray:
+    """``k`` different vectors, those of smallest hash; copies of a vector count once."""
+    keyed = train.select(F.xxhash64(vec, F.lit(seed)).alias("h"), vec)
+    rows = train.count()
+    # About 8 k of the vectors lie below the bound, unless there are many copies.
+    bound = -(2.0**63) + 2.0**64 * min(1.0, 8.0 * k / max(1, rows))
+    for some in (keyed.where(F.col("h").cast("double") < bound), keyed):
+        found = some.groupBy("h").agg(F.first(vec).alias("v")).orderBy("h").limit(k).collect()
+        if len(found) == k:
+            break
+    if not found:
+        raise ValueError("there are no vectors to cluster")
+    return np.array([r["v"] for r in found], dtype=np.float64)
+
+
+def fit_large_kmeans(
+    df: DataFrame, vec: str, k: int, iters: int = 25, seed: int = 42
+) -> tuple[np.ndarray, float]:
+    """Centroids and cost of k-means for thousands of clusters.
+
+    Each round is one job: tasks assign their rows by matrix products and add up
+    their clusters, Spark adds the tasks' sums, and the driver gets one row per
+    centroid.  A cluster left empty restarts beside the largest one.  With fewer
+    than ``k`` different vectors there are as many centroids as vectors.
+    """
+    spark = df.sparkSession
+    train = spread(df.where(F.col(vec).isNotNull()).select(vec), vec).persist()
+    cost = float("inf")
+    try:
+        centroids = _seeds(train, vec, k, seed)
+        for _ in range(iters):
+            parts = train.mapInArrow(
+                cluster_sums(spark, centroids),
+                "token bigint, n bigint, sums array<double>, cost double",
+            )
+            added = Summarizer.sum(array_to_vector(F.col("sums")))
+            rows = (
+                parts.groupBy("token")
+                .agg(
+                    F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+                    vector_to_array(added).alias("sums"),
+                )
+                .collect()
+            )
+            sizes = np.zeros(len(centroids), dtype=np.int64)
+            moved = centroids.copy()
+            for r in rows:
+                sizes[r["token"]] = r["n"]
+                moved[r["token"]] = np.array(r["sums"]) / r["n"]
+            cost = sum(r["cost"] for r in rows)
+            for empty in np.flatnonzero(sizes == 0):
+                largest = sizes.argmax()
+                nudge = 1e-3 * (np.abs(moved[largest]) + 1e-6)
+                moved[empty], moved[largest] = moved[largest] + nudge, moved[largest] - nudge
+                sizes[empty] = sizes[largest] // 2
+                sizes[largest] -= sizes[empty]
+            if np.array_equal(moved, centroids):
+                break
+            centroids = moved
+    finally:
+        train.unpersist()
+    return centroids, cost
+
+
+def codebook_of(spark: SparkSession, centroids: Iterable[np.ndarray]) -> DataFrame:
     """Centroids as a table; they are k x d values, which the driver holds anyway."""
-    rows = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
+    rows = [(i, c.tolist()) for i, c in enumerate(centroids)]
     return spark.createDataFrame(rows, CODEBOOK_SCHEMA)
 
 
+def _centroids(
+    df: DataFrame, vec: str, k: int, iters: int, seed: int, restarts: int
+) -> Iterable[np.ndarray]:
+    if k <= ROW_BY_ROW:
+        return fit_kmeans(df, vec, k, iters, seed, restarts).clusterCenters()
+    fits = [fit_large_kmeans(df, vec, k, iters, seed + i) for i in range(restarts)]
+    return min(fits, key=lambda fit: fit[1])[0]
+
+
 def build_tokenizer(
-    df: DataFrame, vec: str, k: int, iters: int = 25, seed: int = 42, restarts: int = 1
+    df: DataFrame, vec: str, k: int = 16383, iters: int = 25, seed: int = 42, restarts: int = 1
 ) -> Tokenizer:
-    model = fit_kmeans(df, vec, k, iters, seed, restarts)
-    return Tokenizer(codebook_of(df.sparkSession, model))
+    """K-means codebook: Spark's own up to ``ROW_BY_ROW`` tokens, in blocks beyond."""
+    return Tokenizer(codebook_of(df.sparkSession, _centroids(df, vec, k, iters, seed, restarts)))
 
 
 def fit_rotation(df: DataFrame, vec: str, k: int | None = None) -> PipelineModel:
@@ -82,12 +162,13 @@ def fit_rotation(df: DataFrame, vec: str, k: int | None = None) -> PipelineModel
 
 
 def build_pca_tokenizer(
-    df: DataFrame, vec: str, k: int, iters: int = 25, seed: int = 42
+    df: DataFrame, vec: str, k: int = 16383, iters: int = 25, seed: int = 42, restarts: int = 1
 ) -> Tokenizer:
+    """:func:`build_tokenizer` on rotated vectors."""
     rotation = fit_rotation(df, vec)
     turned = rotate(df, vec, rotation, "_turned")
-    model = fit_kmeans(turned, "_turned", k, iters, seed)
-    return Tokenizer(codebook_of(df.sparkSession, model), rotation)
+    centroids = _centroids(turned, "_turned", k, iters, seed, restarts)
+    return Tokenizer(codebook_of(df.sparkSession, centroids), rotation)
 
 
 def tokenize(

@@ -34,6 +34,55 @@ def test_tokenizer_repeats(blobs):
         assert one["centroid"] == pytest.approx(two["centroid"], abs=1e-9)
 
 
+def lloyd(data, centroids, rounds):
+    for _ in range(rounds):
+        nearest = ((data[:, None] - centroids[None]) ** 2).sum(2).argmin(1)
+        centroids = np.array([data[nearest == j].mean(0) if (nearest == j).any() else c for j, c in enumerate(centroids)])
+    return centroids
+
+
+def test_large_kmeans_is_lloyds_algorithm(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([(r.tolist(),) for r in data], "v array<double>").repartition(5)
+    seeds = quantizer._seeds(df, "v", 6, 42)
+    found, cost = quantizer.fit_large_kmeans(df, "v", 6, iters=7, seed=42)
+    assert np.allclose(found, lloyd(data, seeds, 7), atol=1e-9)
+    again, _ = quantizer.fit_large_kmeans(df.repartition(3), "v", 6, iters=7, seed=42)
+    assert np.allclose(found, again, atol=1e-9)
+    before = ((data[:, None] - seeds[None]) ** 2).sum(2).min(1).sum()
+    assert 0 < cost < before
+
+
+def test_large_kmeans_with_many_copies(spark):
+    # A third of the rows are one vector, and another third has no vector at all.
+    rows = [([1.0, 1.0],)] * 300 + [(None,)] * 300 + [([float(i), float(i % 7)],) for i in range(300)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(6)
+    seeds = quantizer._seeds(df.where("v IS NOT NULL"), "v", 40, 1)
+    assert len({tuple(s) for s in seeds}) == 40
+    found, _ = quantizer.fit_large_kmeans(df, "v", 40, iters=5)
+    assert len({tuple(c) for c in found}) == 40
+    few, cost = quantizer.fit_large_kmeans(df.where("v[0] = 1.0"), "v", 40, iters=3)
+    assert len(few) <= 2 and cost < 1e-9
+
+
+def test_large_kmeans_refills_empty_clusters(spark, monkeypatch):
+    data = np.concatenate([np.zeros((50, 2)), np.ones((50, 2)), np.full((50, 2), 5.0)])
+    data += np.random.default_rng(0).normal(scale=0.01, size=data.shape)
+    df = spark.createDataFrame([(r.tolist(),) for r in data], "v array<double>")
+    far = np.array([[0.5, 0.5], [5.0, 5.0], [1e6, 1e6]])
+    monkeypatch.setattr(quantizer, "_seeds", lambda *args: far)
+    found, cost = quantizer.fit_large_kmeans(df, "v", 3, iters=25)
+    assert sorted(round(c[0]) for c in found) == [0, 1, 5] and cost < 1
+
+
+def test_tokenizer_chooses_by_size(spark, monkeypatch):
+    df = spark.createDataFrame([([float(i)],) for i in range(60)], "v array<double>")
+    monkeypatch.setattr(quantizer, "ROW_BY_ROW", 10)
+    assert quantizer.build_tokenizer(df, "v", k=20, iters=3).codebook.count() == 20
+    assert quantizer.build_pca_tokenizer(df, "v", k=20, iters=3).codebook.count() == 20
+
+
 def test_rotation_is_orthonormal_and_centred(blobs):
     model = quantizer.fit_rotation(blobs, "v")
     components = model.stages[1].pc.toArray()
