@@ -1,10 +1,14 @@
 import datetime as dt
+import os
 import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from sigframe.operators.ranking import global_rank, group_rank, spread_key, spread_slice
+from sigframe.operators.ranking import (
+    _with_slice, global_rank, group_rank, spread_key, spread_slice,
+)
 
 
 def expected(rows):
@@ -56,12 +60,45 @@ def test_group_rank_over_whole_table_and_timestamps(spark, frame):
     assert all(r["pos"] == r["i"] for r in ranked) and len(ranked) == 60
 
 
+def largest_window(df, order, slices):
+    sliced = _with_slice(df, order, slices)
+    return max(r["count"] for r in sliced.groupBy("_slice", "_sub").count().collect())
+
+
 def test_slices_bound_the_window(frame):
     df = frame([("hot", float(i), i) for i in range(1000)], "g string, t double, i int")
-    from sigframe.operators.ranking import _with_slice
+    assert largest_window(df, ["t"], 20) <= 2 * 1000 / 20
 
-    sizes = [r["count"] for r in _with_slice(df, "t", 20).groupBy("_slice").count().collect()]
-    assert max(sizes) <= 2 * 1000 / 20
+
+def test_crowded_values_are_cut_further(frame):
+    # A third of the rows share one time, another third has none.
+    rows = [("hot", {0: 7.0, 1: None, 2: float(i % 20)}[i % 3], i) for i in range(1200)]
+    rows += [("cold", -0.0, 5000), ("cold", 0.0, 4999), ("cold", float("nan"), 1), ("cold", float("inf"), 2)]
+    random.Random(4).shuffle(rows)
+    df = frame(rows, "g string, t double, i int")
+    assert largest_window(df, ["t", "i"], 20) <= 3 * 1200 / 20
+    ranked = {(r["g"], r["i"]): r["pos"] for r in group_rank(df, ["g"], ["t", "i"], "pos", slices=20).collect()}
+    hot = sorted((t is not None, t or 0.0, i) for g, t, i in rows if g == "hot")
+    assert [ranked["hot", i] for _, _, i in hot] == list(range(1200))
+    assert [ranked["cold", i] for i in (4999, 5000, 2, 1)] == [0, 1, 2, 3]
+
+
+def test_long_values_beyond_double_precision(frame):
+    base = 2**60
+    rows = [("a", base + i, -i) for i in range(300)]
+    df = frame(random.Random(5).sample(rows, 300), "g string, t long, i int")
+    ranked = {r["t"]: r["pos"] for r in group_rank(df, ["g"], ["t", "i"], "pos", slices=10).collect()}
+    assert ranked == {base + i: i for i in range(300)}
+
+
+def test_copies_spread_over_runs(spark):
+    df = spark.range(0, 4000, 1, 16).selectExpr("IF(id % 3 = 0, 'same', concat('p', id)) AS path")
+    ranked = global_rank(df, ["path"], "pos")
+    assert sorted(r["pos"] for r in ranked.collect()) == list(range(4000))
+    paths = [r["path"] for r in ranked.orderBy("pos").collect()]
+    assert paths == sorted(paths)
+    placed = spark.read.parquet(os.path.dirname(ranked.inputFiles()[0])).where("path = 'same'")
+    assert placed.select(F.shiftright("_row_id", 33)).distinct().count() > 1
 
 
 def test_global_rank_of_strings(frame):
