@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigframe.catalog.registry import (
-    CLIPS, CODEBOOK, FRAMES, PREDICTIONS, TOKENS,
-    clips, codebook, frames, predictions, query, rounded, table, tokens,
+    CLIPS, CODEBOOK, FRAMES, PREDICTIONS, clips, codebook, frames, predictions, query, table,
 )
-from sigframe.functions import paths
 from sigframe.operators import joins, matrix_profile as profile
 from sigframe.plans.classifier import label_index
 
