@@ -25,22 +25,22 @@ from sigframe.llm.text import column_bytes
 from sigframe.runtime import durable
 
 CHUNK_BYTES = 4_000_000
-SCHEMA = "chunk_id long, doc_ids array<long>, flags array<boolean>, n_words long, offsets binary, body binary"
+SCHEMA = "chunk_id long, doc_ids array<long>, tags array<int>, n_words long, offsets binary, body binary"
 _ARROW = pa.schema(
     [("chunk_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-     ("flags", pa.list_(pa.bool_())), ("n_words", pa.int64()), ("offsets", pa.binary()), ("body", pa.binary())]
+     ("tags", pa.list_(pa.int32())), ("n_words", pa.int64()), ("offsets", pa.binary()), ("body", pa.binary())]
 )
 
 
 def pack_documents(
-    docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, flag: Column | None = None
+    docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, tag: Column | None = None
 ) -> DataFrame:
     """A durable chunk table of ``doc_id`` and ``text``; documents lie in id order inside.
 
-    ``flag`` is kept for each document; null is false.
+    ``tag`` is a number kept for each document (0 by default).
     """
-    marked = F.coalesce(flag, F.lit(False)) if flag is not None else F.lit(False)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", marked.alias("flag"))
+    mark = (tag if tag is not None else F.lit(0)).cast("int").alias("tag")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -54,7 +54,7 @@ def pack_documents(
             row = {
                 "chunk_id": [(task << 32) + made],
                 "doc_ids": [docs_here["doc_id"].to_pylist()],
-                "flags": [docs_here["flag"].to_pylist()],
+                "tags": [docs_here["tag"].to_pylist()],
                 "n_words": [int(np.count_nonzero(body == 32)) + len(docs_here)],
                 "offsets": [offsets.tobytes()],
                 "body": [zstandard.compress(body.tobytes(), 3)],

@@ -1,18 +1,23 @@
 """Language model scores from a subword lattice.
 
-A text is its words in lower case, each after a blank, and an end.  The vocabulary of a
-public tokenizer gives the pieces; every piece has a probability, and the probability of
-a text is the sum over all ways to cut it into pieces, by a forward recursion in log
-space.  No piece crosses a blank, so the sum over a text is a product over its words and
-a word is computed once per chunk of documents.
+A text is its words in lower case and an end.  The probability of a word is the sum over
+all ways to cut it into pieces, by a forward recursion in log space: the pieces of a
+public tokenizer's vocabulary, and the whole word where training texts have it.  Words
+get their count less a discount; the mass taken off goes to the spellings, whose pieces
+are normalised among those that can stand at a place: with a leading blank at the start
+of a word, without one or the word's end further on.
 
-The file's scores are merge ranks.  They start the probabilities (inverse to the rank)
-and ``rounds`` of expectation-maximisation over all words of the training texts, counted,
-fit them: expected uses of a piece over all segmentations, plus ``smooth``.  Every byte
-is a piece, so every text has a positive probability.
+The vocabulary file's scores are merge ranks.  They start the probabilities (inverse to
+the rank), and ``rounds`` of expectation-maximisation over the distinct words of the
+training texts fit them: expected uses of a piece over all segmentations, plus
+``smooth``.  Every byte is a piece, so every text has a positive probability.
+
+Scores are kept by language of the training texts (null is one of its own), and the
+probability of a text is marginal over the language too, whatever its own is said to be.
 
 Word counts are merged by buckets of word hashes: a chunk sends each bucket its distinct
-words with their counts and gets the corpus counts back.
+words with their counts and gets the corpus counts back.  Nothing is sent per occurrence,
+and a word is spelled once per chunk.
 """
 
 from __future__ import annotations
@@ -38,11 +43,11 @@ PER_BUCKET = 1_000_000
 _RANK_SHIFT = 100.0
 
 WORDS = "bucket long, chunk_id long, words binary, counts binary"
-MERGED = "bucket long, chunk_id long, words binary, counts binary, n_words long, n_tokens long"
+MERGED = "bucket long, chunk_id long, words binary, counts binary, facts array<long>"
 _WORDS = pa.schema(
     [("bucket", pa.int64()), ("chunk_id", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]
 )
-_MERGED = pa.schema([*_WORDS, ("n_words", pa.int64()), ("n_tokens", pa.int64())])
+_MERGED = pa.schema([*_WORDS, ("facts", pa.list_(pa.int64()))])
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
     "base_score double, score double"
@@ -133,13 +138,21 @@ class Pieces:
         self.hashes = hashes[order]
         self.ranks = np.array([r for _, r in vocabulary])[order]
         self.longest = int((ends - starts).max())
+        self.opening = (body[starts] == 32)[order]
         self.table = np.zeros(1 << 22, dtype=bool)
         self.table[self.hashes & np.uint64(len(self.table) - 1)] = True
 
     def start(self) -> np.ndarray:
         """Probabilities inverse to the ranks of the file."""
-        weight = 1 / (self.ranks + _RANK_SHIFT)
-        return weight / weight.sum()
+        return self.normalised(1 / (self.ranks + _RANK_SHIFT), 0.1 * np.sum(1 / (self.ranks + _RANK_SHIFT)))
+
+    def normalised(self, weight: np.ndarray, stops: float) -> np.ndarray:
+        """Log probabilities from weights: of pieces that open a word among themselves,
+        of the others with the word's end, which comes last."""
+        inside = np.append(weight * ~self.opening, stops)
+        first = np.append(weight * self.opening, 0.0)
+        with np.errstate(divide="ignore"):
+            return np.log(first / first.sum() + inside / inside.sum())
 
     def lattice(self, words: list[bytes] | bytes) -> Lattice:
         """Pieces in words that are separated by single blanks."""
@@ -205,64 +218,135 @@ def _cut(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(bucket[low]), int(low), int(high)
 
 
-def _merge_words(table: pa.Table) -> pa.Table:
+def _merge_words(table: pa.Table, n_langs: int) -> pa.Table:
     """Corpus counts of a bucket: an answer for each chunk, and the words themselves
-    (without a ``chunk_id``), those that training texts have."""
-    texts = table["words"].to_pylist()
-    counts = np.concatenate([from_planes(c, np.int64) for c in table["counts"].to_pylist()])
-    sizes = [len(c) // 8 for c in table["counts"].to_pylist()]
-    body = np.frombuffer(b"".join(texts), np.uint8)
+    (without a ``chunk_id``), those that training texts have.
+
+    ``facts`` are distinct words in any language, and by language words, tokens, and
+    words that occur once and twice.
+    """
+    counts = [from_planes(c, np.uint32).reshape(-1, n_langs) for c in table["counts"].to_pylist()]
+    body = np.frombuffer(b"".join(table["words"].to_pylist()), np.uint8)
     words = split_words(body, np.array([0, len(body)]))
     _, at, of = np.unique(words.hashes, return_index=True, return_inverse=True)
-    total = np.bincount(of, counts, len(at)).astype(np.int64)
-    known = np.flatnonzero(total > 0)
+    every = np.concatenate(counts)
+    total = np.stack(
+        [np.bincount(of, every[:, k], len(at)) for k in range(n_langs)], axis=1
+    ).astype(np.int64)
+    known = np.flatnonzero(total.any(axis=1))
     surface, _ = _surface(words, at[known])
-    answers = np.split(total[of], np.cumsum(sizes)[:-1])
-    bucket = table["bucket"][0].as_py()
+    facts = [len(known)]
+    for few in (total > 0, total, total == 1, total == 2):
+        facts += few.sum(axis=0).tolist()
+    answers = np.split(total[of], np.cumsum([len(c) for c in counts])[:-1])
     n = len(answers)
     return pa.table([
-        pa.array([bucket] * (n + 1), pa.int64()),
+        pa.array([table["bucket"][0].as_py()] * (n + 1), pa.int64()),
         pa.array(table["chunk_id"].to_pylist() + [None], pa.int64()),
         pa.array([None] * n + [surface], pa.binary()),
         pa.array([planes(a) for a in answers] + [planes(total[known])], pa.binary()),
-        pa.array([None] * n + [len(known)], pa.int64()),
-        pa.array([None] * n + [int(total.sum())], pa.int64()),
+        pa.array([None] * n + [facts], pa.list_(pa.int64())),
     ], schema=_MERGED)
 
 
-def fit_pieces(vocabulary: DataFrame, pieces: Pieces, texts: int, rounds: int, smooth: float) -> np.ndarray:
-    """Log probabilities of the pieces and, last, of the end of a text."""
-    probability = pieces.start()
-    log_p = np.log(np.append(probability, 1e-6) / (1 + 1e-6))
-    spark = vocabulary.sparkSession
-    finder = spark.sparkContext.broadcast(pieces)
+@dataclass
+class Model:
+    """Word counts' facts and piece scores of every language."""
+
+    pieces: Pieces
+    log_p: np.ndarray  # language x (pieces and word's end)
+    texts: np.ndarray  # by language, as the next three
+    tokens: np.ndarray
+    distinct: np.ndarray
+    discount: np.ndarray
+    n_words: int  # distinct in any language
+
+    @property
+    def train_tokens(self) -> int:
+        return int(self.tokens.sum() + self.texts.sum())
+
+    @property
+    def base_floor(self) -> float:
+        """log10 of the denominator of add-one probabilities."""
+        return float(np.log10(self.train_tokens + self.n_words + bool(self.texts.sum()) + 1))
+
+    def word_scores(self, surface: bytes, counts: np.ndarray) -> np.ndarray:
+        """log10 probability of each word in each language."""
+        lattice = self.pieces.lattice(surface)
+        scores = np.zeros(counts.shape)
+        for k, log_p in enumerate(self.log_p):
+            spelled = np.exp(lattice.forward(log_p[:-1])[lattice.last] + log_p[-1])
+            escape = self.discount[k] * self.distinct[k]
+            # With no words there is nothing but spellings; tiny ones are kept above 0.
+            whole = np.maximum(self.tokens[k] + self.texts[k], 1)
+            mass = np.maximum(counts[:, k] - self.discount[k], 0) + (escape or 1.0) * spelled
+            with np.errstate(divide="ignore"):
+                scores[:, k] = np.log10(mass / whole)
+            lost = ~np.isfinite(scores[:, k])
+            if lost.any():
+                log_spelled = lattice.forward(log_p[:-1])[lattice.last][lost] + log_p[-1]
+                scores[lost, k] = log_spelled / np.log(10) + np.log10((escape or 1.0) / whole)
+        return scores
+
+    def text_scores(self, by_word: np.ndarray) -> np.ndarray:
+        """log10 probability of texts from sums over their words, marginal over languages."""
+        ends = np.log10(np.maximum(self.texts, 1) / np.maximum(self.tokens + self.texts, 1))
+        share = np.log10(np.maximum(self.texts, 1) / np.maximum(self.texts, 1).sum())
+        each = by_word + ends + share
+        top = each.max(axis=1, keepdims=True)
+        return top[:, 0] + np.log10(np.power(10.0, each - top).sum(axis=1))
+
+
+def fit_pieces(
+    vocabulary: DataFrame, pieces: Pieces, n_langs: int, rounds: int, smooth: float
+) -> np.ndarray:
+    """Log probabilities of pieces and word's end, by language, from distinct words."""
+    log_p = np.repeat(pieces.start()[None], n_langs, axis=0)
+    width = log_p.shape[1]
+    finder = vocabulary.sparkSession.sparkContext.broadcast(pieces)
     for _ in range(rounds):
-        now = log_p[:-1]
 
-        def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            uses = np.zeros(len(now))
+        def expect(batches: Iterator[pa.RecordBatch], now=log_p) -> Iterator[pa.RecordBatch]:
+            uses = np.zeros(now.shape)
             for row in rows_of(batches):
                 if row["words"]:
+                    counts = from_planes(row["counts"], np.int64).reshape(-1, n_langs)
                     lattice = finder.value.lattice(row["words"].rstrip(b" "))
-                    uses += lattice.expected(now, from_planes(row["counts"], np.int64))
+                    for k in range(n_langs):
+                        seen = (counts[:, k] > 0).astype(np.float64)
+                        uses[k, :-1] += lattice.expected(now[k, :-1], seen)
+                        uses[k, -1] += seen.sum()
             used = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used), pa.array(uses[used])], names=["piece", "uses"]
+                [pa.array(used), pa.array(uses.ravel()[used])], names=["place", "uses"]
             )
 
-        counted = vocabulary.select("words", "counts").mapInArrow(expect, "piece long, uses double")
-        rows = counted.groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
-        uses = np.full(len(now), smooth)
-        uses[rows["piece"].to_numpy()] += rows["uses"].to_numpy()
-        weight = np.append(uses, max(texts, 1))
-        log_p = np.log(weight / weight.sum())
+        counted = vocabulary.select("words", "counts").mapInArrow(expect, "place long, uses double")
+        rows = counted.groupBy("place").agg(F.sum("uses").alias("uses")).toArrow()
+        uses = np.full(n_langs * width, smooth)
+        uses[rows["place"].to_numpy()] += rows["uses"].to_numpy()
+        log_p = np.stack([pieces.normalised(u[:-1], u[-1]) for u in uses.reshape(n_langs, width)])
     return log_p
 
 
+def _codes(docs: DataFrame, out: Column, lang: str | None) -> tuple[Column, list[str | None]]:
+    """A tag per row, the place of its language or -1 where it is held out, and the languages
+    of the training rows, of which there are few."""
+    if lang is None:
+        return F.when(out, F.lit(-1)).otherwise(F.lit(0)), [None]
+    rows = docs.filter(~out).select(F.col(lang).cast("string").alias("l")).distinct().collect()
+    langs = sorted((r["l"] for r in rows), key=lambda x: (x is None, x or "")) or [None]
+    tag = F.when(out, F.lit(-1))
+    for k, name in enumerate(langs):
+        tag = tag.when(F.col(lang).cast("string").eqNullSafe(F.lit(name)), F.lit(k))
+    return tag.otherwise(F.lit(0)), langs
+
+
 def score_texts(
     docs: DataFrame,
     held_out: Column | None = None,
     vocabulary: str = VOCABULARY,
+    lang: str | None = "lang",
     rounds: int = ROUNDS,
     smooth: float = SMOOTH,
     chunk_bytes: int = CHUNK_BYTES,
@@ -270,22 +354,28 @@ def score_texts(
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row.
 
-    Reads ``doc_id, text``; other columns are ignored.  Rows for which ``held_out`` holds
-    are not learned from (default: crc32 of the id leaves 2 modulo 7; a null id is not
-    held out).  ``base_score`` is the log10 probability under add-one word counts,
-    ``score`` that of the lattice, both over lower-cased words and one end; null and
-    empty texts are an end alone.  Repeated rows count each time.  Without training
-    texts the vocabulary's own scores hold.  An empty table gives an empty result.
+    Reads ``doc_id, text`` and the language column (``None``: one model for all); other
+    columns are ignored.  Rows for which ``held_out`` holds are not learned from
+    (default: crc32 of the id leaves 2 modulo 7; a null id is not held out).
+    ``base_score`` is the log10 probability under add-one word counts, ``score`` that of
+    the lattice, both over lower-cased words and one end; null and empty texts are an
+    end alone.  Repeated rows count each time.  Without training texts the vocabulary's
+    own scores hold.  An empty table gives an empty result.
     """
     out = held_out if held_out is not None else F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    chunks = pack_documents(docs, chunk_bytes, flag=out)
+    tag, langs = _codes(docs, F.coalesce(out, F.lit(False)), lang)
+    n_langs = len(langs)
+    chunks = pack_documents(docs, chunk_bytes, tag=tag)
     bits = min(31, bucket_bits(chunks, per_bucket))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             words, hashes, at, of = _distinct(row)
-            trained = np.repeat(~np.array(row["flags"], dtype=bool), np.diff(words.offsets))
-            counts = np.bincount(of, trained, len(hashes)).astype(np.int64)
+            tags = np.repeat(np.array(row["tags"], np.int64), np.diff(words.offsets))
+            learned = tags >= 0
+            cell = of[learned] * n_langs + tags[learned]
+            counts = np.bincount(cell, minlength=len(hashes) * n_langs).astype(np.uint32)
+            counts = counts.reshape(-1, n_langs)
             surface, bounds = _surface(words, at)
             rows = [
                 (b, surface[bounds[low] : bounds[high]], planes(counts[low:high]))
@@ -301,40 +391,50 @@ def score_texts(
                 schema=_WORDS,
             )
 
-    asked = chunks.select("chunk_id", "flags", "offsets", "body", "doc_ids").mapInArrow(ask, WORDS)
-    merged = durable(asked.groupBy("bucket").applyInArrow(_merge_words, MERGED), "words")
+    asked = chunks.select("chunk_id", "tags", "offsets", "body", "doc_ids").mapInArrow(ask, WORDS)
+    merged = durable(
+        asked.groupBy("bucket").applyInArrow(lambda t: _merge_words(t, n_langs), MERGED), "words"
+    )
     known = merged.filter("chunk_id IS NULL")
-    facts = known.agg(F.sum("n_words"), F.sum("n_tokens")).first()
-    ends = chunks.select(F.sum(F.size(F.filter("flags", lambda x: ~x)))).first()[0] or 0
-    distinct = (facts[0] or 0) + (ends > 0)
-    tokens = (facts[1] or 0) + ends
+    width = 1 + 4 * n_langs
+    facts = known.select(*[F.sum(F.col("facts")[k]) for k in range(width)]).first()
+    facts = np.array([x or 0 for x in facts], np.float64)
+    distinct, tokens, once, twice = facts[1:].reshape(4, n_langs)
+    texts = np.zeros(n_langs)
+    for row in chunks.select(F.explode("tags").alias("t")).groupBy("t").count().collect():
+        if row["t"] >= 0:
+            texts[row["t"]] = row["count"]
     pieces = Pieces(read_vocabulary(vocabulary))
-    log_p = fit_pieces(known, pieces, ends, rounds, smooth)
-    model = docs.sparkSession.sparkContext.broadcast((pieces, log_p / np.log(10)))
+    model = Model(
+        pieces, fit_pieces(known, pieces, n_langs, rounds, smooth), texts, tokens, distinct,
+        np.clip((once + 0.5) / (once + 2 * twice + 1), 0.1, 0.9), int(facts[0]),
+    )
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, log10_p = model.value
-        floor = np.log10(tokens + distinct + 1)
+        m = shared.value
+        texts = int(m.texts.sum())
         for row in rows_of(batches):
             words, hashes, at, of = _distinct(row)
-            counts = np.zeros(len(hashes), np.int64)
+            counts = np.zeros((len(hashes), n_langs), np.int64)
             answers = {a["bucket"]: a["counts"] for a in row["answers"] or ()}
             for b, low, high in _cut(hashes, bits):
-                counts[low:high] = from_planes(answers[b], np.int64)
+                counts[low:high] = from_planes(answers[b], np.int64).reshape(-1, n_langs)
             surface, _ = _surface(words, at)
-            lattice = finder.lattice(surface.rstrip(b" "))
-            word_score = lattice.forward(log10_p[:-1] * np.log(10))[lattice.last] / np.log(10)
-            base = np.log10(counts + 1.0) - floor
+            by_word = m.word_scores(surface.rstrip(b" "), counts)
+            by_text = np.stack([sums_by(by_word[of, k], words.offsets) for k in range(n_langs)], axis=1)
+            corpus = counts.sum(axis=1)
+            base = np.log10(corpus + 1.0) - m.base_floor
             n = np.diff(words.offsets)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(row["flags"], pa.bool_()),
+                    pa.array(np.array(row["tags"], np.int64) < 0),
                     pa.array(n + 1),
-                    pa.array(sums_by((counts > 0)[of].astype(np.int64), words.offsets) + int(ends > 0)),
-                    pa.array(np.full(len(n), tokens)),
-                    pa.array(sums_by(base[of], words.offsets) + np.log10(ends + 1.0) - floor),
-                    pa.array(sums_by(word_score[of], words.offsets) + log10_p[-1]),
+                    pa.array(sums_by((corpus > 0)[of].astype(np.int64), words.offsets) + int(texts > 0)),
+                    pa.array(np.full(len(n), m.train_tokens)),
+                    pa.array(sums_by(base[of], words.offsets) + np.log10(texts + 1.0) - m.base_floor),
+                    pa.array(m.text_scores(by_text)),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
@@ -343,4 +443,4 @@ def score_texts(
         F.collect_list(F.struct("bucket", "counts")).alias("answers")
     )
     both = chunks.join(answers, "chunk_id", "left")
-    return both.select("doc_ids", "flags", "offsets", "body", "answers").mapInArrow(score, RESULT)
+    return both.select("doc_ids", "tags", "offsets", "body", "answers").mapInArrow(score, RESULT)
