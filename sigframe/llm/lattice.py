@@ -16,8 +16,8 @@ Scores are kept by language of the training texts (null is one of its own), and
 probability of a text is marginal over the language too, whatever its own is said to be.
 
 Word counts are merged by buckets of word hashes: a chunk sends each bucket its distinct
-words with their counts and gets the corpus counts back.  Nothing is sent per occurrence,
-and a word is spelled once per chunk.
+words with their counts, and gets the corpus counts and the scores of its words back.
+Nothing is sent per occurrence, and every distinct word of the corpus is spelled once.
 """
 
 from __future__ import annotations
@@ -43,11 +43,19 @@ PER_BUCKET = 1_000_000
 _RANK_SHIFT = 100.0
 
 WORDS = "bucket long, chunk_id long, words binary, counts binary"
-MERGED = "bucket long, chunk_id long, words binary, counts binary, facts array<long>"
+MERGED = (
+    "bucket long, words binary, counts binary, facts array<long>, chunk_ids array<long>, "
+    "sizes array<long>, places binary"
+)
+SCORED = "bucket long, chunk_id long, counts binary, scores binary"
 _WORDS = pa.schema(
     [("bucket", pa.int64()), ("chunk_id", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]
 )
-_MERGED = pa.schema([*_WORDS, ("facts", pa.list_(pa.int64()))])
+_LONGS = pa.list_(pa.int64())
+_MERGED = pa.schema(
+    [("bucket", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("facts", _LONGS),
+     ("chunk_ids", _LONGS), ("sizes", _LONGS), ("places", pa.binary())]
+)
 RESULT = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
     "base_score double, score double"
@@ -77,53 +85,71 @@ def read_vocabulary(path: str) -> list[tuple[bytes, float]]:
     return sorted(ranks.items())
 
 
-@dataclass
 class Lattice:
-    """All pieces in a list of words: arcs between the places before and after a byte."""
+    """All pieces in a list of words: arcs between the places before and after a byte.
+
+    Arcs are kept in order of the depth of their end, the number of bytes before it, and
+    of the end itself, so that one pass over the depths sums over all segmentations.
+    """
 
-    nodes: int
-    first: np.ndarray  # node before each word
-    last: np.ndarray  # node behind each word
-    begin: np.ndarray
-    end: np.ndarray
-    piece: np.ndarray
-    edges: np.ndarray  # arcs of one depth lie between two edges
-    depth: np.ndarray  # of each end node
+    def __init__(self, first: np.ndarray, sizes: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: np.ndarray):
+        self.first, self.last = first, first + sizes
+        self.nodes = int(sizes.sum()) + len(sizes)
+        self.depth = np.arange(self.nodes) - np.repeat(first, sizes + 1)
+        order = _by_depth(end, self.depth)
+        self.begin, self.end, self.piece = begin[order], end[order], piece[order]
 
     def forward(self, log_p: np.ndarray) -> np.ndarray:
-        """Log probability of all ways from the word's begin to each node."""
-        total = np.full(self.nodes, -np.inf)
+        """Log probability of all ways from the word's begin to each node; a column for
+        each column of ``log_p``."""
+        total = np.full((self.nodes, log_p.shape[1]), -np.inf)
         total[self.first] = 0.0
-        for low, high in zip(self.edges[:-1], self.edges[1:]):
+        depth = self.depth[self.end]
+        for low, high in _runs(depth):
             part = slice(low, high)
             _merge(total, self.end[part], total[self.begin[part]] + log_p[self.piece[part]])
         return total
 
-    def expected(self, log_p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of every piece, words weighing ``counts``."""
+    def expected(self, log_p: np.ndarray) -> np.ndarray:
+        """Expected uses of every piece if each word occurs once; ``log_p`` has one column."""
         ahead = self.forward(log_p)
         word = np.repeat(np.arange(len(self.first)), self.last - self.first + 1)
-        back = np.full(self.nodes, -np.inf)
+        back = np.full((self.nodes, 1), -np.inf)
         back[self.last] = 0.0
-        order = np.lexsort((self.begin, -self.depth[self.begin]))
-        depth = -self.depth[self.begin][order]
-        cuts = np.flatnonzero(np.diff(depth, prepend=1)) if len(depth) else np.zeros(0, int)
-        for low, high in zip(cuts, np.append(cuts[1:], len(order))):
-            arc = order[low:high]
-            _merge(back, self.begin[arc], back[self.end[arc]] + log_p[self.piece[arc]])
-        whole = ahead[self.last][word[self.begin]]
-        use = np.exp(ahead[self.begin] + log_p[self.piece] + back[self.end] - whole)
-        return np.bincount(self.piece, use * counts[word[self.begin]], len(log_p))
+        order = _by_depth(self.begin, self.depth)
+        begin, end, score = self.begin[order], self.end[order], log_p[self.piece[order]]
+        for low, high in reversed(_runs(self.depth[begin])):
+            part = slice(low, high)
+            _merge(back, begin[part], back[end[part]] + score[part])
+        whole = ahead[self.last][word[begin]]
+        use = np.exp(ahead[begin] + score + back[end] - whole)
+        return np.bincount(self.piece[order], use[:, 0], len(log_p))
+
+
+def _by_depth(node: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Order of arcs by depth of a node and the node; nodes come in a few rising runs."""
+    by_node = np.argsort(node, kind="stable")
+    level = depth[node[by_node]]
+    if len(level) and level.max() < 2**16:
+        level = level.astype(np.uint16)  # sorted by digits
+    return by_node[np.argsort(level, kind="stable")]
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    if not len(values):
+        return []
+    cuts = np.flatnonzero(np.diff(values, prepend=values[0] - 1))
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)]))
 
 
 def _merge(total: np.ndarray, target: np.ndarray, value: np.ndarray) -> None:
-    """Add values in log space to sorted targets."""
-    if not len(target):
-        return
+    """Set sorted targets to the sums of their values in log space."""
     cut = np.flatnonzero(np.diff(target, prepend=target[0] - 1))
-    top = np.maximum.reduceat(value, cut)
-    spread = np.repeat(top, np.diff(np.append(cut, len(value))))
-    total[target[cut]] = top + np.log(np.add.reduceat(np.exp(value - spread), cut))
+    top = np.maximum(np.maximum.reduceat(value, cut, axis=0), -1e300)
+    spread = np.repeat(top, np.diff(np.append(cut, len(value))), axis=0)
+    with np.errstate(divide="ignore"):
+        total[target[cut]] = top + np.log(np.add.reduceat(np.exp(value - spread), cut, axis=0))
 
 
 class Pieces:
@@ -139,8 +165,21 @@ class Pieces:
         self.ranks = np.array([r for _, r in vocabulary])[order]
         self.longest = int((ends - starts).max())
         self.opening = (body[starts] == 32)[order]
-        self.table = np.zeros(1 << 22, dtype=bool)
-        self.table[self.hashes & np.uint64(len(self.table) - 1)] = True
+        # By the low bits of a hash: the piece that may have it, and whether it may be a
+        # piece (1), the begin of a longer one (2), or one of several (4).
+        self.table = np.zeros(1 << 22, np.uint8)
+        cell = self._cell(self.hashes)
+        self.table[cell] = 1
+        self.slot = np.zeros(len(self.table), np.int32)
+        self.slot[cell] = np.arange(len(cell))
+        self.table[cell[self.slot[cell] != np.arange(len(cell))]] |= 4
+        ranges = RangeHashes(byte_codes(body))
+        for length in range(1, self.longest):
+            longer = starts[ends - starts > length]
+            self.table[self._cell(ranges.of(longer, longer + length))] |= 2
+
+    def _cell(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(len(self.table) - 1)).astype(np.int64)
 
     def start(self) -> np.ndarray:
         """Probabilities inverse to the ranks of the file."""
@@ -165,29 +204,25 @@ class Pieces:
         place = np.arange(len(body)) - np.repeat(starts, sizes)
         room = np.repeat(sizes, sizes) - place
         ranges = RangeHashes(byte_codes(body))
-        begins, ends, pieces = [], [], []
+        begins, ends, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = np.arange(len(body))
         for length in range(1, self.longest + 1):
-            at = np.flatnonzero(room >= length)
+            at = at[room[at] >= length]
             if not len(at):
                 break
             hashes = ranges.of(at, at + length)
-            near = self.table[hashes & np.uint64(len(self.table) - 1)]
-            at, hashes = at[near], hashes[near]
-            k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hit = self.hashes[k] == hashes
-            begins.append(at[hit] + word[at[hit]])
+            cell = self._cell(hashes)
+            kind = self.table[cell]
+            maybe = kind & 1 > 0
+            here, found, k = at[maybe], hashes[maybe], self.slot[cell[maybe]]
+            several = np.flatnonzero(kind[maybe] & 4)
+            k[several] = np.searchsorted(self.hashes, found[several]) % len(self.hashes)
+            hit = self.hashes[k] == found
+            begins.append(here[hit] + word[here[hit]])
             ends.append(begins[-1] + length)
             pieces.append(k[hit])
-        if not begins:
-            none = np.zeros(0, np.int64)
-            return Lattice(0, none, none, none, none, none, np.zeros(1, np.int64), none)
-        begin, end, piece = (np.concatenate(x) for x in (begins, ends, pieces))
-        nodes = len(body) + len(starts)
-        depth = np.arange(nodes) - np.repeat(first, sizes + 1)
-        order = np.lexsort((end, depth[end]))
-        begin, end, piece = begin[order], end[order], piece[order]
-        edges = np.searchsorted(depth[end], np.arange(1, int(depth.max()) + 2))
-        return Lattice(nodes, first, first + sizes, begin, end, piece, edges, depth)
+            at = at[kind & 2 > 0]
+        return Lattice(first, sizes, *(np.concatenate(x) for x in (begins, ends, pieces)))
 
 
 def _distinct(row: dict) -> tuple:
@@ -219,10 +254,10 @@ def _cut(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _merge_words(table: pa.Table, n_langs: int) -> pa.Table:
-    """Corpus counts of a bucket: an answer for each chunk, and the words themselves
-    (without a ``chunk_id``), those that training texts have.
+    """The one row of a bucket: its distinct words with corpus counts by language, and for
+    each chunk the places of its words among them.
 
-    ``facts`` are distinct words in any language, and by language words, tokens, and
+    ``facts`` are distinct words of training texts, and by language words, tokens, and
     words that occur once and twice.
     """
     counts = [from_planes(c, np.uint32).reshape(-1, n_langs) for c in table["counts"].to_pylist()]
@@ -233,19 +268,18 @@ def _merge_words(table: pa.Table, n_langs: int) -> pa.Table:
     total = np.stack(
         [np.bincount(of, every[:, k], len(at)) for k in range(n_langs)], axis=1
     ).astype(np.int64)
-    known = np.flatnonzero(total.any(axis=1))
-    surface, _ = _surface(words, at[known])
-    facts = [len(known)]
+    surface, _ = _surface(words, at)
+    facts = [int(total.any(axis=1).sum())]
     for few in (total > 0, total, total == 1, total == 2):
         facts += few.sum(axis=0).tolist()
-    answers = np.split(total[of], np.cumsum([len(c) for c in counts])[:-1])
-    n = len(answers)
     return pa.table([
-        pa.array([table["bucket"][0].as_py()] * (n + 1), pa.int64()),
-        pa.array(table["chunk_id"].to_pylist() + [None], pa.int64()),
-        pa.array([None] * n + [surface], pa.binary()),
-        pa.array([planes(a) for a in answers] + [planes(total[known])], pa.binary()),
-        pa.array([None] * n + [facts], pa.list_(pa.int64())),
+        pa.array([table["bucket"][0].as_py()], pa.int64()),
+        pa.array([surface], pa.binary()),
+        pa.array([planes(total)], pa.binary()),
+        pa.array([facts], _LONGS),
+        pa.array([table["chunk_id"].to_pylist()], _LONGS),
+        pa.array([[len(c) for c in counts]], _LONGS),
+        pa.array([planes(of.astype(np.uint32))], pa.binary()),
     ], schema=_MERGED)
 
 
@@ -254,7 +288,7 @@ class Model:
     """Word counts' facts and piece scores of every language."""
 
     pieces: Pieces
-    log_p: np.ndarray  # language x (pieces and word's end)
+    log_p: np.ndarray  # (pieces and word's end) x language
     texts: np.ndarray  # by language, as the next three
     tokens: np.ndarray
     distinct: np.ndarray
@@ -273,20 +307,12 @@ class Model:
     def word_scores(self, surface: bytes, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each word in each language."""
         lattice = self.pieces.lattice(surface)
-        scores = np.zeros(counts.shape)
-        for k, log_p in enumerate(self.log_p):
-            spelled = np.exp(lattice.forward(log_p[:-1])[lattice.last] + log_p[-1])
-            escape = self.discount[k] * self.distinct[k]
-            # With no words there is nothing but spellings; tiny ones are kept above 0.
-            whole = np.maximum(self.tokens[k] + self.texts[k], 1)
-            mass = np.maximum(counts[:, k] - self.discount[k], 0) + (escape or 1.0) * spelled
-            with np.errstate(divide="ignore"):
-                scores[:, k] = np.log10(mass / whole)
-            lost = ~np.isfinite(scores[:, k])
-            if lost.any():
-                log_spelled = lattice.forward(log_p[:-1])[lattice.last][lost] + log_p[-1]
-                scores[lost, k] = log_spelled / np.log(10) + np.log10((escape or 1.0) / whole)
-        return scores
+        spelled = lattice.forward(self.log_p[:-1])[lattice.last] + self.log_p[-1]
+        # Without any word there is nothing but spellings.
+        escape = np.where(self.distinct > 0, self.discount * self.distinct, 1.0)
+        known = np.log(np.maximum(counts - self.discount, 1e-300))
+        mass = np.where(counts > 0, np.logaddexp(known, spelled + np.log(escape)), spelled + np.log(escape))
+        return (mass - np.log(np.maximum(self.tokens + self.texts, 1))) / np.log(10)
 
     def text_scores(self, by_word: np.ndarray) -> np.ndarray:
         """log10 probability of texts from sums over their words, marginal over languages."""
@@ -301,8 +327,7 @@ def fit_pieces(
     vocabulary: DataFrame, pieces: Pieces, n_langs: int, rounds: int, smooth: float
 ) -> np.ndarray:
     """Log probabilities of pieces and word's end, by language, from distinct words."""
-    log_p = np.repeat(pieces.start()[None], n_langs, axis=0)
-    width = log_p.shape[1]
+    log_p = np.repeat(pieces.start()[:, None], n_langs, axis=1)
     finder = vocabulary.sparkSession.sparkContext.broadcast(pieces)
     for _ in range(rounds):
 
@@ -311,11 +336,12 @@ def fit_pieces(
             for row in rows_of(batches):
                 if row["words"]:
                     counts = from_planes(row["counts"], np.int64).reshape(-1, n_langs)
-                    lattice = finder.value.lattice(row["words"].rstrip(b" "))
+                    words = np.array(row["words"].rstrip(b" ").split(b" "), dtype=object)
                     for k in range(n_langs):
-                        seen = (counts[:, k] > 0).astype(np.float64)
-                        uses[k, :-1] += lattice.expected(now[k, :-1], seen)
-                        uses[k, -1] += seen.sum()
+                        seen = words[counts[:, k] > 0].tolist()
+                        lattice = finder.value.lattice(seen)
+                        uses[:-1, k] += lattice.expected(now[:-1, k : k + 1])
+                        uses[-1, k] += len(seen)
             used = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used), pa.array(uses.ravel()[used])], names=["place", "uses"]
@@ -323,9 +349,10 @@ def fit_pieces(
 
         counted = vocabulary.select("words", "counts").mapInArrow(expect, "place long, uses double")
         rows = counted.groupBy("place").agg(F.sum("uses").alias("uses")).toArrow()
-        uses = np.full(n_langs * width, smooth)
+        uses = np.full(log_p.size, smooth)
         uses[rows["place"].to_numpy()] += rows["uses"].to_numpy()
-        log_p = np.stack([pieces.normalised(u[:-1], u[-1]) for u in uses.reshape(n_langs, width)])
+        uses = uses.reshape(log_p.shape)
+        log_p = np.stack([pieces.normalised(u[:-1], u[-1]) for u in uses.T], axis=1)
     return log_p
 
 
@@ -395,9 +422,8 @@ def score_texts(
     merged = durable(
         asked.groupBy("bucket").applyInArrow(lambda t: _merge_words(t, n_langs), MERGED), "words"
     )
-    known = merged.filter("chunk_id IS NULL")
     width = 1 + 4 * n_langs
-    facts = known.select(*[F.sum(F.col("facts")[k]) for k in range(width)]).first()
+    facts = merged.select(*[F.sum(F.col("facts")[k]) for k in range(width)]).first()
     facts = np.array([x or 0 for x in facts], np.float64)
     distinct, tokens, once, twice = facts[1:].reshape(4, n_langs)
     texts = np.zeros(n_langs)
@@ -406,24 +432,41 @@ def score_texts(
             texts[row["t"]] = row["count"]
     pieces = Pieces(read_vocabulary(vocabulary))
     model = Model(
-        pieces, fit_pieces(known, pieces, n_langs, rounds, smooth), texts, tokens, distinct,
+        pieces, fit_pieces(merged, pieces, n_langs, rounds, smooth), texts, tokens, distinct,
         np.clip((once + 0.5) / (once + 2 * twice + 1), 0.1, 0.9), int(facts[0]),
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            counts = from_planes(row["counts"], np.int64).reshape(-1, n_langs)
+            scores = shared.value.word_scores(row["words"].rstrip(b" "), counts).astype(np.float32)
+            corpus = counts.sum(axis=1)
+            places = from_planes(row["places"], np.uint32)
+            parts = np.split(places, np.cumsum(row["sizes"])[:-1])
+            for chunk_id, part in zip(row["chunk_ids"], parts):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["bucket"]]),
+                        pa.array([chunk_id]),
+                        pa.array([planes(corpus[part])], pa.binary()),
+                        pa.array([scores[part].tobytes()], pa.binary()),
+                    ],
+                    names=["bucket", "chunk_id", "counts", "scores"],
+                )
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         texts = int(m.texts.sum())
         for row in rows_of(batches):
             words, hashes, at, of = _distinct(row)
-            counts = np.zeros((len(hashes), n_langs), np.int64)
-            answers = {a["bucket"]: a["counts"] for a in row["answers"] or ()}
-            for b, low, high in _cut(hashes, bits):
-                counts[low:high] = from_planes(answers[b], np.int64).reshape(-1, n_langs)
-            surface, _ = _surface(words, at)
-            by_word = m.word_scores(surface.rstrip(b" "), counts)
-            by_text = np.stack([sums_by(by_word[of, k], words.offsets) for k in range(n_langs)], axis=1)
-            corpus = counts.sum(axis=1)
+            answers = sorted(row["answers"] or (), key=lambda a: a["bucket"])
+            corpus = np.concatenate(
+                [np.zeros(0, np.int64), *(from_planes(a["counts"], np.int64) for a in answers)]
+            )
+            by_word = np.frombuffer(b"".join(a["scores"] for a in answers), np.float32)
+            by_word = by_word.reshape(-1, n_langs).astype(np.float64)[of]
+            by_text = np.stack([sums_by(by_word[:, k], words.offsets) for k in range(n_langs)], axis=1)
             base = np.log10(corpus + 1.0) - m.base_floor
             n = np.diff(words.offsets)
             yield pa.RecordBatch.from_arrays(
@@ -439,8 +482,9 @@ def score_texts(
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    answers = merged.filter("chunk_id IS NOT NULL").groupBy("chunk_id").agg(
-        F.collect_list(F.struct("bucket", "counts")).alias("answers")
+    answers = merged.select("bucket", "words", "counts", "chunk_ids", "sizes", "places").mapInArrow(answer, SCORED)
+    listed = answers.groupBy("chunk_id").agg(
+        F.collect_list(F.struct("bucket", "counts", "scores")).alias("answers")
     )
-    both = chunks.join(answers, "chunk_id", "left")
+    both = chunks.join(listed, "chunk_id", "left")
     return both.select("doc_ids", "tags", "offsets", "body", "answers").mapInArrow(score, RESULT)
