@@ -185,11 +185,13 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 def sample_languages(train: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` documents of each language, those with the smallest hashes.
 
-    The share drawn follows from the language's count, so no language is sorted.
+    The share drawn follows from the language's count (languages are few, so the counts
+    are part of the filter); texts are neither sorted nor shuffled.
     """
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0) * F.col("n")
-    return train.join(sizes, "lang").filter(share < float(per_language))
+    share = F.lit(0.0)
+    for row in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():
+        share = F.when(F.col("lang") == row["lang"], per_language / row["n"]).otherwise(share)
+    return train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share)
 
 
 def fit_languages(train: DataFrame, per_language: int = PER_LANGUAGE) -> ContextTree:
