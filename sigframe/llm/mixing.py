@@ -35,7 +35,8 @@ def word_count(text: str | Column = "text") -> Column:
 def text_quality(text: str | Column = "text") -> Column:
     """Weight from 0.1 to 1: the share of ASCII signs and capitals, from 1/4 up, lowers it."""
     text = F.col(text) if isinstance(text, str) else text
-    noise = F.length(F.regexp_replace(text, "[^!-@\\[-`{-~A-Z]+", "")) / F.length(text)
+    signs = F.length(F.regexp_replace(text, "[^!-@\\[-`{-~A-Z]+", ""))
+    noise = F.try_divide(signs, F.length(text))
     return F.greatest(F.lit(0.1), F.lit(1.0) - F.greatest(F.lit(0.0), F.coalesce(noise, F.lit(1.0)) - 0.25))
 
 
@@ -131,7 +132,7 @@ def mix_sources(
         keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))),
         starts, ["source", "slice"],
     )
-    epochs = F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size"))).cast("long")
+    epochs = F.least(F.lit(max_epochs), F.floor(F.try_divide("target", "source_size"))).cast("long")
     epochs = F.when(F.col("source_size") > 0, epochs).otherwise(F.lit(0))
     rest = F.floor(F.col("target") - epochs * F.col("source_size") + 0.5).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("ahead") - F.col("inside")))
