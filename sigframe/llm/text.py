@@ -30,7 +30,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = 1 << int(n).bit_length()
+        size = -(-n // 2**18) * 2**18
         for k, factor in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             column = np.full(size, factor, np.uint64)
             column[0] = 1
@@ -51,7 +51,8 @@ class RangeHashes:
     def __init__(self, codes: np.ndarray):
         up, self.down = powers(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], out=self.sums[1:])
+        np.multiply(codes, up[: len(codes)], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         lengths = (ends - starts).astype(np.uint64)
