@@ -122,6 +122,17 @@ def clusters_per_file_summary(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "stddev")})
 
 
+@query("describe_text", """
+SELECT 'event_type' AS "column", count(event_type) AS count, count(DISTINCT event_type) AS "distinct",
+       min(event_type) AS min, max(event_type) AS max, min(length(event_type)) AS shortest,
+       max(length(event_type)) AS longest FROM events
+UNION ALL
+SELECT 'props', count(props), count(DISTINCT props), min(props), max(props), min(length(props)),
+       max(length(props)) FROM events""")
+def describe_text(spark, sf):
+    return profile.describe_text(table(spark, sf, "events"))
+
+
 @query("describe", """
 SELECT 'value' AS "column", count(value) AS count, round(avg(value), 6) AS mean,
        round(stddev_samp(value), 6) AS stddev, min(value) AS min, max(value) AS max FROM events UNION ALL

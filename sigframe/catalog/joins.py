@@ -100,6 +100,19 @@ def first_clip_per_file(spark, sf):
     )
 
 
+@query("with_first_vector", f"""WITH {CLIPS}, firsts AS (
+  SELECT file, embedding AS first FROM clips
+  QUALIFY row_number() OVER (PARTITION BY file ORDER BY start_time) = 1)
+SELECT vec_id, file, i - 1 AS pos, round(first[i], 6) AS value
+FROM clips JOIN firsts USING (file), range(1, 65) AS t(i)""")
+def with_first_vector(spark, sf):
+    data = clips(spark, sf).select("vec_id", "file", "start_time", "embedding")
+    found = joins.with_first_vector(data)
+    return found.select("vec_id", "file", F.posexplode("first_vector").alias("pos", "value")).select(
+        "vec_id", "file", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value")
+    )
+
+
 @query("semi_join", """
 SELECT o_orderkey, o_custkey FROM orders
 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
@@ -110,10 +123,11 @@ def semi_join(spark, sf):
 
 
 @query("anti_join", """
-SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+SELECT c_custkey FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)""")
 def anti_join(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey")
-    orders = table(spark, sf, "orders")
+    orders = table(spark, sf, "orders").where("o_totalprice > 250000")
     return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_anti")
 
 
@@ -144,14 +158,14 @@ def time_bucket_join(spark, sf):
 
 
 @query("positional_join", """
-WITH a AS (SELECT user_id, ts, value FROM events), b AS (SELECT user_id, ts, event_type FROM events)
-SELECT user_id, round(value, 6) AS value, event_type FROM a JOIN b USING (user_id, ts)""")
+WITH a AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events),
+b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders)
+SELECT pos, event_id, o_orderkey FROM a JOIN b USING (pos)""")
 def positional_join(spark, sf):
-    data = table(spark, sf, "events")
-    left = data.select("user_id", "ts", "value")
-    right = data.select("user_id", "ts", "event_type")
-    joined = left.join(right, ["user_id", "ts"])
-    return joined.select("user_id", F.round("value", 6).alias("value"), "event_type")
+    left = table(spark, sf, "events").select("event_id", "ts")
+    right = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    joined = joins.positional_join(left, ["ts", "event_id"], right, ["o_totalprice", "o_orderkey"])
+    return joined.select("pos", "event_id", "o_orderkey")
 
 
 @query("matrix_profile", """WITH ranked AS (

@@ -159,7 +159,7 @@ def train_holdout_by_part(spark, sf):
     return both.groupBy("is_train", "part").agg(F.count("*").alias("n"))
 
 
-SPREAD = "((({id} + {seed}) % 2147483648) * 2654435761) % 4294967296"
+SPREAD = "('0x' || substr(md5({id} || ':' || {seed}), 1, 8))::BIGINT"
 
 
 @query("stratified_split", f"""WITH ranked AS (

@@ -271,8 +271,11 @@ def save_model(spark, sf):
     path = scratch_path(spark, "model")
     data = frames(spark, sf).select("file", "mfcc")
     built = quantizer.build_pca_tokenizer(data, "mfcc", k=8, iters=5)
-    built.save(path)
-    loaded = quantizer.Tokenizer.load(spark, path, rotated=True)
+    built.codebook.write.parquet(f"{path}/codebook")
+    sinks.save_model(built.rotation, f"{path}/rotation")
+    loaded = quantizer.Tokenizer(
+        spark.read.parquet(f"{path}/codebook"), sinks.load_model(spark, f"{path}/rotation")
+    )
     both = quantizer.tokenize(quantizer.tokenize(data, built, out="one"), loaded, out="two")
     return both.groupBy("file").agg(
         F.count("*").alias("n"), F.count_if(F.col("one") == F.col("two")).alias("n_same")

@@ -16,13 +16,12 @@ def _stamped(events):
 
 def _stream(spark, sf):
     """Stream of the events table, whether it is one file or a directory."""
-    schema = table(spark, sf, "events").schema
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.getFileStatus(path).isDirectory():
-        raw = jobs.stream_files(spark, f"{sf}/events.parquet", schema)
+    events = table(spark, sf, "events")
+    files = events.select("_metadata.file_path").distinct().limit(2).collect()
+    if files and files[0][0].endswith("/events.parquet"):
+        raw = jobs.stream_files(spark, sf, events.schema, "events.parquet")
     else:
-        raw = jobs.stream_files(spark, sf, schema, "events.parquet")
+        raw = jobs.stream_files(spark, f"{sf}/events.parquet", events.schema)
     return _stamped(raw)
 
 
@@ -36,12 +35,17 @@ def _check(df):
     )
 
 
+def _merged(df):
+    """Windows of a number, whose means and deviations are arrays of one."""
+    return _check(df.withColumn("mean", F.get("mean", F.lit(0))).withColumn("std", F.get("std", F.lit(0))))
+
+
 WINDOWED = """stats AS (
   SELECT event_type, s AS start, s + {length} AS "end", count(*) AS n, round(avg(value * pi()), 6) + 0e0 AS mean,
          round(stddev_pop(value * pi()), 4) + 0e0 AS std,
          round(min(value * pi()), 6) AS low, round(max(value * pi()), 6) AS high
   FROM starts GROUP BY event_type, s)
-SELECT * FROM stats WHERE "end" <= (SELECT max(epoch(ts)) - {delay} FROM events)"""
+SELECT * FROM stats"""
 
 
 @query("stream_files", "SELECT event_id, user_id, event_type FROM events")
@@ -51,12 +55,10 @@ def stream_files(spark, sf):
 
 @query("stream_bucket_features", """WITH starts AS (
   SELECT event_type, value, (floor(epoch(ts) / 3600) * 3600)::BIGINT AS s FROM events),
-""" + WINDOWED.format(length=3600, delay=600))
+""" + WINDOWED.format(length=3600))
 def stream_bucket_features(spark, sf):
-    found = jobs.stream_bucket_features(
-        _stream(spark, sf), ["event_type"], "value", "ts", 3600, "10 minutes"
-    )
-    return _check(jobs.drained(found, "buckets"))
+    window = jobs.window_of("ts", 3600)
+    return _merged(jobs.windows_so_far(_stream(spark, sf), ["event_type"], window, "value", "buckets"))
 
 
 @query("stream_vector_features", """WITH parts AS (
@@ -65,31 +67,29 @@ stats AS (
   SELECT event_type, start, count(*) AS n, round(avg(v[1]), 6) AS m0, round(avg(v[2]), 6) AS m1,
          round(stddev_pop(v[1]), 4) + 0e0 AS s0, round(stddev_pop(v[2]), 4) + 0e0 AS s1
   FROM parts GROUP BY event_type, start)
-SELECT * FROM stats WHERE start + 3600 <= (SELECT max(epoch(ts)) - 600 FROM events)""")
+SELECT * FROM stats""")
 def stream_vector_features(spark, sf):
     stream = _stream(spark, sf)
     framed = stream.withColumn("v", F.array("value", F.col("user_id") * F.pi()))
-    found = jobs.stream_bucket_features(framed, ["event_type"], "v", "ts", 3600, "10 minutes")
-    stats = ["m0", "m1", "s0", "s1"]
-    return jobs.drained(found, "vectors").select(
+    found = jobs.windows_so_far(framed, ["event_type"], jobs.window_of("ts", 3600), "v", "vectors")
+    return found.select(
         "event_type", F.unix_seconds("window_start").alias("start"), "n",
-        *[rounded(F.get("stats", F.lit(i)), 6 if i < 2 else 4).alias(c) for i, c in enumerate(stats)],
+        *[rounded(F.get("mean", F.lit(i))).alias(f"m{i}") for i in range(2)],
+        *[rounded(F.get("std", F.lit(i)), 4).alias(f"s{i}") for i in range(2)],
     )
 
 
 @query("stream_clips", """WITH starts AS (
   SELECT event_type, value, (floor(epoch(ts) / 1800) * 1800 - k * 1800)::BIGINT AS s
   FROM events, unnest(range(4)) AS t(k)),
-""" + WINDOWED.format(length=7200, delay=600))
+""" + WINDOWED.format(length=7200))
 def stream_clips(spark, sf):
-    found = jobs.stream_clips(
-        _stream(spark, sf), ["event_type"], "value", "ts", 7200, 1800, "10 minutes"
-    )
-    return _check(jobs.drained(found, "clips"))
+    window = jobs.window_of("ts", 7200, 1800)
+    return _merged(jobs.windows_so_far(_stream(spark, sf), ["event_type"], window, "value", "clips"))
 
 
 @query("batch_bucket_features", """WITH starts AS (
   SELECT event_type, value, (floor(epoch(ts) / 3600) * 3600)::BIGINT AS s FROM events),
-""" + WINDOWED.format(length=3600, delay=-3600))
+""" + WINDOWED.format(length=3600))
 def batch_bucket_features(spark, sf):
     return _check(jobs.stream_bucket_features(_stamped(table(spark, sf, "events")), ["event_type"], "value", "ts", 3600))

@@ -182,6 +182,7 @@ def cluster_sums(spark: SparkSession, centroids: np.ndarray):
         n, cost, sums = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros((d, k))
         for batch in batches:
             points, _ = rows_of(batch.column(0), d)
+            points = points[np.isfinite(points).all(axis=1)]
             index, distance = nearest_rows(points, centres)
             n += np.bincount(index, minlength=k)
             cost += np.bincount(index, weights=distance, minlength=k)
@@ -197,44 +198,6 @@ def cluster_sums(spark: SparkSession, centroids: np.ndarray):
     return run
 
 
-def weighted_mean_udf(spark: SparkSession, tokens: np.ndarray, vectors: np.ndarray):
-    """UDF: (token array, count array) -> struct(known, mean vector).
-
-    ``known`` sums the counts of the tokens that have a vector; the mean weighs
-    their vectors by count and is null if there are none.
-    """
-    order = np.argsort(tokens)
-    shared = spark.sparkContext.broadcast(
-        (np.asarray(tokens, dtype=np.int64)[order], np.asarray(vectors, dtype=np.float64)[order])
-    )
-
-    def mean(token_lists: pa.Array, count_lists: pa.Array) -> pa.Array:
-        ids, matrix = shared.value
-        sizes = token_lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = token_lists.flatten().to_numpy(zero_copy_only=False)
-        weight = count_lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        hit = ids[at] == flat
-        owner, at, weight = owner[hit], at[hit], weight[hit]
-        known = np.bincount(owner, weights=weight, minlength=len(sizes))
-        sums = np.zeros((len(sizes), matrix.shape[1]))
-        step = max(1, BLOCK_CELLS // matrix.shape[1])
-        for start in range(0, len(owner), step):
-            rows = owner[start : start + step]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            part = matrix[at[start : start + step]] * weight[start : start + step, None]
-            # A row may continue in the next block, so partial sums are added.
-            sums[rows[first]] += np.add.reduceat(part, first, axis=0)
-        present = known > 0
-        means = arrays_from(sums[present] / known[present, None], present, pa.float64())
-        return pa.StructArray.from_arrays(
-            [pa.array(known.astype(np.int64)), means], names=["known", "mean"]
-        )
-
-    return F.arrow_udf(mean, "struct<known:bigint,mean:array<double>>")
-
-
 def power_bands_udf(spark: SparkSession, n_fft: int, window: np.ndarray, bank: np.ndarray):
     """UDF: frame of samples -> power in each band of ``bank`` (bands x bins).
 

@@ -30,11 +30,21 @@ def parent_name(path: Column | str) -> Column:
     return F.try_element_at(_components(_col(path)), F.lit(-2))
 
 
-def class_after_marker(path: Column | str, marker: str = "train_audio/") -> Column:
-    """Text between the first ``marker`` and the next ``/``; null without the marker."""
+def class_after_marker(
+    path: Column | str, marker: str = "train_audio/", strict: bool = False
+) -> Column:
+    """Text between the first ``marker`` and the next ``/``.
+
+    A path without the marker gives null, or raises if ``strict``, as labels for
+    training should be.
+    """
     path = _col(path)
     rest = F.split_part(path, F.lit(marker), F.lit(2))
-    return F.when(path.contains(marker), F.split_part(rest, F.lit("/"), F.lit(1)))
+    found = F.when(path.contains(marker), F.split_part(rest, F.lit("/"), F.lit(1)))
+    if not strict:
+        return found
+    failure = F.raise_error(F.concat(F.lit(f"no {marker} in "), F.coalesce(path, F.lit("a null path"))))
+    return found.otherwise(failure.cast("string"))
 
 
 def relative_path(path: Column | str, root: str) -> Column:

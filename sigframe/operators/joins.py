@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from sigframe.functions.arrays import time_bucket
 from sigframe.functions.kernels import nearest_udf
 from sigframe.operators.ranking import global_rank
-from sigframe.runtime import durable
+from sigframe.runtime import join_null_safe
 
-# Centroids a task may hold at a time; larger codebooks go block by block.  At 2,048
-# doubles each this is 512 MB, at the usual 20 it is 5 MB.
-MAX_CENTROIDS = 32_768
+# Bytes of a codebook that are broadcast together.
+BLOCK_BYTES = 1 << 28
 
 
 def join_cluster_labels(
@@ -36,7 +35,8 @@ def lookup_map(
     found = df.join(mapping.select(key, out), key, "left")
     if not strict:
         return found
-    failure = F.raise_error(F.concat(F.lit("no code for "), F.col(key).cast("string")))
+    shown = F.coalesce(F.col(key).cast("string"), F.lit("a null key"))
+    failure = F.raise_error(F.concat(F.lit("no code for "), shown))
     code = F.when(F.col(out).isNull(), failure.cast(mapping.schema[out].dataType))
     return found.withColumn(out, code.otherwise(F.col(out)))
 
@@ -51,13 +51,36 @@ def lookup_word_vector(
 def first_clip_per_file(
     df: DataFrame, file: str = "file", order: str = "start_time"
 ) -> DataFrame:
-    """The earliest clip row of every file.
+    """The earliest clip row of every file; of clips that start together the one whose
+    other columns are smallest.
 
     An aggregate rather than a window: every task sends one row per file.
     """
     rest = [c for c in df.columns if c != file]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("_first")
-    return df.groupBy(file).agg(first).select(file, "_first.*").select(*df.columns)
+    ranked = F.struct(F.col(order).alias("_order"), *rest)
+    first = F.min(F.when(F.col(order).isNotNull(), ranked)).alias("_first")
+    found = df.groupBy(file).agg(first).where("_first IS NOT NULL")
+    return found.select(file, "_first.*").select(*df.columns)
+
+
+def with_first_vector(
+    df: DataFrame,
+    file: str = "file",
+    order: str = "start_time",
+    vec: str = "embedding",
+    out: str = "first_vector",
+) -> DataFrame:
+    """Every clip with the vector of its file's first clip."""
+    first = first_clip_per_file(df.select(file, order, vec), file, order)
+    return join_null_safe(df, first.select(file, F.col(vec).alias(out)), [file], "left")
+
+
+def positional_join(
+    left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str],
+    pos: str = "pos",
+) -> DataFrame:
+    """Rows at the same place of two sorted tables, side by side; the longer one is cut."""
+    return global_rank(left, left_order, pos).join(global_rank(right, right_order, pos), pos)
 
 
 def missing_classes(have: DataFrame, expected: DataFrame, key: str) -> DataFrame:
@@ -84,12 +107,6 @@ def time_bucket_join(
     return left.join(right, [file, edge], "inner")
 
 
-def small_table(df: DataFrame, key: str, max_rows: int) -> list | None:
-    """The rows of ``df`` in key order if there are at most ``max_rows``, else None."""
-    rows = df.orderBy(key).limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
 def _matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["token"] for r in rows]), np.array([r["centroid"] for r in rows])
 
@@ -100,32 +117,31 @@ def nearest_centroid(
     codebook: DataFrame,
     out: str = "token",
     distance: str | None = None,
-    max_centroids: int = MAX_CENTROIDS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Add the token of the nearest centroid by Euclidean distance, lowest on ties.
 
-    ``codebook`` has columns ``token`` and ``centroid``.  One of up to
-    ``max_centroids`` is broadcast whole and the search is a map.  Of a larger
-    one, blocks are applied one after the other, each to a durable table that
-    carries the best hit so far, so the result is the same.  Null vectors get a
-    null token.  ``distance`` names an optional column with the squared distance.
+    ``codebook`` has columns ``token`` and ``centroid``.  It is cut into blocks of about
+    ``block_bytes`` by a hash of the token; every block is broadcast, and all are searched
+    in the same pass over the rows, which are neither shuffled nor written.  Null vectors
+    and those with a null or non-finite element get a null token.  ``distance`` names an
+    optional column with the squared distance.
     """
     spark = df.sparkSession
     book = codebook.select("token", "centroid")
-    rows = small_table(book, "token", max_centroids)
-    if rows is not None:
-        if not rows:
-            raise ValueError("the codebook is empty")
-        found = df.withColumn("_hit", nearest_udf(spark, *_matrix(rows))(F.col(vec)))
-    else:
-        numbered = durable(global_rank(book, ["token"], "_at"), "codebook")
-        found = df.withColumn("_hit", F.lit(None).cast("struct<distance:double,token:bigint>"))
-        for start in range(0, numbered.count(), max_centroids):
-            block = numbered.where(F.col("_at").between(start, start + max_centroids - 1))
-            search = nearest_udf(spark, *_matrix(block.orderBy("token").collect()))
-            # least() skips nulls and compares distance before token.
-            found = durable(found.withColumn("_hit", F.least("_hit", search(F.col(vec)))), "nearest")
-    found = found.withColumn(out, F.col("_hit.token"))
+    size = book.agg(F.sum(8 * (F.size("centroid") + 1))).first()[0]
+    if not size:
+        raise ValueError("the codebook is empty")
+    blocks = -(-size // block_bytes)
+    part = F.pmod(F.xxhash64("token"), F.lit(blocks))
+    hits = []
+    for k in range(blocks):
+        rows = book.where(part == k).orderBy("token").collect()
+        if rows:
+            hits.append(nearest_udf(spark, *_matrix(rows))(F.col(vec)))
+    # Structs compare by distance, then by token; a null hit is skipped.
+    best = hits[0] if len(hits) == 1 else F.least(*hits)
+    found = df.withColumn("_hit", best).withColumn(out, F.col("_hit.token"))
     if distance is not None:
         found = found.withColumn(distance, F.col("_hit.distance"))
     return found.drop("_hit")

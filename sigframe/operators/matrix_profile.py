@@ -23,20 +23,20 @@ from sigframe.runtime import durable, join_null_safe, shuffle_width
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Tasks the block comparisons of one series are spread over.
-FAN_OUT = 32
-
 # Blocks searched before their rows are handed back.
 GROUP = 256
 
 
-def normalized(values: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Z-normalised subsequences as rows, and which of them are constant."""
-    windows = np.lib.stride_tricks.sliding_window_view(values, m)
+def normalized(values: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Z-normalised subsequences as rows, which of them are constant, and which hold a
+    null or another value that is not finite."""
+    usable = np.isfinite(values)
+    bad = ~np.lib.stride_tricks.sliding_window_view(usable, m).all(axis=1)
+    windows = np.lib.stride_tricks.sliding_window_view(np.where(usable, values, 0.0), m)
     centred = windows - windows.mean(axis=1, keepdims=True)
     std = np.sqrt((centred * centred).mean(axis=1))
     flat = windows.max(axis=1) == windows.min(axis=1)
-    return np.where(flat[:, None], 0.0, centred / np.where(flat, 1.0, std)[:, None]), flat
+    return np.where(flat[:, None], 0.0, centred / np.where(flat, 1.0, std)[:, None]), flat, bad
 
 
 def sketch(rows: np.ndarray, segments: int) -> np.ndarray:
@@ -47,8 +47,8 @@ def sketch(rows: np.ndarray, segments: int) -> np.ndarray:
 
 
 def best_matches(
-    a: np.ndarray, a_flat: np.ndarray, a_start: int,
-    b: np.ndarray, b_flat: np.ndarray, b_start: int, zone: int,
+    a: np.ndarray, a_flat: np.ndarray, a_bad: np.ndarray, a_start: int,
+    b: np.ndarray, b_flat: np.ndarray, b_bad: np.ndarray, b_start: int, zone: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Smallest squared distance and partner for the rows of ``a`` and those of ``b``."""
     m = a.shape[1]
@@ -56,6 +56,7 @@ def best_matches(
     # A constant subsequence is at distance 0 from a constant one and sqrt(m) from others.
     square[a_flat] = np.where(b_flat, 0.0, float(m))
     square[:, b_flat] = np.where(a_flat, 0.0, float(m))[:, None]
+    square[a_bad], square[:, b_bad] = np.inf, np.inf
     apart = np.abs(
         (a_start + np.arange(len(a)))[:, None] - (b_start + np.arange(len(b)))[None, :]
     )
@@ -78,7 +79,7 @@ def matrix_profile(
 
     Output: ``by..., pos, distance, neighbor``, one row per subsequence; matches at
     most ``ceil(m / 4)`` positions away are trivial and excluded, and a subsequence
-    with no other match has nulls.  Ties go to the lowest position.
+    with no other match, or with a value that is null or not finite, has nulls.  Ties go to the lowest position.
     """
     if m < 3:
         raise ValueError("subsequences need at least three values")
@@ -109,14 +110,16 @@ def matrix_profile(
         for some in slices:
             out = []
             for number, values in zip(some["_block"], some["_values"]):
-                rows, flat = normalized(np.asarray(values, dtype=np.float64), m)
+                rows, flat, bad = normalized(np.asarray(values, dtype=np.float64), m)
                 start = number * block
-                best, at, _, _ = best_matches(rows, flat, start, rows, flat, start, zone)
-                marks = sketch(rows, segments)
+                best, at, _, _ = best_matches(rows, flat, bad, start, rows, flat, bad, start, zone)
+                marks = sketch(rows[~bad], segments)
                 # Constant subsequences have a fixed distance no sketch bounds.
-                low = np.full(segments, -1e300) if flat.any() else marks.min(axis=0)
-                high = np.full(segments, 1e300) if flat.any() else marks.max(axis=0)
-                out.append((low, high, float(best.max()), best, start + at))
+                open_box = (flat & ~bad).any() or bad.all()
+                low = np.full(segments, -1e300) if open_box else marks.min(axis=0)
+                high = np.full(segments, 1e300) if open_box else marks.max(axis=0)
+                bound = float(best[~bad].max(initial=-1.0))
+                out.append((low, high, bound, best, start + at))
             names = ["_low", "_high", "_bound", "_best", "_at"]
             yield some.assign(**{c: [o[i] for o in out] for i, c in enumerate(names)})
 
@@ -130,14 +133,14 @@ def matrix_profile(
         "profile",
     )
 
-    # Box pairs are tested on the small box rows, dealt to FAN_OUT tasks per series.
+    # Box pairs are tested on the small box rows, a series being dealt to all tasks.
     boxes = searched.select(*by, "_block", "_low", "_high", "_bound")
     left = boxes.select(
         *by,
         *[F.col(c).alias(f"_a{c}") for c in ("_block", "_low", "_high", "_bound")],
-        F.pmod("_block", F.lit(FAN_OUT)).alias("_salt"),
+        F.pmod("_block", F.lit(width)).alias("_salt"),
     )
-    lanes = F.sequence(F.lit(0).cast("bigint"), F.lit(FAN_OUT - 1).cast("bigint"))
+    lanes = F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))
     right = boxes.withColumn("_salt", F.explode(lanes))
     # Rounding slack keeps pairs whose gap equals the bound.
     promising = _box_gap("_a_low", "_a_high", "_low", "_high") <= (
@@ -162,10 +165,10 @@ def matrix_profile(
             for i, j, left_values, right_values in zip(
                 some["_a_block"], some["_block"], some["_a_values"], some["_values"]
             ):
-                a, a_flat = normalized(np.asarray(left_values, dtype=np.float64), m)
-                b, b_flat = normalized(np.asarray(right_values, dtype=np.float64), m)
+                a, a_flat, a_bad = normalized(np.asarray(left_values, dtype=np.float64), m)
+                b, b_flat, b_bad = normalized(np.asarray(right_values, dtype=np.float64), m)
                 down, down_at, up, up_at = best_matches(
-                    a, a_flat, i * block, b, b_flat, j * block, zone
+                    a, a_flat, a_bad, i * block, b, b_flat, b_bad, j * block, zone
                 )
                 ends.append((i, down, j * block + down_at, j, up, i * block + up_at))
             for side in (ends_of(ends, 0), ends_of(ends, 3)):

@@ -74,8 +74,11 @@ def macro_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def cross_entropy(df: DataFrame, logits: str, label: str) -> DataFrame:
-    """Mean of ``-log softmax(logits)[label]``."""
-    picked = F.get(F.col(logits), F.col(label).cast("int"))
+    """Mean of ``-log softmax(logits)[label]``; a label beyond the logits raises."""
+    at = F.col(label).cast("int")
+    beyond = at.isNotNull() & ((at < 0) | (at >= F.size(logits)))
+    failure = F.raise_error(F.concat(F.lit("no logit for label "), at.cast("string"))).cast("double")
+    picked = F.when(beyond, failure).otherwise(F.get(F.col(logits), at).cast("double"))
     return df.agg(F.avg(log_sum_exp(logits) - picked).alias("cross_entropy"))
 
 
@@ -83,6 +86,8 @@ def best_run(
     df: DataFrame, metric: str, mode: str = "min", by: list[str] | None = None
 ) -> DataFrame:
     """The row with the best metric, per ``by`` or overall; the rest of the row breaks ties."""
+    if mode not in ("min", "max"):
+        raise ValueError(f"mode must be min or max, not {mode}")
     rest = [c for c in df.columns if c != metric and c not in (by or [])]
     ranked = F.col(metric) if mode == "min" else -F.col(metric)
     valid = df.where(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))

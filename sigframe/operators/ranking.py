@@ -21,9 +21,6 @@ NUMBERS = (
     "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz",
 )
 
-# Cut points are literals of the plan, so their number is limited.
-MAX_SLICES = 10_000
-
 
 def order_number(df: DataFrame, column: str) -> Column:
     """The column as a double that never decreases where the column does not."""
@@ -109,7 +106,7 @@ def group_rank(
         sliced = df.withColumn("_slice", slice_of).withColumn("_sub", F.lit(0))
     else:
         if slices is None:
-            slices = min(MAX_SLICES, 4 * shuffle_width(df.sparkSession))
+            slices = 4 * shuffle_width(df.sparkSession)
         sliced = _with_slice(df, order, slices)
     # One struct key: null group values compare equal inside it, and the window, the
     # counts and the join all share its partitioning, so rows are shuffled once.
@@ -170,9 +167,9 @@ def global_rank(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
 
 
 def spread_key(column: str, seed: int) -> Column:
-    """Integer in [0, 2^32) that spreads integer ids evenly (multiplicative hashing)."""
-    mixed = F.pmod(F.col(column).cast("long") + F.lit(seed), F.lit(2147483648))
-    return F.pmod(mixed * F.lit(2654435761), F.lit(4294967296))
+    """Integer in [0, 2^32) from a hash of the id and the seed; seeds are independent."""
+    digest = F.md5(F.concat_ws(":", F.col(column).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
 def spread_slice(df: DataFrame, key: str) -> Column:

@@ -10,9 +10,6 @@ from sigframe.functions.paths import has_letter
 from sigframe.operators.ranking import global_rank, group_rank, spread_key, spread_slice
 from sigframe.runtime import join_null_safe
 
-# Longest list that one task may sort.
-SHORT_LIST = 10_000
-
 
 def filter_rare_classes(df: DataFrame, label: str, min_count: int = 2) -> DataFrame:
     """Rows of classes that have at least ``min_count`` rows."""
@@ -48,16 +45,14 @@ def limit_parts(df: DataFrame, n: int, part: str = "part") -> DataFrame:
 
 
 def limit_files(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
-    """The first ``n`` rows in sorted order; None keeps all.
+    """The first ``n`` rows in sorted order, found by position; None keeps all.
 
-    A short list is found by a top-n per task; a long one by position, as a limit
-    would bring it into one task.
+    A limit would bring a long list into one task.
     """
     if n is None:
         return df
-    if n <= SHORT_LIST:
-        return df.orderBy(*order).limit(n)
-    return global_rank(df, order, "_pos").where(F.col("_pos") < n).drop("_pos")
+    found = global_rank(df, order, "_pos").where(F.col("_pos") < n)
+    return found.orderBy("_pos").drop("_pos")
 
 
 def train_holdout_by_part(
@@ -68,11 +63,7 @@ def train_holdout_by_part(
 
 def _spread(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Add ``_spread``, a pseudo-random order key in [0, 2^32) that depends on the id only."""
-    if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
-        key = spread_key(id_col, seed)
-    else:
-        key = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(4294967296))
-    return df.withColumn("_spread", key)
+    return df.withColumn("_spread", spread_key(id_col, seed))
 
 
 def with_test_flag(

@@ -15,9 +15,6 @@ from sigframe.functions.kernels import dense_udf
 
 CLIP_KEYS = ("file", "start_time", "end_time")
 
-# Widest vector whose elements are aggregated one by one.
-NARROW = 32
-
 
 def pack_vector(
     df: DataFrame, keys: Sequence[str] = CLIP_KEYS, vec: str = "embedding", size: int | None = None
@@ -42,35 +39,33 @@ def _present(df: DataFrame, vec: str) -> DataFrame:
     return df.where(F.col(vec).isNotNull())
 
 
+def sound(vec: str, width: int | None = None) -> Column:
+    """The vector for MLlib; one with a null element, or of another width, raises."""
+    values = F.col(vec)
+
+    def failure(text: str) -> Column:
+        return F.raise_error(F.lit(text)).cast("array<double>")
+
+    checked = F.when(F.exists(values, lambda x: x.isNull()), failure("a vector has a null element"))
+    if width is not None:
+        checked = checked.when(F.size(values) != width, failure(f"expected vectors of {width} values"))
+    return array_to_vector(checked.otherwise(values.cast("array<double>")))
+
+
 def mean_vector(
     df: DataFrame, by: list[str], vec: str = "embedding", width: int | None = None
 ) -> DataFrame:
     """Element-wise mean per group, with the number ``n`` of vectors behind it.
 
     Sums are built before the shuffle, so a group of any size sends one partial
-    sum per task.  Null vectors are left out (see :func:`missing_vectors`);
-    vectors of different lengths in one group raise.  ``width`` states the length
-    of the vectors, see :func:`mean_std_columns`.
+    sum per task.  Null vectors are left out (see :func:`missing_vectors`); a null
+    element raises, as do vectors of different lengths in one group or, if ``width``
+    is stated, of any other.
     """
-    if width is not None and width <= NARROW:
-        mean = _checked(vec, width, [F.avg(x) for x in _elements(vec, width)])
-    else:
-        mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vec))))
+    mean = vector_to_array(Summarizer.mean(sound(vec, width)))
     return _present(df, vec).groupBy(*by).agg(mean.alias(vec), F.count("*").alias("n"))
 
 
-def _elements(vec: str, width: int) -> list[Column]:
-    return [F.get(vec, F.lit(i)).cast("double") for i in range(width)]
-
-
-def _checked(vec: str, width: int, aggregates: list[Column]) -> Column:
-    """The aggregates as an array, an error if a vector of the group has another width."""
-    size = F.size(vec)
-    right = (F.min(size) == width) & (F.max(size) == width)
-    failure = F.raise_error(F.lit(f"expected vectors of {width} values")).cast("array<double>")
-    return F.when(right, F.array(*aggregates)).otherwise(failure)
-
-
 def class_prototypes(df: DataFrame, label: str, vec: str = "embedding") -> DataFrame:
     """Mean over all clips of a class; files with more clips weigh more."""
     return mean_vector(df, [label], vec)
@@ -84,17 +79,8 @@ def missing_vectors(df: DataFrame, by: list[str], vec: str = "embedding") -> Dat
 
 
 def mean_std_columns(vec: str, width: int | None = None) -> Column:
-    """Aggregate: means followed by population standard deviations, as one array.
-
-    For vectors known to be of a small ``width`` plain aggregates per element are
-    used; they stay in Spark's hash aggregate however many groups there are.
-    """
-    if width is not None and width <= NARROW:
-        items = _elements(vec, width)
-        return _checked(
-            vec, width, [F.avg(x) for x in items] + [F.stddev_pop(x) for x in items]
-        )
-    stats = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vec)))
+    """Aggregate: means followed by population standard deviations, as one array."""
+    stats = Summarizer.metrics("mean", "variance", "count").summary(sound(vec, width))
     n = stats["count"].cast("double")
     to_std = F.transform(
         vector_to_array(stats["variance"]),

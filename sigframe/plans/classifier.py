@@ -18,14 +18,15 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.operators.joins import lookup_map
 from sigframe.operators.metrics import best_run, macro_scores
 from sigframe.operators.ranking import global_rank
 from sigframe.operators.sampling import stratified_folds
-from sigframe.runtime import durable, join_null_safe, spread
+from sigframe.runtime import dealt, durable, join_null_safe
+from sigframe.sources.sinks import load_model, save_model
 
 
 def label_index(df: DataFrame, label: str, out: str = "idx") -> DataFrame:
@@ -71,13 +72,24 @@ class FittedClassifier:
         scored = self.model.transform(_with_features(df, self.vec))
         return scored.drop("features", "_scaled", "rawPrediction")
 
+    def save(self, path: str) -> None:
+        """Save the model and the name of its column, replacing what is at ``path``."""
+        save_model(self.model, f"{path}/model")
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.vec,)], "vec string").write.mode("overwrite").json(f"{path}/column")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FittedClassifier:
+        vec = spark.read.schema("vec string").json(f"{path}/column").first()["vec"]
+        return FittedClassifier(load_model(spark, f"{path}/model"), vec)
+
 
 def train_classifier(
     df: DataFrame, vec: str, label: str = "idx", hidden: int = 512, max_iter: int = 50,
     seed: int = 42,
 ) -> FittedClassifier:
     """Network of one hidden layer on vectors ``vec`` with class index ``label``."""
-    data = _with_features(spread(df.select(vec, label), vec, label), vec)
+    data = _with_features(dealt(df.select(vec, label), vec, label), vec)
     shape = data.agg(F.max(F.size(vec)).alias("d"), (F.max(label) + 1).alias("c")).first()
     learner = MultilayerPerceptronClassifier(
         layers=[int(shape["d"]), hidden, max(2, int(shape["c"]))],
@@ -159,6 +171,17 @@ def search_params(
     return scores, json.loads(best["params"])
 
 
+def fit_best(
+    df: DataFrame, build: Callable[..., FittedClassifier], grid: dict[str, list], id_col: str,
+    path: str, label: str = "idx", **search,
+) -> tuple[FittedClassifier, DataFrame]:
+    """Search, fit the best point on all rows of ``df``, save the model under ``path``."""
+    scores, best = search_params(df, build, grid, id_col, label, **search)
+    model = build(df, **best)
+    model.save(path)
+    return model, scores
+
+
 def evaluate(
     train: DataFrame, test: DataFrame, build: Callable[[DataFrame], FittedClassifier],
     label: str = "idx",

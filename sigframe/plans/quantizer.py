@@ -7,20 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.functions.kernels import cluster_sums
 from sigframe.operators.joins import nearest_centroid
 from sigframe.operators.vectors import rotate
-from sigframe.runtime import spread
-
-# Most clusters for which every row is compared with the centroids one by one.
-ROW_BY_ROW = 512
+from sigframe.runtime import dealt
 
 CODEBOOK_SCHEMA = "token bigint, centroid array<double>"
 
@@ -44,53 +40,79 @@ class Tokenizer:
 
 
 def _features(df: DataFrame, vec: str) -> DataFrame:
-    return df.where(F.col(vec).isNotNull()).select(
+    return df.where(finite(vec)).select(
         "*", array_to_vector(F.col(vec)).alias("_features")
     )
 
 
-def fit_kmeans(
-    df: DataFrame, vec: str, k: int, iters: int = 25, seed: int = 42, restarts: int = 1
-) -> KMeansModel:
-    """The model of lowest training cost over ``restarts`` seeds."""
-    train = _features(spread(df.select(vec), vec), vec).select("_features").persist()
-    try:
-        models = [
-            KMeans(k=k, maxIter=iters, seed=seed + i, featuresCol="_features").fit(train)
-            for i in range(restarts)
-        ]
-    finally:
-        train.unpersist()
-    return min(models, key=lambda model: model.summary.trainingCost)
+def finite(vec: str) -> Column:
+    """Whether there is a vector without null, NaN and infinite elements."""
+    usable = F.forall(vec, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(usable, F.lit(False))
+
+
+def unusable_vectors(df: DataFrame, vec: str) -> DataFrame:
+    """``n_rows``, and ``n_unusable`` of them that training leaves out."""
+    return df.agg(F.count("*").alias("n_rows"), F.count_if(~finite(vec)).alias("n_unusable"))
 
 
 def _seeds(train: DataFrame, vec: str, k: int, seed: int) -> np.ndarray:
-    """``k`` different vectors, those of smallest hash; copies of a vector count once."""
+    """``k`` different vectors that lie apart, drawn from ``2 k + 256`` of smallest hash.
+
+    Copies of a vector count once.  Each next one is the end of a chain of draws that
+    prefers vectors far from those taken (k-means++ by Markov chains), so the cost is
+    ``k**2`` distances on the driver, which holds the pool.
+    """
+    pool = 2 * k + 256
     keyed = train.select(F.xxhash64(vec, F.lit(seed)).alias("h"), vec)
     rows = train.count()
-    # About 8 k of the vectors lie below the bound, unless there are many copies.
-    bound = -(2.0**63) + 2.0**64 * min(1.0, 8.0 * k / max(1, rows))
+    # About 4 times the pool lies below the bound, unless there are many copies.
+    bound = -(2.0**63) + 2.0**64 * min(1.0, 4.0 * pool / max(1, rows))
     for some in (keyed.where(F.col("h").cast("double") < bound), keyed):
-        found = some.groupBy("h").agg(F.first(vec).alias("v")).orderBy("h").limit(k).collect()
-        if len(found) == k:
+        found = some.groupBy("h").agg(F.first(vec).alias("v")).orderBy("h").limit(pool).collect()
+        if len(found) == pool:
             break
     if not found:
         raise ValueError("there are no vectors to cluster")
-    return np.array([r["v"] for r in found], dtype=np.float64)
+    return _apart(np.array([r["v"] for r in found], dtype=np.float64), k, seed)
+
+
+def _apart(pool: np.ndarray, k: int, seed: int, chain: int = 32) -> np.ndarray:
+    """``k`` rows of the pool, or all of fewer."""
+    if len(pool) <= k:
+        return pool
+    draw = np.random.default_rng(seed)
+    squares = (pool * pool).sum(axis=1)
+    left = draw.permutation(len(pool)).tolist()
+    taken = [left.pop()]
+    while len(taken) < k:
+        places = draw.integers(0, len(left), chain)
+        options = np.array(left)[places] if len(left) < 4096 else np.array([left[p] for p in places])
+        gaps = squares[options][:, None] - 2 * pool[options] @ pool[taken].T + squares[taken]
+        near = np.maximum(gaps.min(axis=1), 0)
+        at = 0
+        for other, chance in enumerate(draw.random(chain)):
+            if near[other] > chance * near[at]:
+                at = other
+        place = places[at]
+        taken.append(int(options[at]))
+        left[place] = left[-1]
+        left.pop()
+    return pool[taken]
 
 
-def fit_large_kmeans(
+def fit_kmeans(
     df: DataFrame, vec: str, k: int, iters: int = 25, seed: int = 42
 ) -> tuple[np.ndarray, float]:
-    """Centroids and cost of k-means for thousands of clusters.
+    """Centroids and cost of k-means by Lloyd's algorithm, also for thousands of clusters.
 
     Each round is one job: tasks assign their rows by matrix products and add up
     their clusters, Spark adds the tasks' sums, and the driver gets one row per
-    centroid.  A cluster left empty restarts beside the largest one.  With fewer
+    centroid.  Vectors that are not :func:`finite` are left out.  A cluster left empty restarts beside the largest one.  With fewer
     than ``k`` different vectors there are as many centroids as vectors.
     """
     spark = df.sparkSession
-    train = spread(df.where(F.col(vec).isNotNull()).select(vec), vec).persist()
+    train = dealt(df.where(finite(vec)).select(vec), vec).persist()
     cost = float("inf")
     try:
         centroids = _seeds(train, vec, k, seed)
@@ -136,17 +158,16 @@ def codebook_of(spark: SparkSession, centroids: Iterable[np.ndarray]) -> DataFra
 
 def _centroids(
     df: DataFrame, vec: str, k: int, iters: int, seed: int, restarts: int
-) -> Iterable[np.ndarray]:
-    if k <= ROW_BY_ROW:
-        return fit_kmeans(df, vec, k, iters, seed, restarts).clusterCenters()
-    fits = [fit_large_kmeans(df, vec, k, iters, seed + i) for i in range(restarts)]
+) -> np.ndarray:
+    """The centroids of lowest training cost over ``restarts`` seeds."""
+    fits = [fit_kmeans(df, vec, k, iters, seed + i) for i in range(restarts)]
     return min(fits, key=lambda fit: fit[1])[0]
 
 
 def build_tokenizer(
     df: DataFrame, vec: str, k: int = 16383, iters: int = 25, seed: int = 42, restarts: int = 1
 ) -> Tokenizer:
-    """K-means codebook: Spark's own up to ``ROW_BY_ROW`` tokens, in blocks beyond."""
+    """K-means codebook."""
     return Tokenizer(codebook_of(df.sparkSession, _centroids(df, vec, k, iters, seed, restarts)))
 
 
@@ -186,6 +207,7 @@ def cluster_embeddings(
     df: DataFrame, vec: str, k: int = 5, seed: int = 0, out: str = "cluster"
 ) -> DataFrame:
     """Add a k-means cluster number to every row that has a vector."""
-    model = fit_kmeans(df, vec, k, seed=seed)
-    assigned = model.setPredictionCol(out).transform(_features(df, vec))
-    return assigned.drop("_features")
+    centroids, _ = fit_kmeans(df, vec, k, seed=seed)
+    book = codebook_of(df.sparkSession, centroids)
+    found = nearest_centroid(df.where(F.col(vec).isNotNull()), vec, book, out)
+    return found.withColumn(out, F.col(out).cast("int"))

@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Bytes per core below which a table counts as small.
-SMALL_SHARE = 32 * 1024 * 1024
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for tables that cut lineage.
@@ -69,17 +66,11 @@ def total(df: DataFrame, column: str) -> Column:
     return df.select(F.sum(column)).scalar()
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Deal the rows of a small table to all cores, for repeated passes over it.
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt to all tasks by a hash of ``columns`` and sorted by it.
 
-    A table of a few files is scanned by as many tasks, whatever the cluster has.
-    Rows go by a hash of ``columns`` and are sorted by it, so that training on them
-    gives the same result again.  A table that is large enough to keep the cores
-    busy by itself is left alone.
+    For repeated passes over training data: a table of a few files would be scanned by
+    as many tasks, and in an order that follows its files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * SMALL_SHARE:
-        return df
     mixed = F.xxhash64(*columns)
-    return df.repartition(cores, mixed).sortWithinPartitions(mixed)
+    return df.repartition(shuffle_width(df.sparkSession), mixed).sortWithinPartitions(mixed)

@@ -100,3 +100,11 @@ def test_softmax_is_stable(frame):
 def test_argmax_ties_and_empty(frame):
     df = frame([([1.0, 3.0, 3.0],), ([],), (None,)], "v array<double>")
     assert one(df, arrays.argmax("v")) == [1, None, None]
+
+
+def test_class_after_marker_can_insist(frame):
+    df = frame([("x/train_audio/a/f.ogg",), ("x/other/a/f.ogg",)], "p string")
+    good = df.where("p LIKE '%train_audio%'").select(paths.class_after_marker("p", strict=True)).collect()
+    assert [r[0] for r in good] == ["a"]
+    with pytest.raises(Exception, match="no train_audio/ in x/other"):
+        df.select(paths.class_after_marker("p", strict=True)).collect()

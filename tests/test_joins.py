@@ -55,8 +55,8 @@ def test_nearest_whole_and_in_blocks(spark, points):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(data)], "i int, v array<double>")
     book = spark.createDataFrame([(100 + i, c.tolist()) for i, c in enumerate(centroids)], "token int, centroid array<double>")
     want = {i: 100 + int(t) for i, t in enumerate(brute(data, centroids))}
-    for limit in (1000, 16, 7):
-        found = joins.nearest_centroid(df, "v", book, distance="d", max_centroids=limit).collect()
+    for limit in (10**6, 16 * 56, 400):
+        found = joins.nearest_centroid(df, "v", book, distance="d", block_bytes=limit).collect()
         assert {r["i"]: r["token"] for r in found} == want
         assert all(r["d"] >= 0 for r in found)
 
@@ -64,8 +64,8 @@ def test_nearest_whole_and_in_blocks(spark, points):
 def test_nearest_ties_take_the_lowest_token(frame):
     df = frame([(1, [0.0]), (2, [10.0]), (3, None), (4, [float("nan")]), (5, [None])], "i int, v array<float>")
     book = frame([(9, [1.0]), (4, [-1.0]), (7, [-1.0]), (8, [1e6])], "token int, centroid array<double>")
-    for limit in (10, 2):
-        found = {r["i"]: r["token"] for r in joins.nearest_centroid(df, "v", book, max_centroids=limit).collect()}
+    for limit in (1000, 16):
+        found = {r["i"]: r["token"] for r in joins.nearest_centroid(df, "v", book, block_bytes=limit).collect()}
         assert found == {1: 4, 2: 9, 3: None, 4: None, 5: None}
 
 

@@ -7,13 +7,14 @@ from sigframe.operators.matrix_profile import matrix_profile
 def brute(values, m):
     zone = -(-m // 4)
     windows = [np.array(values[i : i + m]) for i in range(len(values) - m + 1)]
+    bad = [not np.isfinite(w).all() for w in windows]
     flat = [w.max() == w.min() for w in windows]
-    scaled = [(w - w.mean()) / (1.0 if f else w.std()) for w, f in zip(windows, flat)]
+    scaled = [w if b else (w - w.mean()) / (1.0 if f else w.std()) for w, f, b in zip(windows, flat, bad)]
     best = {}
     for i in range(len(windows)):
         options = []
         for j in range(len(windows)):
-            if abs(i - j) > zone:
+            if abs(i - j) > zone and not bad[i] and not bad[j]:
                 if flat[i] or flat[j]:
                     d = 0.0 if flat[i] and flat[j] else m**0.5
                 else:
@@ -61,6 +62,22 @@ def test_constant_parts(spark):
     check(spark, {"steps": values, "all_equal": np.ones(25)}, 6, 10)
 
 
+@pytest.mark.parametrize("block", [8, 16, 200])
+def test_missing_values(spark, block):
+    rng = np.random.default_rng(6)
+    values = rng.normal(size=120)
+    values[[3, 40, 41, 90]] = np.nan
+    values[70] = np.inf
+    check(spark, {"gaps": values, "none": np.full(30, np.nan), "whole": rng.normal(size=50)}, 8, block)
+
+
+def test_null_is_a_missing_value(spark):
+    values = [float(v) for v in np.random.default_rng(7).normal(size=60)]
+    rows = [(float(i), None if i == 20 else v) for i, v in enumerate(values)]
+    found = matrix_profile(spark.createDataFrame(rows, "t double, v double"), [], ["t"], "v", 8, 16).collect()
+    assert {r["pos"] for r in found if r["distance"] is None} == set(range(13, 21))
+
+
 def test_planted_motif_is_found(spark):
     rng = np.random.default_rng(9)
     values = rng.normal(size=200)

@@ -46,9 +46,9 @@ def test_large_kmeans_is_lloyds_algorithm(spark):
     data = rng.normal(size=(400, 3))
     df = spark.createDataFrame([(r.tolist(),) for r in data], "v array<double>").repartition(5)
     seeds = quantizer._seeds(df, "v", 6, 42)
-    found, cost = quantizer.fit_large_kmeans(df, "v", 6, iters=7, seed=42)
+    found, cost = quantizer.fit_kmeans(df, "v", 6, iters=7, seed=42)
     assert np.allclose(found, lloyd(data, seeds, 7), atol=1e-9)
-    again, _ = quantizer.fit_large_kmeans(df.repartition(3), "v", 6, iters=7, seed=42)
+    again, _ = quantizer.fit_kmeans(df.repartition(3), "v", 6, iters=7, seed=42)
     assert np.allclose(found, again, atol=1e-9)
     before = ((data[:, None] - seeds[None]) ** 2).sum(2).min(1).sum()
     assert 0 < cost < before
@@ -60,9 +60,9 @@ def test_large_kmeans_with_many_copies(spark):
     df = spark.createDataFrame(rows, "v array<double>").repartition(6)
     seeds = quantizer._seeds(df.where("v IS NOT NULL"), "v", 40, 1)
     assert len({tuple(s) for s in seeds}) == 40
-    found, _ = quantizer.fit_large_kmeans(df, "v", 40, iters=5)
+    found, _ = quantizer.fit_kmeans(df, "v", 40, iters=5)
     assert len({tuple(c) for c in found}) == 40
-    few, cost = quantizer.fit_large_kmeans(df.where("v[0] = 1.0"), "v", 40, iters=3)
+    few, cost = quantizer.fit_kmeans(df.where("v[0] = 1.0"), "v", 40, iters=3)
     assert len(few) <= 2 and cost < 1e-9
 
 
@@ -72,15 +72,22 @@ def test_large_kmeans_refills_empty_clusters(spark, monkeypatch):
     df = spark.createDataFrame([(r.tolist(),) for r in data], "v array<double>")
     far = np.array([[0.5, 0.5], [5.0, 5.0], [1e6, 1e6]])
     monkeypatch.setattr(quantizer, "_seeds", lambda *args: far)
-    found, cost = quantizer.fit_large_kmeans(df, "v", 3, iters=25)
+    found, cost = quantizer.fit_kmeans(df, "v", 3, iters=25)
     assert sorted(round(c[0]) for c in found) == [0, 1, 5] and cost < 1
 
 
-def test_tokenizer_chooses_by_size(spark, monkeypatch):
-    df = spark.createDataFrame([([float(i)],) for i in range(60)], "v array<double>")
-    monkeypatch.setattr(quantizer, "ROW_BY_ROW", 10)
-    assert quantizer.build_tokenizer(df, "v", k=20, iters=3).codebook.count() == 20
-    assert quantizer.build_pca_tokenizer(df, "v", k=20, iters=3).codebook.count() == 20
+def test_kmeans_leaves_out_what_is_not_finite(spark):
+    rng = np.random.default_rng(2)
+    good = [(r.tolist(),) for r in rng.normal(size=(300, 2))]
+    nan, inf = float("nan"), float("inf")
+    bad = [([nan, 0.0],), ([inf, 0.0],), ([-inf, nan],), ([None, 1.0],), (None,)]
+    df = spark.createDataFrame(good + bad, "v array<double>")
+    clean = spark.createDataFrame(good, "v array<double>")
+    found, _ = quantizer.fit_kmeans(df, "v", 5, iters=4)
+    assert np.isfinite(found).all() and np.allclose(found, quantizer.fit_kmeans(clean, "v", 5, iters=4)[0])
+    assert quantizer.unusable_vectors(df, "v").first().asDict() == {"n_rows": 305, "n_unusable": 5}
+    tokens = quantizer.tokenize(df, quantizer.build_tokenizer(df, "v", 5, 4), "v")
+    assert tokens.where("token IS NULL").count() == 5
 
 
 def test_rotation_is_orthonormal_and_centred(blobs):
@@ -182,10 +189,13 @@ def test_submission(frame):
 def test_models_round_trip(spark, blobs, tmp_path):
     from sigframe.sources import sinks
 
-    model = quantizer.fit_kmeans(blobs, "v", 4)
-    sinks.save_model(model, str(tmp_path / "kmeans"))
-    assert np.allclose(sinks.load_model(spark, str(tmp_path / "kmeans")).clusterCenters(), model.clusterCenters())
+    model = quantizer.fit_rotation(blobs, "v")
+    sinks.save_model(model, str(tmp_path / "rotation"))
+    again = sinks.load_model(spark, str(tmp_path / "rotation"))
+    assert np.allclose(again.stages[1].pc.toArray(), model.stages[1].pc.toArray())
     fitted = classifier.train_classifier(blobs, "v", "label", hidden=4, max_iter=5)
     sinks.save_model(fitted.model, str(tmp_path / "net"))
+    fitted.save(str(tmp_path / "both"))
+    assert classifier.FittedClassifier.load(spark, str(tmp_path / "both")).vec == "v"
     again = classifier.FittedClassifier(sinks.load_model(spark, str(tmp_path / "net")), "v")
     assert again.transform(blobs).select("id", "prediction").collect() == fitted.transform(blobs).select("id", "prediction").collect()

@@ -102,3 +102,11 @@ def test_timings(frame):
     df = frame([("m", 3600.0), ("m", 7200.0)], "model string, elapsed double")
     assert tuple(profile.summarize_timings(df, ["model"]).first()) == ("m", 3.0, 5400.0, 2)
     assert df.agg(F.sum("elapsed")).first()[0] == 10800.0
+
+
+def test_metrics_refuse_what_makes_no_sense(frame):
+    runs = frame([("a", 1.0)], "run string, loss double")
+    with pytest.raises(ValueError, match="mode"):
+        metrics.best_run(runs, "loss", "lowest")
+    with pytest.raises(Exception, match="no logit for label 2"):
+        metrics.cross_entropy(frame([([0.0, 1.0], 2)], "z array<double>, y int"), "z", "y").collect()

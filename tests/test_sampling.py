@@ -41,9 +41,8 @@ def test_limits(frame):
     assert sampling.limit_files(df, ["path"], None).count() == 3
 
 
-def test_long_limits_go_by_position(frame, monkeypatch):
+def test_limits_go_by_position(frame):
     df = frame([(f"f{i:03d}",) for i in range(100)], "path string").repartition(7)
-    monkeypatch.setattr(sampling, "SHORT_LIST", 10)
     found = sorted(r["path"] for r in sampling.limit_files(df, ["path"], 60).collect())
     assert found == [f"f{i:03d}" for i in range(60)]
 
@@ -72,6 +71,18 @@ def test_split_depends_on_seed_only(frame):
     assert len(chosen(1, 3)) == 10
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_seeds_are_independent(frame, kind):
+    df = frame([("a", i if kind == "long" else f"id{i}") for i in range(4000)], f"label string, id {kind}")
+
+    def chosen(seed):
+        return {r["id"] for r in sampling.stratified_split(df, "label", "id", 0.2, seed)[1].collect()}
+
+    first = chosen(42)
+    for seed in (43, 76):
+        assert 0.15 < len(first & chosen(seed)) / len(first) < 0.25
+
+
 def test_split_by_group_does_not_leak(frame):
     df = frame([("a", i, f"f{i // 4}") for i in range(80)], "label string, id long, file string")
     train, test = sampling.stratified_split(df, "label", "id", 0.25, 3, group="file")

@@ -89,3 +89,37 @@ def test_vector_windows_equal_batch(spark, tmp_path):
     assert found.keys() == {k for k in want if k[1] < last}
     for k, r in found.items():
         assert r["n"] == want[k]["n"] and r["stats"] == pytest.approx(want[k]["stats"])
+
+
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_no_row_is_lost_whatever_the_batches(spark, tmp_path, per_batch):
+    """Four hourly files, the oldest hour last; the last windows are still open."""
+    path = str(tmp_path / "hours")
+    for hour in (1, 2, 3, 0):
+        rows = [event("ab"[i % 2], 3600 * hour + 60 * i, float(i * i % 17)) for i in range(50)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.stream_files(spark, path, SCHEMA, files_per_trigger=per_batch)
+    window = jobs.window_of("ts", 3600, 1800)
+    found = jobs.windows_so_far(stream, ["file"], window, "value", "hours").collect()
+    batch = jobs.stream_clips(spark.read.schema(SCHEMA).parquet(path), ["file"], "value", length=3600, step=1800)
+    want = {(r["file"], r["window_start"]): r for r in batch.collect()}
+    assert sum(r["n"] for r in found) == 2 * 200 and len(found) == len(want)
+    for r in found:
+        w = want[r["file"], r["window_start"]]
+        assert (r["n"], r["low"], r["high"]) == (w["n"], w["low"], w["high"])
+        assert r["mean"][0] == pytest.approx(w["mean"]) and r["std"][0] == pytest.approx(w["std"])
+
+
+def test_vector_windows_of_many_batches(spark, tmp_path):
+    schema = "file string, ts timestamp, mfcc array<double>"
+    path = str(tmp_path / "vec")
+    for k in range(3):
+        rows = [event("a", i, [float(i * k), float(i + k)]) for i in range(30)] + [event(None, 1, None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.stream_files(spark, path, schema, files_per_trigger=1)
+    found = jobs.windows_so_far(stream, ["file"], jobs.window_of("ts", 10), "mfcc", "vec").collect()
+    batch = jobs.stream_bucket_features(spark.read.schema(schema).parquet(path), ["file"], "mfcc", seconds=10)
+    want = {(r["file"], r["window_start"]): r for r in batch.collect()}
+    assert len(found) == len(want) == 3
+    for r in found:
+        assert r["mean"] + r["std"] == pytest.approx(want[r["file"], r["window_start"]]["stats"])

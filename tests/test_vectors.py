@@ -39,11 +39,15 @@ def test_ragged_vectors_raise(frame):
         vectors.mean_vector(df, ["file"]).collect()
 
 
-def test_narrow_path_checks_the_width(frame):
+def test_a_stated_width_is_checked(frame):
     df = frame([("a", [1.0]), ("a", [1.0, 2.0])], "file string, embedding array<float>")
     for width in (1, 2):
         with pytest.raises(Exception, match="expected vectors of"):
             vectors.mean_vector(df, ["file"], width=width).collect()
+    missing = frame([("a", [1.0, None])], "file string, embedding array<float>")
+    for width in (None, 2):
+        with pytest.raises(Exception, match="null element"):
+            vectors.mean_vector(missing, ["file"], width=width).collect()
     same = df.where("size(embedding) = 2")
     assert vectors.mean_vector(same, ["file"], width=2).first()["embedding"] == [1.0, 2.0]
 
