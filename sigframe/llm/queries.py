@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.llm import (
     chat, decontaminate, exact_dedup, jaccard_join, language, lattice, mixing, quality,
     substring_dedup, token_counts,
 )
-from sigframe.runtime import scratch_path
+from sigframe.runtime import durable, scratch_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -47,21 +47,41 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """All documents come in; those of bad quality are then revised (signs that junk
-    consists of are taken out), toxic ones deleted, and the last batch is delivered twice."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    revised = "regexp_replace(text, '[!$%&#*|]+', '')"
-    bad = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    toxic = labels.filter("toxic = 1").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    gone = docs.join(toxic, "doc_id")
-    removed = f"CASE WHEN quality = 0 THEN {revised} ELSE text END"
-    ledger = scratch_path(spark, "ledger")
+    consists of are taken out), toxic ones deleted, and the last batch is delivered twice.
+
+    Texts are counted as they come and as revised; labels only meet the counts.
+    """
+    text = F.coalesce("text", F.lit(""))
+    revised = F.regexp_replace(text, "[!$%&#*|]+", "")
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "source", "lang", text.alias("before_text"), revised.alias("after_text")
+    )
+    counts = token_counts.counted(docs, keep=("doc_id", "source", "lang"))
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(
+        F.bool_or(F.col("quality") == 0).alias("bad"), F.bool_or(F.col("toxic") == 1).alias("toxic")
+    )
+    rows = durable(
+        counts.join(labels, "doc_id", "left").select(
+            "source", "lang", "before_n", "after_n",
+            F.coalesce("bad", F.lit(False)).alias("bad"), F.coalesce("toxic", F.lit(False)).alias("toxic"),
+        ),
+        "counts",
+    )
+    none = F.lit(None).cast("array<long>")
+    last = F.when(F.col("bad"), F.col("after_n")).otherwise(F.col("before_n"))
+
+    def change(some: DataFrame, before: Column, after: Column) -> DataFrame:
+        places = [F.col(c).alias(f"{side}_{c}") for side in token_counts.SIDES for c in ("source", "lang")]
+        return some.select(before.alias("before_n"), after.alias("after_n"), *places)
+
     batches = {
-        "1-insert": token_counts.as_changes(docs, None, "text"),
-        "2-revise": token_counts.as_changes(bad, "text", revised),
-        "3-delete": token_counts.as_changes(gone, removed, None),
+        "1-insert": change(rows, none, F.col("before_n")),
+        "2-revise": change(rows.filter("bad"), F.col("before_n"), F.col("after_n")),
+        "3-delete": change(rows.filter("toxic"), last, none),
     }
+    ledger = scratch_path(spark, "ledger")
     for name in (*batches, "3-delete"):
-        token_counts.commit(token_counts.deltas(batches[name]), ledger, name)
+        token_counts.commit(token_counts.signed_sums(batches[name]), ledger, name)
     return token_counts.totals(token_counts.read_ledger(spark, ledger))
 
 

@@ -40,48 +40,46 @@ def _encoding(name: str, folder: str):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def counted(changes: DataFrame, tokenizers: tuple[str, ...], folder: str) -> DataFrame:
-    """Changes with an array of counts for either side in place of its text, null where
-    there is none; one count per tokenizer."""
+def counted(
+    changes: DataFrame,
+    tokenizers: tuple[str, ...] = (BPE, WORDS),
+    folder: str = TOKENIZERS,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """``before_n`` and ``after_n``, an array of counts for either text, null where there is
+    none; ``keep`` names columns that are passed on.  A text left as it is is counted once."""
 
     def count(texts: pa.Array, name: str) -> list[int | None]:
         if name == WORDS:
-            plain = pc.fill_null(texts, "")
-            n = pc.count_substring_regex(plain, WORD)
+            n = pc.count_substring_regex(pc.fill_null(texts, ""), WORD)
             return pc.if_else(pc.is_null(texts), None, n.cast(pa.int64())).to_pylist()
         encode = _encoding(name, folder).encode_ordinary
         return [None if t is None else len(encode(t)) for t in texts.to_pylist()]
 
+    def rows(texts: pa.Array) -> pa.Array:
+        each = zip(*[count(texts, name) for name in tokenizers])
+        return pa.array([None if r[0] is None else list(r) for r in each], pa.list_(pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(pieces(batches, "before_text"), "after_text"):
-            columns = []
-            for side in SIDES:
-                each = [count(batch[f"{side}_text"], name) for name in tokenizers]
-                rows = [None if row[0] is None else list(row) for row in zip(*each)]
-                columns += [pa.array(rows, pa.list_(pa.int64())), batch[f"{side}_source"], batch[f"{side}_lang"]]
-            names = [f"{side}_{c}" for side in SIDES for c in ("n", "source", "lang")]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = ", ".join(f"{s}_n array<long>, {s}_source string, {s}_lang string" for s in SIDES)
-    return changes.mapInArrow(run, schema)
-
-
-def deltas(
-    changes: DataFrame, tokenizers: tuple[str, ...] = (BPE, WORDS), folder: str = TOKENIZERS
-) -> DataFrame:
-    """``source, lang, tokenizer, documents, tokens``: what a batch of changes adds.
+            before, after = batch["before_text"], batch["after_text"]
+            same = pc.fill_null(pc.equal(before, after), False)
+            first = rows(before)
+            second = rows(pc.if_else(same, None, after))
+            columns = [first, pc.if_else(same, first, second)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, *[batch[c] for c in keep]], names=["before_n", "after_n", *keep]
+            )
+
+    kept = "".join(f", `{c}` {changes.schema[c].dataType.simpleString()}" for c in keep)
+    return changes.select("before_text", "after_text", *keep).mapInArrow(
+        run, f"before_n array<long>, after_n array<long>{kept}"
+    )
 
-    ``changes`` has ``before_text, before_source, before_lang`` and the same ``after_``;
-    an insert has a null text before, a delete a null text after, a row with neither
-    changes nothing.  Other columns are ignored.  Empty texts are documents of 0 tokens,
-    null sources and languages are groups of their own, repeated rows count each time.
-    Tokenizers are rank files in ``folder``; ``words`` counts words.
-    """
-    narrow = changes.select(*[f"{s}_{c}" for s in SIDES for c in ("text", "source", "lang")])
-    rows = counted(narrow, tokenizers, folder)
-    names = F.array(*[F.lit(t) for t in tokenizers])
 
-    # Both sides in one pass: a change is an array of its signed sides.
+def signed_sums(rows: DataFrame, tokenizers: tuple[str, ...] = (BPE, WORDS)) -> DataFrame:
+    """``source, lang, tokenizer, documents, tokens`` of rows with ``before_`` and ``after_``
+    ``n, source, lang``: what is there after counts positive, what was before negative."""
     sides = F.array(*[
         F.struct(
             F.col(f"{name}_source").alias("source"), F.col(f"{name}_lang").alias("lang"),
@@ -91,12 +89,28 @@ def deltas(
     ])
     signed = rows.select(F.explode(sides).alias("s")).filter("s.n IS NOT NULL")
     each = signed.select("s.source", "s.lang", "s.sign", F.posexplode("s.n").alias("k", "n"))
+    names = F.array(*[F.lit(t) for t in tokenizers])
     tokenizer = F.element_at(names, F.col("k") + 1).alias("tokenizer")
     return each.groupBy("source", "lang", tokenizer).agg(
         F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.col("n")).alias("tokens")
     )
 
 
+def deltas(
+    changes: DataFrame, tokenizers: tuple[str, ...] = (BPE, WORDS), folder: str = TOKENIZERS
+) -> DataFrame:
+    """``source, lang, tokenizer, documents, tokens``: what a batch of changes adds.
+
+    ``changes`` has ``before_text, before_source, before_lang`` and the same ``after_``;
+    an insert has a null text before, a delete a null text after, a row with neither
+    changes nothing.  Other columns are ignored.  Empty texts are documents of 0 tokens,
+    null sources and languages are groups of their own, repeated rows count each time.
+    Tokenizers are rank files in ``folder``; ``words`` counts words.
+    """
+    places = tuple(f"{side}_{c}" for side in SIDES for c in ("source", "lang"))
+    return signed_sums(counted(changes, tokenizers, folder, places), tokenizers)
+
+
 def commit(delta: DataFrame, ledger: str, batch: str) -> None:
     """Enter a batch's delta into the ledger; committing the same batch again replaces it."""
     delta.write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
@@ -115,12 +129,3 @@ def read_ledger(spark, ledger: str) -> DataFrame:
     schema = "source string, lang string, tokenizer string, documents long, tokens long, batch string"
     return spark.read.schema(schema).option("basePath", ledger).parquet(f"{ledger}/batch=*")
 
-
-def as_changes(docs: DataFrame, before: str | None, after: str | None) -> DataFrame:
-    """Documents as changes; ``before``/``after`` are SQL for their texts, or none."""
-
-    def side(name: str, text: str | None) -> list:
-        known = F.expr(f"coalesce({text}, '')") if text else F.lit(None).cast("string")
-        return [known.alias(f"{name}_text"), F.col("source").alias(f"{name}_source"), F.col("lang").alias(f"{name}_lang")]
-
-    return docs.select(*side("before", before), *side("after", after))
