@@ -125,14 +125,17 @@ def mfcc(
 
 
 def resample(
-    df: DataFrame, by: list[str], order: str, value: str, step: float, chunk: int = 4096
+    df: DataFrame, by: list[str], order: str, value: str, step: float, chunk: int = 4096,
+    max_gap: float | None = None,
 ) -> DataFrame:
     """One mean value per time step and series, empty steps filled from the last one.
 
     Every step with values is repeated up to the next such step.  That step is
     looked up inside a chunk of ``chunk`` steps, and for the last one of a chunk in
     a table with one row per chunk, so a long series is spread over many tasks.
-    Rows without time or value are ignored.  Output: ``by..., step, t, value``.
+    A gap longer than ``max_gap`` is left open; set it where a stray time is possible,
+    as one of 1970 would otherwise be filled up for decades.  Rows without time or
+    value are ignored.  Output: ``by..., step, t, value``.
     """
     names = [f"k{i}" for i in range(len(by))]
     series = [F.col(c).alias(n) for c, n in zip(by, names)]
@@ -151,6 +154,9 @@ def resample(
         .join(following, F.col("_key") == F.col("_of"))
         .withColumn("_end", F.coalesce("_lead", "_next", F.col("step") + 1) - 1)
     )
+    if max_gap is not None:
+        wide = (F.col("_end") + 1 - F.col("step")) * step > max_gap
+        held = held.withColumn("_end", F.when(wide, F.col("step")).otherwise(F.col("_end")))
     # A wide gap is unrolled chunk by chunk, so no array exceeds one chunk.
     chunks = F.sequence(_chunk_of(F.col("step"), chunk), _chunk_of(F.col("_end"), chunk))
     low = F.greatest("step", F.col("_c") * chunk)

@@ -131,3 +131,11 @@ def test_group_map_counts_hot_group_whole(spark):
     want = {r["k"]: (r["n"], r["mean"]) for r in df.groupBy("k").agg({"v": "avg", "*": "count"}).toDF("k", "mean", "n").collect()}
     assert found.keys() == want.keys()
     assert all(found[k][0] == want[k][0] and found[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_resample_leaves_wide_gaps_open(frame):
+    rows = [("a", -1e9, 5.0), ("a", 0.0, 1.0), ("a", 3.0, 2.0), ("a", 50.0, 3.0)]
+    df = frame(rows, "file string, t double, v double")
+    found = signal.resample(df, ["file"], "t", "v", 1.0, max_gap=10.0).collect()
+    steps = {r["step"]: r["value"] for r in found}
+    assert steps == {-(10**9): 5.0, 0: 1.0, 1: 1.0, 2: 1.0, 3: 2.0, 50: 3.0}
