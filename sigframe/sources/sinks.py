@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.util import DefaultParamsReader, MLWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.functions.paths import part_name
@@ -106,6 +106,18 @@ def load_model(spark: SparkSession, path: str) -> MLWritable:
     return DefaultParamsReader.loadParamsInstance(path, spark)
 
 
+def collect_bounded(df: DataFrame, max_rows: int = 100_000) -> list[Row]:
+    """All rows on the driver, for results whose size does not follow the data.
+
+    One row more than ``max_rows`` is asked for; if it comes, nothing is returned but an
+    error, so that a table that has grown is neither cut nor pulled in whole.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows; write them to a table instead")
+    return rows
+
+
 def save_report(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").json(path)
 

@@ -152,3 +152,9 @@ def test_no_machine_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_collect_is_bounded(spark):
+    assert [r[0] for r in sinks.collect_bounded(spark.range(5).orderBy("id"), 5)] == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="more than 4 rows"):
+        sinks.collect_bounded(spark.range(5), 4)
