@@ -14,6 +14,7 @@ import functools
 import importlib.util
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -56,17 +57,20 @@ def counted(
         encode = _encoding(name, folder).encode_ordinary
         return [None if t is None else len(encode(t)) for t in texts.to_pylist()]
 
-    def rows(texts: pa.Array) -> pa.Array:
+    def rows(texts: pa.Array) -> list[list[int] | None]:
         each = zip(*[count(texts, name) for name in tokenizers])
-        return pa.array([None if r[0] is None else list(r) for r in each], pa.list_(pa.int64()))
+        return [None if r[0] is None else list(r) for r in each]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(pieces(batches, "before_text"), "after_text"):
             before, after = batch["before_text"], batch["after_text"]
-            same = pc.fill_null(pc.equal(before, after), False)
+            same = pc.fill_null(pc.equal(before, after), False).to_numpy(zero_copy_only=False)
+            other = np.flatnonzero(~same)
             first = rows(before)
-            second = rows(pc.if_else(same, None, after))
-            columns = [first, pc.if_else(same, first, second)]
+            second = list(first)
+            for k, n in zip(other, rows(after.take(pa.array(other)))):
+                second[k] = n
+            columns = [pa.array(side, pa.list_(pa.int64())) for side in (first, second)]
             yield pa.RecordBatch.from_arrays(
                 [*columns, *[batch[c] for c in keep]], names=["before_n", "after_n", *keep]
             )

@@ -82,3 +82,10 @@ def test_empty_batch(spark, frame, tmp_path):
 def test_other_tokenizers(frame, name):
     found = tc.deltas(frame([(None, None, None, "some text", "a", "en", 1)], SCHEMA), (name,)).collect()
     assert [(r.tokenizer, r.tokens) for r in found] == [(name, count(name, "some text"))]
+
+
+def test_batches_larger_than_a_piece(frame):
+    """Texts of several megabytes, most of them the same on both sides."""
+    texts = [f"é{k} ß" * (1000 + k) for k in range(400)]
+    every = [(t, "a", "en", t if k % 3 else t[: k * 7], "a", "en", 1) for k, t in enumerate(texts)]
+    assert rows_of(tc.deltas(frame(every, SCHEMA))) == brute(every)
