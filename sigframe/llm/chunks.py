@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sigframe.llm.text import column_bytes
 from sigframe.runtime import durable
 
-CHUNK_BYTES = 2_500_000
+CHUNK_BYTES = 1_500_000
 SCHEMA = "chunk_id long, doc_ids array<long>, tags array<int>, n_words long, offsets binary, body binary"
 _ARROW = pa.schema(
     [("chunk_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
