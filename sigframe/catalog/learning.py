@@ -38,19 +38,33 @@ FROM range(least({k}, (SELECT count(DISTINCT (l_quantity, l_extendedprice, l_dis
 @query("build_tokenizer", TOKENS_OF.format(k=32))
 def build_tokenizer(spark, sf):
     train, _ = sampling.train_holdout_by_part(frames(spark, sf))
-    return _codebook_facts(spark, quantizer.build_tokenizer(train, "mfcc", k=32, iters=25), train, 32)
+    return _codebook_facts(spark, quantizer.build_tokenizer(train, "mfcc", k=32), train, 32)
 
 
 @query("build_large_tokenizer", TOKENS_OF.format(k=1023))
 def build_large_tokenizer(spark, sf):
     train, _ = sampling.train_holdout_by_part(frames(spark, sf))
-    return _codebook_facts(spark, quantizer.build_tokenizer(train, "mfcc", k=1023, iters=5), train, 1023)
+    return _codebook_facts(spark, quantizer.build_tokenizer(train, "mfcc", k=1023), train, 1023)
 
 
 @query("build_pca_tokenizer", TOKENS_OF.format(k=32))
 def build_pca_tokenizer(spark, sf):
     train, _ = sampling.train_holdout_by_part(frames(spark, sf))
-    return _codebook_facts(spark, quantizer.build_pca_tokenizer(train, "mfcc", k=32, iters=25), train, 32)
+    return _codebook_facts(spark, quantizer.build_pca_tokenizer(train, "mfcc", k=32), train, 32)
+
+
+# The queries named _full leave every size to the functions; the SQL of the others states
+# a smaller one.
+@query("build_tokenizer_full", TOKENS_OF.format(k=16383))
+def build_tokenizer_full(spark, sf):
+    train, _ = sampling.train_holdout_by_part(frames(spark, sf))
+    return _codebook_facts(spark, quantizer.build_tokenizer(train, "mfcc"), train, 16383)
+
+
+@query("build_pca_tokenizer_full", TOKENS_OF.format(k=16383))
+def build_pca_tokenizer_full(spark, sf):
+    train, _ = sampling.train_holdout_by_part(frames(spark, sf))
+    return _codebook_facts(spark, quantizer.build_pca_tokenizer(train, "mfcc"), train, 16383)
 
 
 # The signs of components are arbitrary, but a rotation keeps distances to the centre.
@@ -73,10 +87,9 @@ SELECT file, count(*) AS n, TRUE AS in_range FROM frames GROUP BY file""")
 def tokenize(spark, sf):
     data = frames(spark, sf)
     train, _ = sampling.train_holdout_by_part(data)
-    tokenizer = quantizer.build_tokenizer(train, "mfcc", k=32, iters=10)
-    found = quantizer.tokenize(data, tokenizer)
+    found = quantizer.tokenize(data, quantizer.build_tokenizer(train, "mfcc"))
     return found.groupBy("file").agg(
-        F.count("*").alias("n"), F.bool_and(F.col("token").between(0, 31)).alias("in_range")
+        F.count("*").alias("n"), F.bool_and(F.col("token").between(0, 16382)).alias("in_range")
     )
 
 
@@ -88,30 +101,39 @@ def cluster_embeddings(spark, sf):
     return found.select("file", F.col("cluster").between(0, 4).alias("in_range"))
 
 
-@query("train_word2vec", "SELECT DISTINCT event_type AS word, 16 AS size FROM events")
-def train_word2vec(spark, sf):
+def _word_sizes(spark, sf, **sizes):
     from sigframe.catalog.registry import tokens
     from sigframe.operators.sequence import token_sequences
 
     sentences = token_sequences(tokens(spark, sf), ["file"], ["ts", "event_id"], "token")
-    model = sequence_embedding.train_word2vec(sentences, "tokens", size=16, window=5, iters=1)
+    model = sequence_embedding.train_word2vec(sentences, "tokens", **sizes)
     vector = vector_to_array("vector")
     return model.getVectors().select("word", F.size(vector).alias("size"))
 
 
+@query("train_word2vec", "SELECT DISTINCT event_type AS word, 16 AS size FROM events")
+def train_word2vec(spark, sf):
+    return _word_sizes(spark, sf, size=16)
+
+
+@query("train_word2vec_full", "SELECT DISTINCT event_type AS word, 256 AS size FROM events")
+def train_word2vec_full(spark, sf):
+    return _word_sizes(spark, sf)
+
+
 # The vectors are learned; which buckets exist and their frame statistics are not.
-@query("embed_word2vec", f"""WITH {FRAMES}, bucketed AS (
+EMBEDDED = f"""WITH {FRAMES}, bucketed AS (
   SELECT file, CASE WHEN timestamp < 100 THEN (floor(timestamp / 5) * 5)::INTEGER ELSE -1 END AS start_time, mfcc
   FROM frames)
 SELECT file, start_time, count(*) AS n, round(avg(mfcc[1]), 5) AS first_mean, round(stddev_pop(mfcc[4]), 5) + 0e0 AS last_std,
-       16 AS width FROM bucketed GROUP BY file, start_time""")
-def embed_word2vec(spark, sf):
+       {{size}} AS width FROM bucketed GROUP BY file, start_time"""
+
+
+def _embedded(spark, sf, **sizes):
     data = frames(spark, sf)
     train, _ = sampling.train_holdout_by_part(data)
-    tokenizer = quantizer.build_tokenizer(train, "mfcc", k=32, iters=10)
-    model = sequence_embedding.train_frame_vectors(
-        train, tokenizer, size=16, window=8, iters=1, sample=1e-1
-    )
+    tokenizer = quantizer.build_tokenizer(train, "mfcc")
+    model = sequence_embedding.train_frame_vectors(train, tokenizer, sample=1e-1, **sizes)
     found = sequence_embedding.embed_word2vec(data, tokenizer, model)
     return found.select(
         "file", "start_time", "n",
@@ -121,6 +143,16 @@ def embed_word2vec(spark, sf):
     )
 
 
+@query("embed_word2vec", EMBEDDED.format(size=16))
+def embed_word2vec(spark, sf):
+    return _embedded(spark, sf, size=16)
+
+
+@query("embed_word2vec_full", EMBEDDED.format(size=256))
+def embed_word2vec_full(spark, sf):
+    return _embedded(spark, sf)
+
+
 def _labelled(spark, sf):
     data = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     return sampling.stratified_split(data, "label", "vec_id", 0.2, 42)
@@ -144,7 +176,7 @@ def _predicted(found, classes=10):
 @query("train_classifier", TEST_SIDE)
 def train_classifier(spark, sf):
     train, test = _labelled(spark, sf)
-    model = classifier.train_classifier(train, "embedding", "label", hidden=32, max_iter=30)
+    model = classifier.train_classifier(train, "embedding", "label")
     return _predicted(model.transform(test))
 
 
@@ -152,22 +184,22 @@ def train_classifier(spark, sf):
 def train_boosted_trees(spark, sf):
     train, test = _labelled(spark, sf)
     weighted = classifier.balanced_weights(train, "label")
-    model = classifier.train_boosted_trees(
-        weighted, "embedding", "label", trees=4, depth=3, weight="weight"
-    )
+    model = classifier.train_boosted_trees(weighted, "embedding", "label", weight="weight")
     return _predicted(model.transform(test))
 
 
-@query("search_params", """SELECT concat('{"hidden": ', h, '}') AS params, fold::INTEGER AS fold, TRUE AS sound
-FROM (VALUES (8), (16)) AS p(h), range(3) AS f(fold)""")
-def search_params(spark, sf):
+SEARCHED = """SELECT concat('{{"hidden": ', h, '}}') AS params, fold::INTEGER AS fold, TRUE AS sound
+FROM (VALUES {points}) AS p(h), range({folds}) AS f(fold)"""
+
+
+def _searched(spark, sf, hidden, **search):
     data = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
 
     def build(train, hidden):
-        return classifier.train_classifier(train, "embedding", "label", hidden, max_iter=10)
+        return classifier.train_classifier(train, "embedding", "label", hidden)
 
     scores, _ = classifier.search_params(
-        data, build, {"hidden": [8, 16]}, "vec_id", "label", folds=3
+        data, build, {"hidden": hidden}, "vec_id", "label", **search
     )
     sound = F.lit(True)
     for c in ("accuracy", "precision", "recall", "f1"):
@@ -175,12 +207,22 @@ def search_params(spark, sf):
     return scores.select("params", "fold", sound.alias("sound"))
 
 
+@query("search_params", SEARCHED.format(points="(8), (16)", folds=3))
+def search_params(spark, sf):
+    return _searched(spark, sf, [8, 16], folds=3)
+
+
+@query("search_params_full", SEARCHED.format(points="(256), (512)", folds=5))
+def search_params_full(spark, sf):
+    return _searched(spark, sf, [256, 512])
+
+
 @query("evaluate", "SELECT TRUE AS sound, TRUE AS timed, (SELECT count(*) > 0 FROM embeddings) AS learned")
 def evaluate(spark, sf):
     train, test = _labelled(spark, sf)
 
     def build(rows):
-        return classifier.train_classifier(rows, "embedding", "label", hidden=16, max_iter=20)
+        return classifier.train_classifier(rows, "embedding", "label")
 
     _, report = classifier.evaluate(train, test, build, "label")
     scores = ("train_score", "test_score", "accuracy", "precision", "recall", "f1")

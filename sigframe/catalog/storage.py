@@ -270,7 +270,7 @@ SELECT file, count(*) AS n, count(*) AS n_same FROM frames GROUP BY file""")
 def save_model(spark, sf):
     path = scratch_path(spark, "model")
     data = frames(spark, sf).select("file", "mfcc")
-    built = quantizer.build_pca_tokenizer(data, "mfcc", k=8, iters=5)
+    built = quantizer.build_pca_tokenizer(data, "mfcc")
     built.codebook.write.parquet(f"{path}/codebook")
     sinks.save_model(built.rotation, f"{path}/rotation")
     loaded = quantizer.Tokenizer(
