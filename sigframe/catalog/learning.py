@@ -103,10 +103,10 @@ def cluster_embeddings(spark, sf):
 
 def _word_sizes(spark, sf, **sizes):
     from sigframe.catalog.registry import tokens
-    from sigframe.operators.sequence import token_sequences
 
-    sentences = token_sequences(tokens(spark, sf), ["file"], ["ts", "event_id"], "token")
-    model = sequence_embedding.train_word2vec(sentences, "tokens", **sizes)
+    model = sequence_embedding.train_token_vectors(
+        tokens(spark, sf), ["file"], ["ts", "event_id"], "token", **sizes
+    )
     vector = vector_to_array("vector")
     return model.getVectors().select("word", F.size(vector).alias("size"))
 
