@@ -15,15 +15,17 @@ from sigframe.plans import classifier, quantizer, scoring, sequence_embedding
 
 def _codebook_facts(spark, tokenizer, train, k):
     """What does not depend on the seeds: tokens, widths, and that training helped."""
-    first = train.groupBy("mfcc").agg(F.lit(1)).orderBy(F.xxhash64("mfcc")).limit(k).select("mfcc")
-    plain = quantizer.codebook_of(spark, [np.array(r["mfcc"]) for r in first.collect()])
+    space, vec = train, "mfcc"
+    if tokenizer.rotation is not None:
+        space, vec = vectors.rotate(train, "mfcc", tokenizer.rotation, "_turned"), "_turned"
+    first = space.groupBy(vec).agg(F.lit(1)).orderBy(F.xxhash64(vec)).limit(k).select(vec)
+    plain = quantizer.codebook_of(spark, [np.array(r[vec]) for r in first.collect()])
 
     def cost(book):
-        found = quantizer.tokenize(train, quantizer.Tokenizer(book, None), distance="d")
+        found = quantizer.tokenize(space, quantizer.Tokenizer(book, None), vec, distance="d")
         return found.agg(F.sum("d")).first()[0]
 
-    turned = tokenizer.rotation is not None
-    better = turned or cost(tokenizer.codebook) <= cost(plain)
+    better = cost(tokenizer.codebook) <= cost(plain)
     usable = quantizer.finite("centroid")
     return tokenizer.codebook.select(
         "token", F.size("centroid").alias("width"), usable.alias("usable"), F.lit(better).alias("better")
@@ -158,7 +160,8 @@ def _labelled(spark, sf):
     return sampling.stratified_split(data, "label", "vec_id", 0.2, 42)
 
 
-# Rows of the test side; every prediction must be a class, and most classes be learned.
+# Rows of the test side; every prediction must be a class, and the rows of the training
+# side be told apart better than by naming the largest class.
 TEST_SIDE = f"""WITH ranked AS (
   SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS n,
          row_number() OVER (PARTITION BY label
@@ -168,16 +171,24 @@ SELECT vec_id, label, TRUE AS known FROM ranked
 WHERE pos < least(greatest(1, floor(n * 2e-1 + 5e-1)), n - 1)"""
 
 
-def _predicted(found, classes=10):
+def _learned(model, train):
+    """Whether more training rows are right than the largest class has."""
+    hits = F.count_if(F.col("prediction") == F.col("label"))
+    right = model.transform(train).agg(hits).first()[0]
+    return right > train.groupBy("label").count().agg(F.max("count")).first()[0]
+
+
+def _predicted(model, train, test, classes=10):
     known = F.col("prediction").isin(*[float(i) for i in range(classes)])
-    return found.select("vec_id", "label", known.alias("known"))
+    known = known & F.lit(_learned(model, train))
+    return model.transform(test).select("vec_id", "label", known.alias("known"))
 
 
 @query("train_classifier", TEST_SIDE)
 def train_classifier(spark, sf):
     train, test = _labelled(spark, sf)
     model = classifier.train_classifier(train, "embedding", "label")
-    return _predicted(model.transform(test))
+    return _predicted(model, train, test)
 
 
 @query("train_boosted_trees", TEST_SIDE)
@@ -185,7 +196,7 @@ def train_boosted_trees(spark, sf):
     train, test = _labelled(spark, sf)
     weighted = classifier.balanced_weights(train, "label")
     model = classifier.train_boosted_trees(weighted, "embedding", "label", weight="weight")
-    return _predicted(model.transform(test))
+    return _predicted(model, train, test)
 
 
 SEARCHED = """SELECT concat('{{"hidden": ', h, '}}') AS params, fold::INTEGER AS fold, TRUE AS sound
