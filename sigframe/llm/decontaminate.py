@@ -2,7 +2,8 @@
 
 A document leaks an item if a window of as many words as the item is at most
 ``tolerance`` (a fifth) of them away from it in edit distance over words, letters lower
-cased and punctuation apart.  Windows are found by the CGK embedding: a random walk
+cased and punctuation apart; each letter of a script that is written without blanks
+(Chinese, Japanese, Thai and others) counts as a word.  Windows are found by the CGK embedding: a random walk
 writes each word of a window once or twice or more into a string of three times the
 length, the walk of equal words being equal, so that few edits leave a small Hamming
 distance.  Each of ``repeats`` walks samples ``bits`` places of the strings, and windows
@@ -19,6 +20,7 @@ over the documents, which are never shuffled.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,9 +43,33 @@ RESULT = "doc_id long, item_id long, start long, n_words long, distance long"
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+#: Letters of scripts that are written without blanks between words.
+_UNSPACED = "([" + "".join(
+    rf"\p{{{script}}}" for script in (
+        "Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar",
+        "Tai_Le", "New_Tai_Lue", "Tai_Tham", "Tai_Viet", "Balinese", "Javanese",
+    )
+) + r"\x{30FC}\x{FF70}])"
+
+
+def _signs() -> str:
+    """A character class of punctuation, symbols and blanks beyond ASCII."""
+    found = [c for c in range(128, 0x20000) if unicodedata.category(chr(c))[0] in "PSZ"]
+    found = [c for c in found if c != 0x30FC and c != 0xFF70]
+    begins = [c for c, last in zip(found, [0, *found]) if c != last + 1]
+    ends = [c for c, after in zip(found, [*found[1:], 0]) if after != c + 1]
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(begins, ends)) + "]"
+
+
+_SIGNS = _signs()
+
+
 def plain_words(texts: pa.Array) -> Words:
-    """Words in lower case without ASCII punctuation."""
+    """Words in lower case without punctuation; a letter of an unspaced script is a word."""
     lower = pc.utf8_lower(texts.cast(pa.large_string()))
+    if (column_bytes(lower)[0] >= 128).any():
+        lower = pc.replace_substring_regex(lower, _SIGNS, " ")
+        lower = pc.replace_substring_regex(lower, _UNSPACED, r" \1 ")
     return split_words(*column_bytes(lower), between=_BETWEEN)
 
 
