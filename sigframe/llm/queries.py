@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.llm import (
-    chat, decontaminate, exact_dedup, jaccard_join, language, lattice, mixing, quality,
-    substring_dedup, token_counts,
+    byte_bpe, chat, decontaminate, exact_dedup, jaccard_join, language, lattice, mixing, quality,
+    substring_dedup, token_counts, variants, whitening,
 )
 from sigframe.runtime import durable, scratch_path
 
@@ -94,6 +94,19 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = byte_bpe.encode_documents(table(spark, sf, "documents"))
+    return byte_bpe.with_digests(byte_bpe.decode_documents(encoded))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf, "documents"))
+
+
 # Windows of 20 words are compared as joined strings.
 OP1 = r"""
 WITH d AS (
@@ -181,6 +194,47 @@ mixed AS (
 
 OP9 = "WITH " + MIX.format(docs="documents") + "\nSELECT doc_id, size, source_size, target, taken FROM mixed"
 
+# crc32 byte by byte from a table of its steps; near words share a word with one code point less
+# or differ at one place of equal length.
+OP13 = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) AS t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-zÀ-ÿ]+')) AS run FROM documents),
+seen AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(regexp_extract_all(hex(encode(concat(coalesce(doc_id::VARCHAR, ''), ':', run))), '..'),
+             lambda b: concat('0x', b)::BIGINT)),
+           lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM seen, steps),
+changed AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN concat(left(run, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word
+  FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (
+  SELECT word, n, i, concat(left(word, i), substr(word, i + 2)) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+close AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN cuts b ON a.word = b.rest
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS near_n, arg_min(near, (-near_n, encode(near))) AS near
+  FROM close GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+         CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON walk.root = formed.word WHERE formed.form IS NOT NULL),
+ends AS (SELECT walk.word, root FROM walk JOIN formed ON root = formed.word WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_rotation": op2_chat_rotation,
@@ -192,6 +246,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op10_language": op10_language,
+    "op11_whitening": op11_whitening,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL = {
@@ -199,4 +256,5 @@ SQL = {
     "op2_chat_rotation": OP2,
     "op7_exact_dedup": OP7,
     "op9_mix_sources": OP9,
+    "op13_spelling_variants": OP13,
 }
