@@ -9,7 +9,8 @@ words in place of their numbers, position by position.
 A word that a third of all rows share is one entry per chunk, so no bucket is hot.  Words
 travel packed, one row for each bucket and chunk, which is never more rows than one for
 each distinct word of a chunk.  The chunk table lies in the shared folder: a chunk holds
-the same documents in the same order whenever it is read.
+the same documents in the same order whenever it is read.  It is bucketed by parts of a few
+chunks, so answers come to it without shuffling the positions.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -32,16 +35,18 @@ from pyspark.sql import functions as F
 
 from sigframe.llm.chunks import rows_of
 from sigframe.llm.text import column_bytes, from_planes, planes
-from sigframe.runtime import durable
+from sigframe.runtime import scratch_path, shuffle_width
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 32_000_000
+CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 16_000_000
+#: Chunks that lie together, and ids decoded at a time.
+PART_CHUNKS, DECODED = 4, 500_000
 #: A vocabulary is sent to every executor; the widest public ones hold a few megabytes.
 MAX_VOCABULARY_BYTES = 1 << 26
 
-_CHUNK = "chunk_id long, doc_ids array<long>, sizes binary, codes binary, places binary, words array<struct<bucket:int,n:int,body:binary>>"
+_CHUNK = "part long, chunk_id long, doc_ids array<long>, sizes binary, codes binary, places binary, words array<struct<bucket:int,n:int,body:binary>>"
 _CHUNK_ARROW = pa.schema(
-    [("chunk_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary()),
+    [("part", pa.int64()), ("chunk_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary()),
      ("places", pa.binary()),
      ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])))]
 )
@@ -137,8 +142,9 @@ def split_chunks(docs: DataFrame, pattern: str, buckets: int, chunk_bytes: int)
             sent = defaultdict(list)
             for w, place in zip(words, places.tolist()):
                 sent[place].append(w)
+            chunk = (task << 32) + next(made)
             row = {
-                "chunk_id": (task << 32) + next(made), "doc_ids": ids,
+                "part": chunk // PART_CHUNKS, "chunk_id": chunk, "doc_ids": ids,
                 "sizes": _numbers(np.array([len(c) for c in codes])), "codes": _numbers(renamed[flat]),
                 "places": _numbers(places),
                 "words": [{"bucket": b, "n": len(ws), "body": _packed(ws)} for b, ws in sorted(sent.items())],
@@ -158,12 +164,15 @@ def split_chunks(docs: DataFrame, pattern: str, buckets: int, chunk_bytes: int)
         if ids:
             yield flush()
 
-    return durable(rows.mapInArrow(run, _CHUNK), "words")
+    spark, name = docs.sparkSession, f"sigframe_words_{uuid.uuid4().hex}"
+    packed = rows.mapInArrow(run, _CHUNK).write.option("path", scratch_path(spark, "words"))
+    packed.bucketBy(shuffle_width(spark), "part").saveAsTable(name)
+    return spark.table(name)
 
 
 def _answers(chunks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``chunk_id, bucket, n, lengths, ids``: the ids of the words each chunk sent to a bucket."""
-    sent = chunks.select("chunk_id", F.inline("words"))
+    """``part, chunk_id, bucket, lengths, ids``: the ids of the words each chunk sent to a bucket."""
+    sent = chunks.select("part", "chunk_id", F.inline("words"))
     shared = chunks.sparkSession.sparkContext.broadcast(ranks)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,15 +182,17 @@ def _answers(chunks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             for w in _unpacked(row["body"], row["n"]):
                 ids = known.get(w)
                 if ids is None:
-                    ids = known[w] = np.array(merge_bytes(w, ranks), np.uint32)
+                    ids = known[w] = np.array(merge_bytes(w, ranks), np.uint32).tobytes()
                 found.append(ids)
-            lengths = np.fromiter(map(len, found), np.uint32, len(found))
+            lengths = np.fromiter(map(len, found), np.uint32, len(found)) // 4
             yield pa.RecordBatch.from_pydict(
-                {"chunk_id": [row["chunk_id"]], "bucket": pa.array([row["bucket"]], pa.int32()),
-                 "lengths": [_numbers(lengths)], "ids": [_numbers(np.concatenate(found))]}
+                {"part": [row["part"]], "chunk_id": [row["chunk_id"]], "bucket": pa.array([row["bucket"]], pa.int32()),
+                 "lengths": [_numbers(lengths)], "ids": [_numbers(np.frombuffer(b"".join(found), np.uint32))]}
             )
 
-    return sent.groupBy("bucket").applyInArrow(encode, "chunk_id long, bucket int, lengths binary, ids binary")
+    return sent.groupBy("bucket").applyInArrow(
+        encode, "part long, chunk_id long, bucket int, lengths binary, ids binary"
+    )
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -191,14 +202,23 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return steps + np.arange(len(steps))
 
 
-def _reassemble(answers: pa.Table, chunk: pa.Table) -> pa.Table:
-    """Ids of the chunk's documents: those of every pre-token in the order of positions."""
-    row = chunk.to_pylist()[0]
+def _reassemble(answers: pa.Table, chunks: pa.Table) -> pa.Table:
+    """Ids of the documents of a part's chunks: those of every pre-token by position."""
+    found = []
+    for k in range(chunks.num_rows):
+        row = chunks.slice(k, 1).to_pylist()[0]
+        mine = answers.filter(pc.equal(answers["chunk_id"], row["chunk_id"]))
+        found.append(_chunk_ids(mine, row))
+    return pa.concat_tables(found)
+
+
+def _chunk_ids(answers: pa.Table, row: dict) -> pa.Table:
     places, codes = _from_numbers(row["places"]), _from_numbers(row["codes"])
     lengths = np.zeros(len(places), np.int64)
     starts = np.zeros(len(places), np.int64)
     flat, total = [np.zeros(0, np.uint32)], 0
-    for answer in answers.to_pylist():
+    for k in range(answers.num_rows):
+        answer = answers.slice(k, 1).to_pylist()[0]
         mine = np.flatnonzero(places == answer["bucket"])
         lengths[mine] = _from_numbers(answer["lengths"])
         starts[mine] = total + np.cumsum(lengths[mine]) - lengths[mine]
@@ -227,8 +247,8 @@ def encode_documents(
     ranks = read_ranks(vocabulary or public_tokenizers.path(VOCABULARY))
     length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = split_chunks(docs, pattern, max(1, -(-length // bucket_bytes)), chunk_bytes)
-    answers = _answers(chunks, ranks).groupBy("chunk_id")
-    return answers.cogroup(chunks.drop("words").groupBy("chunk_id")).applyInArrow(
+    answers = _answers(chunks, ranks).groupBy("part")
+    return answers.cogroup(chunks.drop("words").groupBy("part")).applyInArrow(
         _reassemble, "doc_id long, ids array<int>"
     )
 
@@ -252,19 +272,25 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataF
         body = np.frombuffer(b"".join(t or b"" for t in table), np.uint8)
         for batch in batches:
             lists = batch["ids"].fill_null([])
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(table) or (lengths[ids] < 0).any()):
-                raise ValueError("an id is not in the vocabulary")
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
-            offsets = np.concatenate([[0], np.cumsum(lengths[ids])])[ends]
-            text = body[_spans(starts[ids], lengths[ids])]
-            decoded = pa.Array.from_buffers(
-                pa.large_binary(), len(lists),
-                [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())],
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], lists, decoded.cast(pa.binary())], names=["doc_id", "ids", "decoded"]
-            )
+            begin = 0
+            while begin < len(lists):
+                end = max(int(np.searchsorted(ends, ends[begin] + DECODED, "right")) - 1, begin + 1)
+                some = lists.slice(begin, end - begin)
+                ids = some.flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(table) or (lengths[ids] < 0).any()):
+                    raise ValueError("an id is not in the vocabulary")
+                offsets = np.concatenate([[0], np.cumsum(lengths[ids])])[ends[begin : end + 1] - ends[begin]]
+                text = body[_spans(starts[ids], lengths[ids])]
+                decoded = pa.Array.from_buffers(
+                    pa.large_binary(), len(some),
+                    [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].slice(begin, end - begin), some, decoded.cast(pa.binary())],
+                    names=["doc_id", "ids", "decoded"],
+                )
+                begin = end
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
