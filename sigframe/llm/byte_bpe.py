@@ -38,9 +38,9 @@ from sigframe.llm.text import column_bytes, from_planes, planes
 from sigframe.runtime import scratch_path, shuffle_width
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 16_000_000
+CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 32_000_000
 #: Chunks that lie together, and ids decoded at a time.
-PART_CHUNKS, DECODED = 4, 500_000
+PART_CHUNKS, DECODED = 2, 500_000
 #: A vocabulary is sent to every executor; the widest public ones hold a few megabytes.
 MAX_VOCABULARY_BYTES = 1 << 26
 
