@@ -191,12 +191,19 @@ def train_classifier(spark, sf):
     return _predicted(model, train, test)
 
 
-@query("train_boosted_trees", TEST_SIDE)
+# Besides: the loss falls in every tenth round, and probabilities sum to one.
+@query("train_boosted_trees", TEST_SIDE.replace("TRUE AS known", "TRUE AS known, TRUE AS falling, TRUE AS sums_to_one"))
 def train_boosted_trees(spark, sf):
     train, test = _labelled(spark, sf)
     weighted = classifier.balanced_weights(train, "label")
     model = classifier.train_boosted_trees(weighted, "embedding", "label", weight="weight")
-    return _predicted(model, train, test)
+    tenth = model.losses[::10]
+    falling = all(a > b for a, b in zip(tenth, tenth[1:]))
+    whole = F.abs(F.aggregate("probability", F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9
+    known = F.col("prediction").between(0, 9) & F.lit(_learned(model, train))
+    return model.transform(test).select(
+        "vec_id", "label", known.alias("known"), F.lit(falling).alias("falling"), whole.alias("sums_to_one")
+    )
 
 
 SEARCHED = """SELECT concat('{{"hidden": ', h, '}}') AS params, fold::INTEGER AS fold, TRUE AS sound

@@ -10,13 +10,8 @@ from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-)
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml import Model
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +20,7 @@ from sigframe.operators.joins import lookup_map
 from sigframe.operators.metrics import best_run, macro_scores
 from sigframe.operators.ranking import global_rank
 from sigframe.operators.sampling import stratified_folds
+from sigframe.plans.boosting import train_boosted_trees  # noqa: F401
 from sigframe.runtime import dealt, durable, join_null_safe
 from sigframe.sources.sinks import load_model, save_model
 
@@ -98,30 +94,6 @@ def train_classifier(
     return FittedClassifier(learner.fit(data), vec)
 
 
-def train_boosted_trees(
-    df: DataFrame, vec: str, label: str = "idx", trees: int = 400, depth: int = 3,
-    weight: str | None = None, seed: int = 42, parallelism: int = 4,
-) -> FittedClassifier:
-    """Boosted trees on scaled features, one model per class against the rest.
-
-    ``parallelism`` classes are trained at a time.
-    """
-    scaler = StandardScaler(
-        withMean=True, withStd=True, inputCol="features", outputCol="_scaled"
-    )
-    trees_model = GBTClassifier(
-        maxIter=trees, maxDepth=depth, seed=seed, featuresCol="_scaled", labelCol=label
-    )
-    one = OneVsRest(
-        classifier=trees_model, featuresCol="_scaled", labelCol=label, parallelism=parallelism
-    )
-    if weight is not None:
-        one = one.setWeightCol(weight)
-    return FittedClassifier(
-        Pipeline(stages=[scaler, one]).fit(_with_features(df, vec)), vec
-    )
-
-
 def param_points(
     grid: dict[str, list], method: str = "grid", draws: int = 5, seed: int = 42
 ) -> list[dict]:
