@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sigframe.catalog.registry import CLIPS, FRAMES, clips, frames, query, rounded, table
 from sigframe.catalog.projections import SPREAD
-from sigframe.functions.arrays import argmax, dot
+from sigframe.functions.arrays import argmax, dot, l2_normalize
 from sigframe.operators import sampling, vectors
-from sigframe.plans import classifier, quantizer, scoring, sequence_embedding
+from sigframe.plans import classifier, quantizer, scoring, sequence_embedding, skipgram
 
 
 def _codebook_facts(spark, tokenizer, train, k):
@@ -106,23 +105,42 @@ def cluster_embeddings(spark, sf):
 def _word_sizes(spark, sf, **sizes):
     from sigframe.catalog.registry import tokens
 
-    model = sequence_embedding.train_token_vectors(
-        tokens(spark, sf), ["file"], ["ts", "event_id"], "token", **sizes
+    model = skipgram.train_skipgram(tokens(spark, sf), ["file"], ["ts", "event_id"], "token", **sizes)
+    falling = model.losses[-1] == min(model.losses) < 0.9 * model.losses[0]
+    return model.vectors.select(
+        F.col("token").alias("word"), F.size("word_vector").alias("size"), F.lit(falling).alias("falling")
     )
-    vector = vector_to_array("vector")
-    return model.getVectors().select("word", F.size(vector).alias("size"))
 
 
-@query("train_word2vec", "SELECT DISTINCT event_type AS word, 16 AS size FROM events")
+WORDS = "SELECT DISTINCT event_type AS word, {size} AS size, TRUE AS falling FROM events"
+
+
+@query("train_word2vec", WORDS.format(size=16))
 def train_word2vec(spark, sf):
     return _word_sizes(spark, sf, size=16)
 
 
-@query("train_word2vec_full", "SELECT DISTINCT event_type AS word, 256 AS size FROM events")
+@query("train_word2vec_full", WORDS.format(size=256))
 def train_word2vec_full(spark, sf):
     return _word_sizes(spark, sf)
 
 
+# Series of one kind of event hold two tokens in turn, so the two occur together and with no
+# others: each must be the other's nearest token.
+@query("word2vec_neighbours", """SELECT DISTINCT concat(event_type, '_', event_id % 2) AS word,
+  concat(event_type, '_', 1 - event_id % 2) AS nearest FROM events""")
+def word2vec_neighbours(spark, sf):
+    from sigframe.catalog.registry import tokens
+
+    kinds = tokens(spark, sf).withColumn("kind", F.col("token"))
+    series = kinds.withColumn("token", F.concat_ws("_", "token", F.col("event_id") % 2))
+    vectors = skipgram.train_skipgram(series, ["file", "kind"], ["ts", "event_id"]).vectors
+    unit = vectors.select("token", l2_normalize("word_vector").alias("v"))
+    pairs = unit.join(unit.select(F.col("token").alias("other"), F.col("v").alias("w")), F.col("token") != F.col("other"))
+    best = F.max_by("other", F.struct(dot("v", "w"), "other"))
+    return pairs.groupBy(F.col("token").alias("word")).agg(best.alias("nearest"))
+
+
 # The vectors are learned; which buckets exist and their frame statistics are not.
 EMBEDDED = f"""WITH {FRAMES}, bucketed AS (
   SELECT file, CASE WHEN timestamp < 100 THEN (floor(timestamp / 5) * 5)::INTEGER ELSE -1 END AS start_time, mfcc
@@ -135,7 +153,7 @@ def _embedded(spark, sf, **sizes):
     data = frames(spark, sf)
     train, _ = sampling.train_holdout_by_part(data)
     tokenizer = quantizer.build_tokenizer(train, "mfcc")
-    model = sequence_embedding.train_frame_vectors(train, tokenizer, sample=1e-1, **sizes)
+    model = sequence_embedding.train_frame_vectors(train, tokenizer, **sizes)
     found = sequence_embedding.embed_word2vec(data, tokenizer, model)
     return found.select(
         "file", "start_time", "n",

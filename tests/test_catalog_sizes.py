@@ -5,7 +5,7 @@ import inspect
 import pytest
 
 import __spark_entry__ as registered
-from sigframe.plans import classifier, quantizer, sequence_embedding
+from sigframe.plans import classifier, quantizer, skipgram
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,8 +23,8 @@ class Seen(Exception):
         ("build_pca_tokenizer_full", quantizer, "build_pca_tokenizer", ["k", "iters"]),
         ("save_model", quantizer, "build_pca_tokenizer", ["k", "iters"]),
         ("embed_word2vec", quantizer, "build_tokenizer", ["k", "iters"]),
-        ("train_word2vec", sequence_embedding, "train_word2vec", ["window", "iters"]),
-        ("train_word2vec_full", sequence_embedding, "train_word2vec", ["size", "window", "iters"]),
+        ("train_word2vec", skipgram, "train_skipgram", ["window", "epochs", "negative", "ns_exponent", "sample"]),
+        ("train_word2vec_full", skipgram, "train_skipgram", ["size", "window", "epochs", "negative", "ns_exponent", "sample"]),
         ("train_classifier", classifier, "train_classifier", ["hidden", "max_iter"]),
         ("evaluate", classifier, "train_classifier", ["hidden", "max_iter"]),
         ("train_boosted_trees", classifier, "train_boosted_trees", ["trees", "depth"]),

@@ -120,7 +120,7 @@ def test_word2vec_chain(spark):
     rows = [(f"f{i // 80}", (i % 80) / 8.0, rng.normal(size=4).tolist()) for i in range(320)]
     frames = spark.createDataFrame(rows, "file string, timestamp double, mfcc array<double>")
     tokenizer = quantizer.build_tokenizer(frames, "mfcc", k=5, iters=5)
-    model = sequence_embedding.train_frame_vectors(frames, tokenizer, size=8, window=3)
+    model = sequence_embedding.train_frame_vectors(frames, tokenizer, size=8, window=3, epochs=10)
     words = sequence_embedding.word_vectors(model)
     assert words.count() == 5 and {len(r["word_vector"]) for r in words.collect()} == {8}
     found = sequence_embedding.embed_word2vec(frames, tokenizer, model).collect()
