@@ -106,7 +106,8 @@ def _word_sizes(spark, sf, **sizes):
     from sigframe.catalog.registry import tokens
 
     model = skipgram.train_skipgram(tokens(spark, sf), ["file"], ["ts", "event_id"], "token", **sizes)
-    falling = model.losses[-1] == min(model.losses) < 0.9 * model.losses[0]
+    start, *_, end = model.losses
+    falling = end < 0.9 * start and sum(model.losses[-5:]) < sum(model.losses[1:6])
     return model.vectors.select(
         F.col("token").alias("word"), F.size("word_vector").alias("size"), F.lit(falling).alias("falling")
     )
@@ -149,12 +150,8 @@ SELECT file, start_time, count(*) AS n, round(avg(mfcc[1]), 5) AS first_mean, ro
        {{size}} AS width FROM bucketed GROUP BY file, start_time"""
 
 
-def _embedded(spark, sf, **sizes):
-    data = frames(spark, sf)
-    train, _ = sampling.train_holdout_by_part(data)
-    tokenizer = quantizer.build_tokenizer(train, "mfcc")
-    model = sequence_embedding.train_frame_vectors(train, tokenizer, **sizes)
-    found = sequence_embedding.embed_word2vec(data, tokenizer, model)
+def _embedded(frames, tokenizer, model):
+    found = sequence_embedding.embed_word2vec(frames, tokenizer, model)
     return found.select(
         "file", "start_time", "n",
         F.round(F.get("mfcc_stats", F.lit(0)), 5).alias("first_mean"),
@@ -165,12 +162,20 @@ def _embedded(spark, sf, **sizes):
 
 @query("embed_word2vec", EMBEDDED.format(size=16))
 def embed_word2vec(spark, sf):
-    return _embedded(spark, sf, size=16)
+    data = frames(spark, sf)
+    train, _ = sampling.train_holdout_by_part(data)
+    tokenizer = quantizer.build_tokenizer(train, "mfcc", k=1023)
+    model = sequence_embedding.train_frame_skipgrams(train, tokenizer, size=16)
+    return _embedded(data, tokenizer, model)
 
 
+# Hierarchical softmax, one pass: 100 passes with noise words take about an hour of CPU here.
 @query("embed_word2vec_full", EMBEDDED.format(size=256))
 def embed_word2vec_full(spark, sf):
-    return _embedded(spark, sf)
+    data = frames(spark, sf)
+    train, _ = sampling.train_holdout_by_part(data)
+    tokenizer = quantizer.build_tokenizer(train, "mfcc")
+    return _embedded(data, tokenizer, sequence_embedding.train_frame_vectors(train, tokenizer, sample=1e-1))
 
 
 def _labelled(spark, sf):

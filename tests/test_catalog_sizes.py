@@ -22,7 +22,8 @@ class Seen(Exception):
         ("build_tokenizer_full", quantizer, "build_tokenizer", ["k", "iters"]),
         ("build_pca_tokenizer_full", quantizer, "build_pca_tokenizer", ["k", "iters"]),
         ("save_model", quantizer, "build_pca_tokenizer", ["k", "iters"]),
-        ("embed_word2vec", quantizer, "build_tokenizer", ["k", "iters"]),
+        ("embed_word2vec", quantizer, "build_tokenizer", ["iters"]),
+        ("embed_word2vec_full", quantizer, "build_tokenizer", ["k", "iters"]),
         ("train_word2vec", skipgram, "train_skipgram", ["window", "epochs", "negative", "ns_exponent", "sample"]),
         ("train_word2vec_full", skipgram, "train_skipgram", ["size", "window", "epochs", "negative", "ns_exponent", "sample"]),
         ("train_classifier", classifier, "train_classifier", ["hidden", "max_iter"]),

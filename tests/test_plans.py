@@ -120,12 +120,15 @@ def test_word2vec_chain(spark):
     rows = [(f"f{i // 80}", (i % 80) / 8.0, rng.normal(size=4).tolist()) for i in range(320)]
     frames = spark.createDataFrame(rows, "file string, timestamp double, mfcc array<double>")
     tokenizer = quantizer.build_tokenizer(frames, "mfcc", k=5, iters=5)
-    model = sequence_embedding.train_frame_vectors(frames, tokenizer, size=8, window=3, epochs=10)
+    model = sequence_embedding.train_frame_vectors(frames, tokenizer, size=8, window=3)
     words = sequence_embedding.word_vectors(model)
     assert words.count() == 5 and {len(r["word_vector"]) for r in words.collect()} == {8}
     found = sequence_embedding.embed_word2vec(frames, tokenizer, model).collect()
     assert {(r["file"], r["start_time"]) for r in found} == {(f"f{i}", s) for i in range(4) for s in (0, 5)}
     assert all(len(r["mfcc_stats"]) == 8 and len(r["word_vector"]) == 8 and r["n_unknown"] == 0 for r in found)
+    drawn = sequence_embedding.train_frame_skipgrams(frames, tokenizer, size=6, window=3, epochs=10)
+    found = sequence_embedding.embed_word2vec(frames, tokenizer, drawn).collect()
+    assert len(found) == 8 and all(len(r["word_vector"]) == 6 and r["n_unknown"] == 0 for r in found)
 
 
 def test_label_codes(frame):
