@@ -38,7 +38,7 @@ BLOCK = 400
 HOT = 512
 _COLUMNS = 16_384
 
-SKETCH = "doc_id long, node long, prefixes array<long>"
+SKETCH = "doc_id long, body long, node long, prefixes array<long>"
 FOUND = "node long, links long, head long"
 
 
@@ -97,7 +97,10 @@ class Forest:
 
 
 def sketches(docs: DataFrame, forest: Forest, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, node, prefixes`` of every row; texts without words have no node."""
+    """``doc_id, body, node, prefixes`` of every row; texts without words have no node.
+
+    ``body`` tells texts under one id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -107,12 +110,16 @@ def sketches(docs: DataFrame, forest: Forest, size: int = SHINGLE) -> DataFrame:
             full = np.diff(offsets) > 0
             bounds = np.concatenate(([0], np.cumsum(full * forest.trees))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(nodes, pa.int64()),
+                [batch["doc_id"], batch["body"], pa.array(nodes, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel()))],
-                names=["doc_id", "node", "prefixes"],
+                names=["doc_id", "body", "node", "prefixes"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return _bodies(docs).mapInArrow(run, SKETCH)
+
+
+def _bodies(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
 
 
 def _intersections(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -217,7 +224,8 @@ def near_duplicates(
     rows = durable(sketches(docs, forest, size), "sketches")
     units = durable(
         rows.filter("node IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes")
+            F.min(F.struct("doc_id", "body")).alias("least"), F.min("doc_id").alias("text_id"),
+            F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"),
         ),
         "texts",
     )
@@ -256,9 +264,10 @@ def _found_links(
             F.when(one, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("bin"),
         )
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
-    wanted = units.join(groups.select("node"), "node").select("node", "text_id")
-    bodies = durable(join_null_safe(texts, wanted, ["text_id"]).select("node", "text"), "bodies")
+    # One body for each node, whatever other texts share its id, and however often it occurs.
+    wanted = units.join(groups.select("node"), "node").select("node", "least.doc_id", "least.body")
+    found = join_null_safe(_bodies(docs), wanted, ["doc_id", "body"]).select("node", "text")
+    bodies = durable(found.groupBy("node").agg(F.min("text").alias("text")), "bodies")
     members = spread.join(bodies, "node").select("root", "low", "high", "block", "bin", "node", "text")
     found = durable(verify_groups(members, size, threshold), "links")
     totals = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("head").alias("head"))

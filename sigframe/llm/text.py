@@ -19,23 +19,31 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 _draw = np.random.default_rng(20240607)
 _BYTE_CODE = _draw.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15  # odd and 5 modulo 8, so that it has an inverse and a full period
+_BASE = 0x9E3779B97F4A7C15
+# Two primes below 2**31 and a random base for each.
+_FIELDS = ((2147483647, 1229782939), (2147483629, 1640531513))
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = -(-n // 2**18) * 2**18
-        for k, factor in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            column = np.full(size, factor, np.uint64)
-            column[0] = 1
-            _powers[k] = np.cumprod(column, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+# Codes worked on at a time.
+_STEP = 1 << 18
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo the prime."""
+    if prime not in _powers or len(_powers[prime][0]) < n:
+        columns = []
+        for factor in (base, pow(base, -1, prime)):
+            column = np.ones(1, np.uint64)
+            while len(column) < n:
+                step = np.uint64(pow(factor, len(column), prime))
+                column = np.concatenate([column, column * step % np.uint64(prime)])
+            columns.append(column.astype(np.uint32))
+        _powers[prime] = tuple(columns)
+    up, down = _powers[prime]
+    return up[:n], down[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -49,15 +57,26 @@ class RangeHashes:
     """Hashes of any ranges of ``codes``; equal content gives equal hashes."""
 
     def __init__(self, codes: np.ndarray):
-        up, self.down = powers(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.multiply(codes, up[: len(codes)], out=self.sums[1:])
-        np.cumsum(self.sums, out=self.sums)
+        self.fields = []
+        for prime, base in _FIELDS:
+            p, last = np.uint64(prime), np.uint64(0)
+            up, down = powers(len(codes) + 1, prime, base)
+            sums = np.zeros(len(codes) + 1, np.uint32)
+            for low in range(0, len(codes), _STEP):
+                high = min(low + _STEP, len(codes))
+                part = codes[low:high] % p * up[low:high] % p
+                part[0] += last
+                part = np.cumsum(part) % p
+                sums[low + 1 : high + 1] = part
+                last = part[-1]
+            self.fields.append((p, sums, down))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        lengths = (ends - starts).astype(np.uint64)
-        content = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mixed(content + lengths * np.uint64(_BASE))
+        content = (ends - starts).astype(np.uint64) * np.uint64(_BASE)
+        for k, (p, sums, down) in enumerate(self.fields):
+            part = (sums[ends].astype(np.uint64) + p - sums[starts]) % p * down[starts] % p
+            content += part << np.uint64(32 * k)
+        return mixed(content)
 
 
 def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
