@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigframe.catalog.registry import CLIPS, FRAMES, clips, frames, query, rounded, table
 from sigframe.catalog.projections import SPREAD
 from sigframe.functions.arrays import argmax, dot, l2_normalize
 from sigframe.operators import sampling, vectors
-from sigframe.plans import classifier, quantizer, scoring, sequence_embedding, skipgram
+from sigframe.plans import classifier, network, quantizer, scoring, sequence_embedding, skipgram
 
 
 def _codebook_facts(spark, tokenizer, train, k):
@@ -210,10 +211,32 @@ def _predicted(model, train, test, classes=10):
 @query("train_classifier", TEST_SIDE)
 def train_classifier(spark, sf):
     train, test = _labelled(spark, sf)
-    model = classifier.train_classifier(train, "embedding", "label")
+    model = network.train_relu_classifier(train, "embedding", "label", held_out=test)
     return _predicted(model, train, test)
 
 
+# A class that can be learned: which of the first four elements is the largest.  The best
+# epoch's loss on rows held out is below that of the first weights and of the class shares.
+@query("train_classifier_held_out", f"""{TEST_SIDE.split("SELECT vec_id, label, TRUE")[0]},
+large AS (SELECT vec_id, list_max(embedding[1:4]) AS top, embedding[1:4] AS head FROM embeddings)
+SELECT vec_id, list_position(head, top) - 1 AS class, TRUE AS beats_start, TRUE AS beats_shares, TRUE AS best_kept
+FROM ranked JOIN large USING (vec_id)
+WHERE pos < least(greatest(1, floor(n * 2e-1 + 5e-1)), n - 1)""")
+def train_classifier_held_out(spark, sf):
+    sides = [
+        some.withColumn("class", argmax(F.slice("embedding", 1, 4))) for some in _labelled(spark, sf)
+    ]
+    model = network.train_relu_classifier(sides[0], "embedding", "class", held_out=sides[1])
+    scored = model.transform(sides[1])
+    own = -F.log(F.get("probability", F.col("class")))
+    shares = sides[0].groupBy("class").count().withColumn("share", F.col("count") / F.sum("count").over(W.partitionBy()))
+    prior = sides[1].join(shares, "class").agg(F.avg(-F.log("share"))).first()[0]
+    loss = scored.agg(F.avg(own)).first()[0]
+    least = min(judged for _, judged in model.losses)
+    facts = {"beats_start": loss < np.log(4), "beats_shares": loss < prior, "best_kept": abs(loss - least) < 1e-6}
+    return scored.select("vec_id", "class", *[F.lit(bool(v)).alias(k) for k, v in facts.items()])
+
+
 # Besides: the loss falls in every tenth round, and probabilities sum to one.
 @query("train_boosted_trees", TEST_SIDE.replace("TRUE AS known", "TRUE AS known, TRUE AS falling, TRUE AS sums_to_one"))
 def train_boosted_trees(spark, sf):

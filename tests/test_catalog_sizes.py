@@ -5,7 +5,7 @@ import inspect
 import pytest
 
 import __spark_entry__ as registered
-from sigframe.plans import classifier, quantizer, skipgram
+from sigframe.plans import classifier, network, quantizer, skipgram
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ class Seen(Exception):
         ("embed_word2vec_full", quantizer, "build_tokenizer", ["k", "iters"]),
         ("train_word2vec", skipgram, "train_skipgram", ["window", "epochs", "negative", "ns_exponent", "sample"]),
         ("train_word2vec_full", skipgram, "train_skipgram", ["size", "window", "epochs", "negative", "ns_exponent", "sample"]),
-        ("train_classifier", classifier, "train_classifier", ["hidden", "max_iter"]),
+        ("train_classifier", network, "train_relu_classifier", ["hidden", "epochs", "rate", "batch", "patience"]),
         ("evaluate", classifier, "train_classifier", ["hidden", "max_iter"]),
         ("train_boosted_trees", classifier, "train_boosted_trees", ["trees", "depth"]),
         ("search_params_full", classifier, "search_params", ["folds"]),
