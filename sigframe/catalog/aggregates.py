@@ -452,18 +452,15 @@ def early_stop_epoch(spark, sf):
 @query("union_tagged", f"""WITH {CLIPS}, tagged AS (
   SELECT file AS id, embedding, 'soundscape' AS class_name, 1 AS is_soundscape FROM clips UNION ALL
   SELECT class, embedding, 'prototype', 0 FROM clips)
-SELECT id, class_name, is_soundscape, round(avg(embedding[1]), 6) + 0e0 AS first,
-       round(avg(embedding[64]), 6) + 0e0 AS last FROM tagged GROUP BY ALL""")
+SELECT id, class_name, is_soundscape, i::INTEGER AS pos, round(avg(embedding[i + 1]), 6) + 0e0 AS value
+FROM tagged, range(64) AS t(i) GROUP BY ALL""")
 def union_tagged(spark, sf):
     data = clips(spark, sf)
     both = profile.union_tagged(
         vectors.mean_vector(data, ["file"]), vectors.class_prototypes(data, "class")
     )
-    return both.select(
-        "id", "class_name", "is_soundscape",
-        rounded(F.get("embedding", F.lit(0))).alias("first"),
-        rounded(F.get("embedding", F.lit(63))).alias("last"),
-    )
+    long = vectors.long_form(both, ["id", "class_name", "is_soundscape"], "embedding")
+    return long.withColumn("value", rounded("value"))
 
 
 @query("set_difference", """

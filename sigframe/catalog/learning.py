@@ -11,6 +11,8 @@ from sigframe.catalog.projections import SPREAD
 from sigframe.functions.arrays import argmax, dot, l2_normalize
 from sigframe.operators import sampling, vectors
 from sigframe.plans import classifier, network, quantizer, scoring, sequence_embedding, skipgram
+from sigframe.runtime import scratch_path
+from sigframe.sources import scans, sinks
 
 
 def _codebook_facts(spark, tokenizer, train, k):
@@ -338,3 +340,17 @@ def submission(spark, sf):
     scored = scoring.score_clips(clips(spark, sf), "embedding", _layers())
     wide = scoring.submission(scored, labels)
     return wide.select("row_id", *[F.round(c, 6).alias(c) for c in wide.columns[1:]])
+
+
+# Clips to probabilities to the wide table to CSV files, read back.
+@query("submission_csv", f"""WITH {CLIPS}, {SCORED}
+SELECT concat(regexp_replace(string_split(file, '/')[-1], '\\.ogg$', ''), '_', end_time::INTEGER) AS row_id,
+       round(p[1], 6) AS label_0, round(p[2], 6) AS label_1, round(p[3], 6) AS label_2,
+       round(p[4], 6) AS label_3, round(p[5], 6) AS label_4 FROM scored""")
+def submission_csv(spark, sf):
+    scored = scoring.score_clips(clips(spark, sf), "embedding", _layers())
+    wide = scoring.submission(scored, {f"label_{i}": i for i in range(5)})
+    path = scratch_path(spark, "submission")
+    sinks.write_submission(wide, path)
+    found = scans.scan_csv(spark, path, ", ".join(["row_id string", *[f"{c} double" for c in wide.columns[1:]]]))
+    return found.select("row_id", *[F.round(c, 6).alias(c) for c in wide.columns[1:]])

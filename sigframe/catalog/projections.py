@@ -31,14 +31,14 @@ def pack_vector(spark, sf):
     )
 
 
-@query("unpack_predictions", """
-SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS asbfly, round(embedding[2]::DOUBLE, 6) AS comros,
-       round(embedding[3]::DOUBLE, 6) AS whbbul FROM embeddings""")
+# All 64 elements, named so that their order as text is another one.
+CODES = {f"code_{i * 37 % 64:02d}": i for i in range(64)}
+
+
+@query("unpack_predictions", "SELECT vec_id, " + ", ".join(
+    f"round(embedding[{i + 1}]::DOUBLE, 6) AS {c}" for c, i in CODES.items()) + " FROM embeddings")
 def unpack_predictions(spark, sf):
-    wide = vectors.unpack_predictions(
-        table(spark, sf, "embeddings"), "embedding",
-        {"comros": 1, "asbfly": 0, "whbbul": 2}, keep=["vec_id"],
-    )
+    wide = vectors.unpack_predictions(table(spark, sf, "embeddings"), "embedding", CODES, keep=["vec_id"])
     return wide.select(
         "vec_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in wide.columns[1:]]
     )

@@ -83,7 +83,7 @@ def resample(spark, sf):
 
 
 # Band edges are equally spaced on the mel scale; band b spans edges b to b + 2.
-@query("mel_spectrogram", """WITH edges AS (
+MEL_BANDS = """WITH edges AS (
   SELECT i, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp(ln(64e-1) / 27 * (m - 15)) END AS hz
   FROM (SELECT i, (15 + ln(16e0) / (ln(64e-1) / 27)) * i / 9 AS m FROM range(10) AS t(i))),
 bank AS (
@@ -100,9 +100,12 @@ spectrum AS (
   SELECT file, index, k, (pow(list_sum(list_transform(range(32), lambda j: x[j + 1] * cos(2 * pi() * j * k / 64))), 2)
     + pow(list_sum(list_transform(range(32), lambda j: x[j + 1] * sin(2 * pi() * j * k / 64))), 2))
     / pow(16, 2) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS power
-  FROM tapered, range(33) AS t(k))
-SELECT file, index, band::INTEGER AS band, round(sum(power * weight) * 1e6, 6) + 0e0 AS power
-FROM spectrum JOIN bank USING (k) GROUP BY ALL""")
+  FROM tapered, range(33) AS t(k)),
+bands AS (SELECT file, index, band, sum(power * weight) AS power FROM spectrum JOIN bank USING (k) GROUP BY ALL)"""
+
+
+@query("mel_spectrogram", f"""{MEL_BANDS}
+SELECT file, index, band::INTEGER AS band, round(power * 1e6, 6) + 0e0 AS power FROM bands""")
 def mel_spectrogram(spark, sf):
     framed = signal.frame(series(spark, sf), 32, 16)
     bands = signal.mel_spectrogram(framed, rate=32000, size=32, n_fft=64, n_mels=8)
@@ -141,6 +144,18 @@ def mfcc(spark, sf):
     return long.withColumn("value", rounded("value"))
 
 
+# Samples to frames to mel bands to coefficients, for every frame of every series.
+@query("mfcc_of_series", f"""{MEL_BANDS}
+SELECT file, index, n::INTEGER AS pos,
+       round(sum(power * cos(pi() * n * (2 * band + 1) / 16)) * sqrt(CASE WHEN n = 0 THEN 1 / 8 ELSE 2 / 8 END) * 1e6, 6) + 0e0 AS value
+FROM bands, range(5) AS t(n) GROUP BY file, index, n""")
+def mfcc_of_series(spark, sf):
+    framed = signal.frame(series(spark, sf), 32, 16)
+    bands = signal.mel_spectrogram(framed, rate=32000, size=32, n_fft=64, n_mels=8)
+    long = vectors.long_form(signal.mfcc(bands, 8, 5), ["file", "index"], "mfcc")
+    return long.withColumn("value", rounded(F.col("value") * 1e6))
+
+
 @query("embed_clips", f"""WITH {CLIPS}
 SELECT file, start_time, round(list_avg(embedding), 6) + 0e0 AS mean,
        round(list_max(embedding), 6) AS top FROM clips""")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigframe.catalog.projections import wide_clips
+from sigframe.catalog.aggregates import REPORT
+from sigframe.catalog.projections import CODES, wide_clips
 from sigframe.catalog.registry import CLIPS, FRAMES, clips, frames, query, rounded, table
 from sigframe.functions import arrays, paths
+from sigframe.operators import vectors
 from sigframe.plans import classifier, quantizer
 from sigframe.runtime import scratch_path
 from sigframe.sources import scans, sinks
@@ -208,7 +210,8 @@ def write_partitioned(spark, sf):
 
 
 @query("write_two", f"""WITH {CLIPS}
-SELECT file, start_time, round(embedding[1], 6) AS e0, round(embedding[64], 6) AS p0 FROM clips""")
+SELECT file, start_time, i::INTEGER AS pos, round(embedding[i + 1], 6) AS e, round(embedding[64 - i], 6) AS p
+FROM clips, range(64) AS t(i)""")
 def write_two(spark, sf):
     path = scratch_path(spark, "two")
     data = clips(spark, sf).withColumn("predictions", F.reverse("embedding"))
@@ -217,23 +220,23 @@ def write_two(spark, sf):
     both = scans.scan_parquet(spark, f"{path}/embed").join(
         scans.scan_parquet(spark, f"{path}/predict"), keys
     )
-    first = {"e0": "embedding", "p0": "predictions"}
-    return both.select(
-        *keys, *[F.round(F.get(c, F.lit(0)).cast("double"), 6).alias(n) for n, c in first.items()]
-    )
+    long = both.select(*keys, F.posexplode(F.arrays_zip("embedding", "predictions")).alias("pos", "x"))
+    places = {"e": "x.embedding", "p": "x.predictions"}
+    return long.select(*keys, "pos", *[F.round(F.col(c).cast("double"), 6).alias(n) for n, c in places.items()])
 
 
-@query("write_submission", """SELECT concat('f', vec_id, '_', (vec_id % 12 + 1) * 5) AS row_id,
-  round(embedding[1]::DOUBLE, 6) AS asbfly FROM embeddings""")
+@query("write_submission", "SELECT concat('f', vec_id, '_', (vec_id % 12 + 1) * 5) AS row_id, " + ", ".join(
+    f"round(embedding[{i + 1}]::DOUBLE, 6) AS {c}" for c, i in CODES.items()) + " FROM embeddings")
 def write_submission(spark, sf):
     path = scratch_path(spark, "submission")
-    rows = table(spark, sf, "embeddings").select(
-        F.concat(F.lit("f"), "vec_id", F.lit("_"), (F.col("vec_id") % 12 + 1) * 5).alias("row_id"),
-        F.get("embedding", F.lit(0)).cast("double").alias("asbfly"),
-    )
-    sinks.write_submission(rows, path)
-    found = scans.scan_csv(spark, path, "row_id string, asbfly double")
-    return found.withColumn("asbfly", F.round("asbfly", 6))
+    named = table(spark, sf, "embeddings").withColumn(
+        "row_id", F.concat(F.lit("f"), "vec_id", F.lit("_"), (F.col("vec_id") % 12 + 1) * 5)
+    ).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    wide = vectors.unpack_predictions(named, "embedding", CODES, keep=["row_id"])
+    sinks.write_submission(wide, path)
+    schema = ", ".join(["row_id string", *[f"{c} double" for c in wide.columns[1:]]])
+    found = scans.scan_csv(spark, path, schema)
+    return found.select("row_id", *[F.round(c, 6).alias(c) for c in wide.columns[1:]])
 
 
 @query("success_marker", "SELECT count(*) AS n, true AS complete FROM events")
@@ -282,14 +285,15 @@ def save_model(spark, sf):
     )
 
 
-@query("save_report", """WITH h AS (SELECT (quality = toxic)::INTEGER AS hit FROM labels)
-SELECT round(avg(hit), 3) AS accuracy FROM h""")
+@query("save_report", f"""WITH guess AS (SELECT quality AS truth, toxic AS pred FROM labels), {REPORT}
+SELECT (SELECT round(avg((truth = pred)::INTEGER), 3) FROM guess) AS accuracy, round(avg(precision), 3) AS precision,
+       round(avg(recall), 3) AS recall, round(avg(f1), 3) AS f1 FROM report""")
 def save_report(spark, sf):
     from sigframe.operators.metrics import macro_scores
 
     path = scratch_path(spark, "report")
     sinks.save_report(macro_scores(table(spark, sf, "labels"), "quality", "toxic"), path)
-    return spark.read.json(path).select("accuracy")
+    return spark.read.json(path).select("accuracy", "precision", "recall", "f1")
 
 
 @query("bounded_collect", """SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL""")
