@@ -179,7 +179,7 @@ def sql(spark, sf):
 SELECT file, count(*) AS n, round(sum(timestamp), 3) AS total, 20 AS files FROM frames GROUP BY file""")
 def write_features(spark, sf):
     path = scratch_path(spark, "features")
-    sinks.write_features(frames(spark, sf), path, files=20)
+    sinks.write_features(frames(spark, sf), path)
     count = scans.list_files(spark, path, "*.parquet").agg(F.count("*").cast("int").alias("c"))
     rows = scans.scan_parquet(spark, path).groupBy("file").agg(
         F.count("*").alias("n"), F.round(F.sum("timestamp"), 3).alias("total")

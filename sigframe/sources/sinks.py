@@ -12,9 +12,19 @@ from sigframe.functions.paths import part_name
 from sigframe.runtime import durable, join_null_safe
 
 
-def write_features(df: DataFrame, path: str, files: int = 20) -> None:
-    """Overwrite ``path`` with ``files`` Parquet files."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def _rebalanced(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Partitions of about ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, as measured
+    when they are shuffled; rows of one value of ``by`` lie together unless they are more."""
+    names = ", ".join(f"`{c.replace('`', '``')}`" for c in by)
+    hint = f"REBALANCE({names})" if by else "REBALANCE"
+    return df.sparkSession.sql(f"SELECT /*+ {hint} */ * FROM {{df}}", df=df)
+
+
+def write_features(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Overwrite ``path`` with Parquet files of even size: as many as the bytes ask for, or
+    ``files``."""
+    even = _rebalanced(df) if files is None else df.repartition(files)
+    even.write.mode("overwrite").parquet(path)
 
 
 def write_zstd(df: DataFrame, path: str) -> None:
@@ -22,13 +32,17 @@ def write_zstd(df: DataFrame, path: str) -> None:
 
 
 def write_partitioned(
-    df: DataFrame, path: str, by: Sequence[str] = ("part",), spread: int = 8, mode: str = "overwrite"
+    df: DataFrame, path: str, by: Sequence[str] = ("part",), spread: int | None = None,
+    mode: str = "overwrite",
 ) -> None:
-    """One directory per value of ``by``, at most ``spread`` files in each.
+    """One directory per value of ``by``.
 
-    Rows of one value are dealt to ``spread`` tasks, so a large directory is not
-    written by a single one.
+    A small directory gets one file, a large one as many as its bytes ask for, each written
+    by another task.  ``spread`` deals the rows of every value to so many tasks instead.
     """
+    if spread is None:
+        _rebalanced(df, by).write.mode(mode).partitionBy(*by).parquet(path)
+        return
     # Dealt by content, so that a retried task deals the same way; maps have no hash.
     plain = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
     dealt = df.withColumn("_deal", F.pmod(F.xxhash64(*plain), F.lit(spread)))

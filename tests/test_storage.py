@@ -158,3 +158,22 @@ def test_collect_is_bounded(spark):
     assert [r[0] for r in sinks.collect_bounded(spark.range(5).orderBy("id"), 5)] == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError, match="more than 4 rows"):
         sinks.collect_bounded(spark.range(5), 4)
+
+
+def test_writers_follow_the_bytes(spark, tmp_path):
+    """Small directories get one file, a directory with most rows several."""
+    rows = spark.range(200_000).selectExpr("id AS `odd ``name`", "if(id < 190000, 0, id % 5) AS part", "uuid() AS body")
+    rows = rows.repartition(8)
+    advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advised)
+    spark.conf.set(advised, "1m")
+    try:
+        sinks.write_partitioned(rows, str(tmp_path / "parts"), ["part"])
+        sinks.write_features(rows, str(tmp_path / "even"))
+    finally:
+        spark.conf.set(advised, before)
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "parts").glob("part=*")}
+    assert files.pop("part=0") > 3 and set(files.values()) == {1} and len(files) == 4
+    sizes = [f.stat().st_size for f in (tmp_path / "even").glob("*.parquet")]
+    assert len(sizes) > 3 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    assert spark.read.parquet(str(tmp_path / "parts")).count() == 200_000
