@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sigframe.runtime import durable
 
+HOT = 512
+FEW = 64
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of the edges ``a, b``; the root is the smallest node.
@@ -14,8 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round hangs larger neighbours of a node below its smallest one, then does the
     same for smaller neighbours, until every edge leads to a root; rounds grow with the
     logarithm of the longest path.  Every round is written as a table.  Smallest
-    neighbours are partial aggregates, and the joins carry one row per edge, so nodes
-    with very many neighbours are split by adaptive execution.
+    neighbours are partial aggregates; those of nodes with more than 1/512 of all edges
+    are brought to the edges by broadcast, so a hub's edges stay where they are.
     """
     now = _ordered(edges)
     now = durable(now, "edges")
@@ -25,7 +28,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
-        now = durable(_small_star(_large_star(now)), "edges")
+        now = durable(_large_star(now, state[0]), "edges")
+        now = durable(_small_star(now, now.count()), "edges")
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -42,16 +46,27 @@ def _ordered(edges: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Edges with the facts of ``a``; at most 1,024 hubs go by broadcast."""
+    limit = max(total // HOT, FEW)
+    hubs = F.broadcast(least.filter(F.col("n") > limit).drop("n"))
+    near = edges.join(hubs, "a")
+    far = edges.join(hubs.select("a"), "a", "left_anti").join(
+        least.filter(F.col("n") <= limit).drop("n"), "a"
+    )
+    return near.unionByName(far)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = both.join(least, "a").filter("b > a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = _with_least(both, least, total).filter("b > a")
     return _ordered(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = _with_least(edges, least, total)
     return _ordered(
         joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))

@@ -1,10 +1,8 @@
 """N-gram Jaccard join by a MinHash LSH forest: near copies linked and put into classes.
 
 Texts are sets of shingles (five words; a shorter text is one shingle).  Texts with the
-same set are one node.  Every tree of the forest is a trie over MinHash signatures of
-its own; nodes below the same prefix are candidates.  The prefix starts at full depth
-and is shortened until pairs at the threshold meet in some tree with the target recall:
-``1 - (1 - t**depth)**trees``.
+same set are one node.  Candidates come from the sorted tries of a forest (``forest``),
+whose prefixes are shortened from full depth until a text has the target recall.
 
 No pairs are written.  A trie node links its members to its smallest one, the connected
 groups of these links are compared inside: a group is cut into blocks, two blocks at a
@@ -26,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.llm.components import connected_components
+from sigframe.llm.forest import Forest, trie_links
 from sigframe.llm.text import Words, pieces, range_hashes, words_of
 from sigframe.runtime import durable, join_null_safe
 
@@ -38,18 +37,10 @@ BLOCK = 400
 HOT = 512
 _COLUMNS = 16_384
 
-SKETCH = "doc_id long, body long, node long, prefixes array<long>"
+SKETCH = "doc_id long, body long, node long, stop int, signature binary"
 FOUND = "node long, links long, head long"
 
 
-def prefix_depth(threshold: float, trees: int, max_depth: int, recall: float) -> int:
-    """The longest prefix at which pairs at the threshold still meet often enough."""
-    depth = max_depth
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
-
-
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, and their offsets."""
     n = np.diff(words.offsets)
@@ -72,32 +63,8 @@ def set_node(hashes: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-class Forest:
-    """Hash functions of the trees; prefixes of signatures as one number per tree."""
-
-    def __init__(self, trees: int, depth: int, seed: int = 3):
-        draw = np.random.default_rng(seed)
-        self.trees, self.depth = trees, depth
-        self.factors = draw.integers(0, 2**63, (trees, depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shifts = draw.integers(0, 2**63, (trees, depth), dtype=np.uint64)
-
-    def prefixes(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """One row of prefix keys per set that is not empty."""
-        starts = offsets[:-1][np.diff(offsets) > 0]
-        keys = np.zeros((len(starts), self.trees), np.uint64)
-        if not len(starts):
-            return keys
-        for tree in range(self.trees):
-            for level in range(self.depth):
-                value = hashes * self.factors[tree, level] + self.shifts[tree, level]
-                least = np.minimum.reduceat(value >> np.uint64(32), starts)
-                key = (keys[:, tree] ^ least) * np.uint64(0x9E3779B97F4A7C15)
-                keys[:, tree] = key ^ (key >> np.uint64(29))
-        return keys
-
-
 def sketches(docs: DataFrame, forest: Forest, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, body, node, prefixes`` of every row; texts without words have no node.
+    """``doc_id, body, node, stop, signature`` of every row; texts without words have no node.
 
     ``body`` tells texts under one id apart.
     """
@@ -106,13 +73,16 @@ def sketches(docs: DataFrame, forest: Forest, size: int = SHINGLE) -> DataFrame:
         for batch in pieces(batches):
             hashes, offsets = shingle_sets(words_of(batch["text"]), size)
             nodes = [set_node(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-            keys = forest.prefixes(hashes, offsets).view(np.int64)
+            labels = forest.signatures(hashes, offsets)
             full = np.diff(offsets) > 0
-            bounds = np.concatenate(([0], np.cumsum(full * forest.trees))).astype(np.int32)
+            bounds = np.concatenate(([0], np.cumsum(full * (forest.trees * forest.width)))).astype(np.int32)
+            signatures = pa.Array.from_buffers(
+                pa.binary(), len(nodes), [None, pa.py_buffer(bounds), pa.py_buffer(labels.tobytes())]
+            )
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["body"], pa.array(nodes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel()))],
-                names=["doc_id", "body", "node", "prefixes"],
+                 pa.array(forest.depths(np.diff(offsets))), signatures],
+                names=["doc_id", "body", "node", "stop", "signature"],
             )
 
     return _bodies(docs).mapInArrow(run, SKETCH)
@@ -220,19 +190,17 @@ def near_duplicates(
     their own.  A class of null ids only has a null ``class_id``.  Repeated rows are
     copies of one text.  An empty table gives an empty result.
     """
-    forest = Forest(trees, prefix_depth(threshold, trees, max_depth, recall))
+    forest = Forest(threshold, trees, max_depth, recall)
     rows = durable(sketches(docs, forest, size), "sketches")
     units = durable(
         rows.filter("node IS NOT NULL").groupBy("node").agg(
             F.min(F.struct("doc_id", "body")).alias("least"), F.min("doc_id").alias("text_id"),
-            F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"),
+            F.count(F.lit(1)).alias("copies"),
+            F.first("stop").alias("stop"), F.first("signature").alias("signature"),
         ),
         "texts",
     )
-    leaves = units.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    shared = leaves.groupBy("tree", "prefix").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
-    edges = leaves.join(shared.filter("n > 1"), ["tree", "prefix"]).filter("node <> least")
-    groups = connected_components(edges.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    groups = connected_components(trie_links(units, forest).select("a", "b"))
     groups = durable(groups, "groups")
     found = _found_links(docs, units, groups, size, threshold, block)
     classes = units.join(found, "node", "left").select(
