@@ -25,6 +25,7 @@ from sigframe.runtime import durable
 
 HOT = 512
 PER_BUCKET = 100_000
+STEP = 10_000
 INDEX = "bucket long, levels array<binary>, sizes array<long>, digests binary, winners array<long>, counts array<long>"
 GROUPS = "digest binary, keep_id long, group_size long, member boolean"
 _LEVELS = 32
@@ -195,8 +196,7 @@ def marked(rows: DataFrame, groups: DataFrame) -> DataFrame:
         groups.filter(F.col("group_size") <= total // HOT).drop("member"), "digest"
     )
     return (
-        warm.unionByName(cold)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        _unrolled(warm.unionByName(cold))
         .select(
             "doc_id",
             "keep_id",
@@ -205,3 +205,20 @@ def marked(rows: DataFrame, groups: DataFrame) -> DataFrame:
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
     )
+
+
+def _unrolled(rows: DataFrame) -> DataFrame:
+    """One row per copy, numbered by ``copy`` from 1.
+
+    A row with more than ``STEP`` copies is cut into runs of that many first, and the runs
+    are dealt to all tasks, so no array and no task holds all copies of a row.
+    """
+    few = rows.filter(F.col("n") <= STEP).withColumn("begin", F.lit(0).cast("long"))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STEP)))
+    many = rows.filter(F.col("n") > STEP).withColumn("run", runs).repartition("digest", "run")
+    many = many.withColumn("begin", F.col("run") * STEP).withColumn(
+        "n", F.least(F.col("n") - F.col("begin"), F.lit(STEP).cast("long"))
+    )
+    both = few.unionByName(many.drop("run"))
+    place = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    return both.withColumn("copy", place).withColumn("copy", F.col("copy") + F.col("begin")).drop("begin", "n")

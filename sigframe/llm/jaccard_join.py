@@ -181,12 +181,13 @@ def near_duplicates(
     recall: float = RECALL,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``doc_id, class_id, text_id, n_links`` for every row of ``docs``.
+    """``doc_id, class_id, text_id, n_links, body`` for every row of ``docs``.
 
     Reads ``doc_id, text``; other columns are ignored.  ``text_id`` is the smallest id
     with the same shingles, ``n_links`` the number of other texts (different sets) with
     a Jaccard similarity of at least ``threshold``, ``class_id`` the smallest id that
-    links lead to.  Null and empty texts have no shingles, no links, and are classes of
+    links lead to, ``body`` the ``xxhash64`` of the text, which tells rows of one id
+    apart.  Null and empty texts have no shingles, no links, and are classes of
     their own.  A class of null ids only has a null ``class_id``.  Repeated rows are
     copies of one text.  An empty table gives an empty result.
     """
@@ -210,7 +211,7 @@ def near_duplicates(
     classes = durable(classes, "classes")
     first = classes.groupBy("head").agg(F.min("text_id").alias("class_id"))
     facts = classes.join(first, "head").select("node", "class_id", "text_id", "n_links", "copies")
-    return _attached(rows.select("doc_id", "node"), durable(facts, "facts"))
+    return _attached(rows.select("doc_id", "body", "node"), durable(facts, "facts"))
 
 
 def _found_links(
@@ -262,9 +263,9 @@ def _attached(rows: DataFrame, facts: DataFrame) -> DataFrame:
         known.join(F.broadcast(hot), "node"),
         known.join(F.broadcast(hot.select("node")), "node", "left_anti").join(cold, "node"),
         rows.filter("node IS NULL").select(
-            "doc_id", "node", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"),
+            "doc_id", "body", "node", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"),
             F.lit(0).cast("long").alias("n_links"),
         ),
     ]
-    columns = ["doc_id", "class_id", "text_id", "n_links"]
+    columns = ["doc_id", "class_id", "text_id", "n_links", "body"]
     return parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))

@@ -186,12 +186,16 @@ def sample_languages(train: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` documents of each language, those with the smallest hashes.
 
     The share drawn follows from the language's count (languages are few, so the counts
-    are part of the filter); texts are neither sorted nor shuffled.
+    are part of the filter); texts are neither sorted nor shuffled.  The hash is one of id
+    and text, so rows that share an id, or have none, are drawn apart; rows equal in both
+    are drawn together and count once, before anything is shuffled.
     """
     share = F.lit(0.0)
     for row in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():
         share = F.when(F.col("lang") == row["lang"], per_language / row["n"]).otherwise(share)
-    return train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share)
+    mark = F.xxhash64("doc_id", "text")
+    drawn = train.withColumn("mark", mark).filter(F.col("mark") / 2.0**64 + 0.5 < share)
+    return drawn.groupBy("lang", "mark").agg(F.min("text").alias("text"))
 
 
 def fit_languages(train: DataFrame, per_language: int = PER_LANGUAGE) -> ContextTree:

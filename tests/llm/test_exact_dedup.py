@@ -69,3 +69,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert by_id[5] == [(5, 1, True)]  # a text of white space is one space, not empty
     assert sorted(by_id[None]) == [(None, 2, False), (None, 2, True)]
     assert exact_dedup.exact_duplicates(no_docs).count() == 0
+
+
+def test_very_many_rows_equal_in_id_and_text(frame, monkeypatch):
+    """A row's copies are unrolled in runs; every one comes back, one of them kept."""
+    monkeypatch.setattr(exact_dedup, "STEP", 100)
+    docs = frame([(None, "")] * 3456 + [(1, "a")] * 100 + [(2, "a")] * 101, "doc_id long, text string")
+    rows = exact_dedup.exact_duplicates(docs).collect()
+    assert len(rows) == 3657 and sum(r.kept for r in rows) == 2
+    assert sum(r.doc_id is None and r.group_size == 3456 for r in rows) == 3456
+    assert [r.doc_id for r in rows if r.kept and r.doc_id is not None] == [1]

@@ -115,3 +115,12 @@ def test_odd_rows(odd_docs, no_docs):
         assert (r.lang_pred == "und") == none and (r.score == 0) == none
     assert {r.lang_pred for r in language.identify(odd_docs, held_out=F.lit(True)).collect()} == {"und"}
     assert language.identify(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_samples_are_bounded_without_ids(frame, same):
+    """Rows without ids are drawn by text; rows equal in id and text count once."""
+    docs = frame([(None, "x" if same else f"text {k}", "en") for k in range(20_000)],
+                 "doc_id long, text string, lang string")
+    drawn = language.sample_languages(docs, 400).count()
+    assert drawn <= 1 if same else 300 < drawn < 500

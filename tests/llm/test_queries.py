@@ -98,3 +98,22 @@ def test_pipeline_with_odd_rows(spark, odd_docs, no_docs):
     assert ids == sorted(["1", "2", "3", "5", "None", "6", "7", "8", "9"])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, SF).count() == 0
+
+
+def test_clean_texts_under_a_shared_id_stay(spark, prose):
+    """Copies and benchmark passages go alone, whatever else has their id or has none."""
+    first, other, clean = (" ".join(prose(k, 60)) for k in (71, 72, 73))
+    near = first.split()
+    near[30] = "edit"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 40").first().text
+    rows = [(1, first), (7, " ".join(near)), (7, other), (None, clean), (None, " ".join(near) + " end"),
+            (9, f"{other[:99]} {item}"), (9, clean[:200]), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def left(stage):
+        return sorted((str(r.doc_id), r.text) for r in stage(spark, docs, SF).collect())
+
+    assert left(corpus_pipeline.near_copies) == sorted((str(rows[k][0]), rows[k][1]) for k in (0, 2, 3, 5, 6, 7))
+    assert left(corpus_pipeline.clean_of_benchmark) == sorted(
+        (str(rows[k][0]), rows[k][1]) for k in (0, 1, 2, 3, 4, 6)
+    )
