@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from sigframe import catalog
 from sigframe.runtime import durable, scratch_path, shared_dir
 from sigframe.sources import scans, sinks
 
@@ -177,3 +178,16 @@ def test_writers_follow_the_bytes(spark, tmp_path):
     sizes = [f.stat().st_size for f in (tmp_path / "even").glob("*.parquet")]
     assert len(sizes) > 3 and max(sizes) < 3 * sum(sizes) / len(sizes)
     assert spark.read.parquet(str(tmp_path / "parts")).count() == 200_000
+
+
+def test_features_query_writes_its_files_at_any_size(spark):
+    """Twenty, whether the bytes would ask for one file or for hundreds."""
+    advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advised)
+    try:
+        for size in (before, "1k"):
+            spark.conf.set(advised, size)
+            found = catalog.queries()["write_features"](spark, "/root/testdata/sf0.001").collect()
+            assert {r["files"] for r in found} == {20}
+    finally:
+        spark.conf.set(advised, before)
