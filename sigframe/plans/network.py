@@ -1,11 +1,13 @@
-"""A ReLU network trained by data-parallel mini-batch Adam.
+"""A ReLU network trained by mini-batch Adam over partitioned rows.
 
-Rows are dealt to tasks by a hash and lie there as blocks.  In each step every task takes
-the next mini-batch of its rows, and the gradients are added up on their way to the driver,
-which holds the weights (bounded by a check) and makes the Adam step.  An epoch passes over
-all rows once, in an order drawn from the seed and the epoch, and ends with the loss on held-out
-rows.  Training stops when that loss has not fallen for ``patience`` epochs, and the best
-epoch's weights are returned.
+Rows are dealt to partitions by a hash and lie there as blocks.  A step needs the weights
+that the step before has left, so the steps of an epoch follow each other whatever the
+number of tasks; the weights (bounded by a check) go from partition to partition, and each
+makes the Adam steps of its mini-batches where its rows are.  Rows that do not fill a
+mini-batch go on with the weights.  An epoch passes over all rows once, in an order drawn
+from the seed and the epoch, and ends with the loss on held-out rows, which all tasks judge
+at once.  Training stops when that loss has not fallen for ``patience`` epochs, and the
+best epoch's weights are returned.
 
 With a ``path`` the state after every epoch is written there, and a run that was stopped
 goes on from it to the same weights.
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 
 from sigframe.functions.kernels import dense_udf, rows_of
 from sigframe.plans.quantizer import finite
-from sigframe.runtime import shuffle_width
 from sigframe.sources.sinks import is_complete
 
 #: Most weights: those of 2,048 inputs, 512 units and 10,932 classes are 6.7 million.
@@ -112,17 +113,24 @@ def gradient(weights: Weights, x: np.ndarray, y: np.ndarray) -> tuple[Weights, f
     return [x.T @ back, back.sum(axis=0), hidden.T @ p, p.sum(axis=0)], loss
 
 
-def _step_gradients(part: int, rows: Iterator, weights, order: list[int], step: int, size: int) -> Iterator[tuple]:
-    """Gradients of the task's rows of one mini-batch."""
-    for x, y in rows:
-        draw = np.random.default_rng([*order, part])
-        mine = draw.permutation(len(y))[step * size : (step + 1) * size]
-        if len(mine):
-            yield (*gradient(weights.value, x[mine], y[mine]), len(mine))
-
+def _visit(part: int, rows: Iterator, shared, order: list[int], batch: int, rate: float, last: bool) -> Iterator[tuple]:
+    """The state after the steps of a partition's mini-batches, and their summed loss.
 
-def _added(a: tuple, b: tuple) -> tuple:
-    return [x + y for x, y in zip(a[0], b[0])], a[1] + b[1], a[2] + b[2]
+    The state are weights, moments, the steps made, and rows left for the next mini-batch.
+    """
+    for x, y in rows:
+        weights, moments, step, (left_x, left_y) = shared.value
+        weights, moments = ([w.copy() for w in some] for some in (weights, moments))
+        mine = np.random.default_rng([*order, part]).permutation(len(y))
+        x, y = np.concatenate([left_x, x[mine]]), np.concatenate([left_y, y[mine]])
+        end, total = len(y) if last else len(y) - len(y) % batch, 0.0
+        for begin in range(0, end, batch):
+            some = slice(begin, min(begin + batch, end))
+            slopes, loss = gradient(weights, x[some], y[some])
+            step += 1
+            adam(weights, moments, [g / (some.stop - begin) for g in slopes], step, rate)
+            total += loss
+        yield (weights, moments, step, (x[end:], y[end:])), total
 
 
 def _held_out_loss(rows: Iterator, weights) -> Iterator[tuple[float, int]]:
@@ -158,7 +166,7 @@ def train_relu_classifier(
     """A network of one hidden ReLU layer on vectors ``vec`` with class index ``label``.
 
     ``held_out`` are the rows whose loss decides; without them a ``share`` of ``df`` by a hash of
-    vector and label.  A mini-batch has ``batch`` rows over all tasks, at least one from each.
+    vector and label.  A mini-batch has ``batch`` rows, the last one of an epoch what is left.
     Rows with a null label or a vector that is not finite are left out; without rows to
     train on it raises.  ``path`` keeps the state of the run.
     """
@@ -181,12 +189,12 @@ def train_relu_classifier(
     width, classes = seen["d"], max(2, seen["y"] + 1, y_test + 1)
     if width * hidden + hidden * classes > MAX_WEIGHTS:
         raise ValueError("a network of this size is not held by every task")
-    tasks = min(shuffle_width(spark), batch, -(-seen["n"] // TASK_ROWS))
+    tasks = -(-seen["n"] // TASK_ROWS)
     dealt = [some.repartition(tasks, mixed).sortWithinPartitions(mixed, "y") for some in (train, test)]
     rows, aside = (_blocks(some, width) for some in dealt)
-    sizes = rows.map(lambda xy: len(xy[1])).collect()
-    size = max(1, batch // tasks)
-    steps = -(-max(sizes) // size)
+    sizes = dict(rows.mapPartitionsWithIndex(lambda k, part: [(k, len(y)) for _, y in part]).collect())
+    n_train = sum(sizes.values())
+    nothing = np.empty((0, width), np.float32), np.empty(0, np.int32)
     weights = first_weights(width, hidden, classes, seed)
     moments = [np.zeros_like(w) for w in weights * 2]
     best, losses, epoch = [w.copy() for w in weights], [], 0
@@ -199,21 +207,21 @@ def train_relu_classifier(
         losses = [tuple(p) for p in json.loads(about)]
     try:
         while epoch < epochs and not _stalled(losses, patience):
-            total = 0.0
-            for step in range(steps):
-                shared = spark.sparkContext.broadcast(weights)
-                take = partial(_step_gradients, weights=shared, order=[seed, epoch], step=step, size=size)
-                slopes, loss, n = rows.mapPartitionsWithIndex(take).treeReduce(_added)
+            total, made, left = 0.0, epoch * -(-n_train // batch), nothing
+            way = np.random.default_rng([seed, epoch]).permutation(sorted(sizes)).tolist()
+            for part in way:
+                shared = spark.sparkContext.broadcast((weights, moments, made, left))
+                visit = partial(_visit, shared=shared, order=[seed, epoch], batch=batch, rate=rate, last=part == way[-1])
+                ((weights, moments, made, left), loss), = spark.sparkContext.runJob(rows.mapPartitionsWithIndex(visit), list, [part])
                 shared.destroy()
                 total += loss
-                adam(weights, moments, [g / n for g in slopes], epoch * steps + step + 1, rate)
             shared = spark.sparkContext.broadcast(weights)
             found = aside.mapPartitions(partial(_held_out_loss, weights=shared)).collect()
             shared.destroy()
-            judged = sum(loss for loss, _ in found) / n_test if n_test else total / sum(sizes)
+            judged = sum(loss for loss, _ in found) / n_test if n_test else total / n_train
             if all(judged < loss for _, loss in losses):
                 best = [w.copy() for w in weights]
-            losses.append((total / sum(sizes), judged))
+            losses.append((total / n_train, judged))
             epoch += 1
             if path is not None:
                 _write(spark, [*weights, *moments, *best], json.dumps(losses), state.format(epoch))

@@ -108,3 +108,48 @@ def test_odd_rows(spark, rings, tmp_path):
     two.save(str(tmp_path / "net"))
     again = network.ReluClassifier.load(spark, str(tmp_path / "net"))
     assert again.best == two.best and all((a == b).all() for a, b in zip(again.weights, two.weights))
+
+
+def test_an_epoch_over_many_partitions_makes_whole_mini_batches(spark, rings, monkeypatch):
+    monkeypatch.setattr(network, "TASK_ROWS", 30)
+    seen, jobs, step = [], [], network.adam
+
+    def counted(context, *args, run=type(spark.sparkContext).runJob):
+        jobs.append(1)
+        return run(context, *args)
+
+    def told(weights, moments, slopes, count, rate):
+        seen.append(count)
+        step(weights, moments, slopes, count, rate)
+
+    monkeypatch.setattr(network, "adam", told)
+    sizes = {"hidden": 6, "rate": 0.01, "held_out": rings.limit(0), "seed": 3, "batch": 4, "epochs": 2}
+    monkeypatch.setattr(type(spark.sparkContext), "runJob", counted)
+    found = network.train_relu_classifier(rings, "v", "label", **sizes)
+    # 75 steps of an epoch in as many jobs as there are partitions, none of them by the driver.
+    assert 2 * 2 <= len(jobs) <= 2 * 10 and not seen
+    assert found.losses[1][0] < found.losses[0][0]
+
+
+def test_rows_that_do_not_fill_a_mini_batch_go_on(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(50, 3)).astype(np.float32), rng.integers(0, 2, 50).astype(np.int32)
+    weights = network.first_weights(3, 5, 2, 1)
+    want = [w.copy() for w in weights]
+    state, losses = (weights, [np.zeros_like(w) for w in weights * 2], 0, (x[:0], y[:0])), 0.0
+    first = [w.copy() for w in weights]
+    order = []
+    for part, (low, high) in enumerate([(0, 21), (21, 24), (24, 50)]):
+        shared = type("Shared", (), {"value": state})
+        (state, loss), = network._visit(part, [(x[low:high], y[low:high])], shared, [7, 0], 8, 0.01, high == 50)
+        losses += loss
+        order += [low + k for k in np.random.default_rng([7, 0, part]).permutation(high - low)]
+    moments = [np.zeros_like(w) for w in want * 2]
+    for step, begin in enumerate(range(0, 50, 8)):
+        mine = order[begin : begin + 8]
+        slopes, loss = network.gradient(want, x[mine], y[mine])
+        network.adam(want, moments, [g / len(mine) for g in slopes], step + 1, 0.01)
+        losses -= loss
+    assert state[2] == 7 and not len(state[3][1]) and abs(losses) < 1e-9
+    assert all((a == b).all() for a, b in zip(state[0], want))
+    assert all((a == b).all() for a, b in zip(weights, first))  # what was shared stays as it was
