@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.functions.kernels import cluster_sums
+from sigframe.functions.kernels import ORDERED_BOOK, cluster_sums, leaves_of, near_cuts, near_place_udf, ordered_blocks, rows_of
 from sigframe.operators.joins import nearest_centroid
 from sigframe.operators.vectors import rotate
-from sigframe.runtime import dealt
+from sigframe.runtime import dealt, shuffle_width
 
 CODEBOOK_SCHEMA = "token bigint, centroid array<double>"
+#: Cells of a slice of the centroids that tasks' sums are added by.
+SLICE_CELLS = 1 << 15
 
 
 @dataclass
@@ -61,7 +65,7 @@ def _seeds(train: DataFrame, vec: str, k: int, seed: int) -> np.ndarray:
 
     Copies of a vector count once.  Each next one is the end of a chain of draws that
     prefers vectors far from those taken (k-means++ by Markov chains), so the cost is
-    ``k**2`` distances on the driver, which holds the pool.
+    ``2 k**2`` distances on the driver, which holds the pool.
     """
     pool = 2 * k + 256
     keyed = train.select(F.xxhash64(vec, F.lit(seed)).alias("h"), vec)
@@ -83,19 +87,21 @@ def _apart(pool: np.ndarray, k: int, seed: int, chain: int = 32) -> np.ndarray:
         return pool
     draw = np.random.default_rng(seed)
     squares = (pool * pool).sum(axis=1)
+    lifted = np.vstack([-2 * pool.T, squares, np.ones(len(pool))])
+    near = np.full(len(pool), np.inf)  # squared distance to the nearest one taken
     left = draw.permutation(len(pool)).tolist()
     taken = [left.pop()]
     while len(taken) < k:
+        new = taken[-1]
+        np.minimum(near, np.array([*pool[new], 1.0, squares[new]]) @ lifted, out=near)
         places = draw.integers(0, len(left), chain)
-        options = np.array(left)[places] if len(left) < 4096 else np.array([left[p] for p in places])
-        gaps = squares[options][:, None] - 2 * pool[options] @ pool[taken].T + squares[taken]
-        near = np.maximum(gaps.min(axis=1), 0)
+        options = [left[p] for p in places]
         at = 0
         for other, chance in enumerate(draw.random(chain)):
-            if near[other] > chance * near[at]:
+            if max(near[options[other]], 0.0) > chance * max(near[options[at]], 0.0):
                 at = other
         place = places[at]
-        taken.append(int(options[at]))
+        taken.append(options[at])
         left[place] = left[-1]
         left.pop()
     return pool[taken]
@@ -107,35 +113,36 @@ def fit_kmeans(
     """Centroids and cost of k-means by Lloyd's algorithm, also for thousands of clusters.
 
     Each round is one job: tasks assign their rows by matrix products and add up
-    their clusters, Spark adds the tasks' sums, and the driver gets one row per
-    centroid.  Vectors that are not :func:`finite` are left out.  A cluster left empty restarts beside the largest one.  With fewer
-    than ``k`` different vectors there are as many centroids as vectors.
+    their clusters, a shuffle by slices of centroids adds the tasks' sums, and the driver
+    gets one vector per centroid.  Rows are held as blocks in which neighbours lie together,
+    so a run of rows is compared with the centroids around it only; the result is that of
+    comparing all.  Vectors that are not :func:`finite` are left out.  A cluster left empty
+    restarts beside the largest one.  With fewer than ``k`` different vectors there are as
+    many centroids as vectors.
     """
     spark = df.sparkSession
     train = dealt(df.where(finite(vec)).select(vec), vec).persist()
+    blocks = None
     cost = float("inf")
     try:
         centroids = _seeds(train, vec, k, seed)
+        blocks = _blocks(train, vec, centroids)
+        per = sum(blocks.map(len).collect()) / len(centroids)
+        train.unpersist()
         for _ in range(iters):
-            parts = train.mapInArrow(
-                cluster_sums(spark, centroids),
-                "token bigint, n bigint, sums array<double>, cost double",
-            )
-            added = Summarizer.sum(array_to_vector(F.col("sums")))
-            rows = (
-                parts.groupBy("token")
-                .agg(
-                    F.sum("n").alias("n"), F.sum("cost").alias("cost"),
-                    vector_to_array(added).alias("sums"),
-                )
-                .collect()
-            )
+            leaves = leaves_of(centroids, ORDERED_BOOK)
+            shared = spark.sparkContext.broadcast((centroids, leaves))
+            parts = blocks.mapPartitions(partial(cluster_sums, shared=shared, cells=SLICE_CELLS, per=per))
+            slices = -(-centroids.size // SLICE_CELLS)
+            found = parts.reduceByKey(_added, min(slices, shuffle_width(spark))).collect()
+            shared.destroy()
             sizes = np.zeros(len(centroids), dtype=np.int64)
             moved = centroids.copy()
-            for r in rows:
-                sizes[r["token"]] = r["n"]
-                moved[r["token"]] = np.array(r["sums"]) / r["n"]
-            cost = sum(r["cost"] for r in rows)
+            for at, (n, sums, _) in found:
+                begin = at * max(1, SLICE_CELLS // centroids.shape[1])
+                used = begin + np.flatnonzero(n)
+                sizes[used], moved[used] = n[n > 0], sums[n > 0] / n[n > 0, None]
+            cost = sum(c for _, (_, _, c) in sorted(found, key=lambda f: f[0]))
             for empty in np.flatnonzero(sizes == 0):
                 largest = sizes.argmax()
                 nudge = 1e-3 * (np.abs(moved[largest]) + 1e-6)
@@ -147,9 +154,39 @@ def fit_kmeans(
             centroids = moved
     finally:
         train.unpersist()
+        if blocks is not None:
+            blocks.unpersist()
     return centroids, cost
 
 
+def _blocks(train: DataFrame, vec: str, seeds: np.ndarray) -> RDD:
+    """The vectors as matrices whose neighbouring rows lie together, held for all rounds.
+
+    The rows of a task lie together too, in parts of the space that the seeds give; Spark cuts
+    their order into equal ranges, whatever a part holds.
+    """
+    k, width = seeds.shape
+    if leaves_of(seeds, ORDERED_BOOK) is not None:
+        cuts = near_cuts(seeds, min(10, (k // 8).bit_length() - 1))
+        place = near_place_udf(train.sparkSession, cuts)(F.col(vec))
+        placed = train.select(vec, place.alias("_place"), F.xxhash64(vec).alias("_mixed"))
+        train = placed.repartitionByRange(shuffle_width(train.sparkSession), "_place", "_mixed").select(vec)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, _ = rows_of(batch.column(0), width)
+            yield pa.RecordBatch.from_pydict({"x": [rows.tobytes()]})
+
+    def opened(part: Iterator) -> Iterator[np.ndarray]:
+        return ordered_blocks(np.frombuffer(r["x"]).reshape(-1, width) for r in part)
+
+    return train.mapInArrow(packed, "x binary").rdd.mapPartitions(opened).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _added(a: tuple, b: tuple) -> tuple:
+    return tuple(x + y for x, y in zip(a, b))
+
+
 def codebook_of(spark: SparkSession, centroids: Iterable[np.ndarray]) -> DataFrame:
     """Centroids as a table; they are k x d values, which the driver holds anyway."""
     rows = [(i, c.tolist()) for i, c in enumerate(centroids)]

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigframe.functions import kernels
 from sigframe.functions.kernels import nearest_rows
 from sigframe.operators import joins
 
@@ -100,3 +101,53 @@ def test_hot_key_lookup_keeps_all_rows(spark):
     found = joins.lookup_word_vector(df, vectors)
     assert found.count() == 3000
     assert found.where("word_vector IS NOT NULL").count() == 1000
+
+
+@pytest.mark.parametrize("kind", ["even", "lattice", "copies", "outliers", "line"])
+def test_pruned_search_is_that_of_all_centroids(kind):
+    rng = np.random.default_rng(7)
+    centroids, rows = rng.normal(size=(700, 3)), rng.normal(size=(3000, 3))
+    if kind == "lattice":  # many ties
+        centroids, rows = rng.integers(0, 9, (700, 3)).astype(float), rng.integers(0, 18, (3000, 3)) / 2.0
+    elif kind == "copies":
+        centroids[300:] = centroids[5]
+        rows[1000:] = rows[3]
+    elif kind == "outliers":
+        centroids[::50] *= 1e9
+        rows[::70] *= 1e8
+    elif kind == "line":
+        centroids[:, 1:], rows[:, 1:] = 1e6, 1e6
+    want, far = kernels.nearest_rows(rows, centroids)
+    leaves = kernels.leaves_of(centroids, 1)
+    found, distance = kernels.nearest_rows(rows, centroids, leaves)
+    assert (found == want).all() and (distance == far).all()
+    order = kernels.near_order(rows, 64)
+    assert sorted(order) == list(range(3000))
+    for per in (0.01, 4.0, 1e6):
+        assert (kernels.nearest_rows(rows[order], centroids, leaves, per)[0] == want[order]).all()
+    # A row without a distance keeps its place.
+    rows[7] = [np.nan, 1.0, np.inf]
+    found, distance = kernels.nearest_rows(rows, centroids, leaves)
+    assert not np.isfinite(distance[7]) and (np.delete(found, 7) == np.delete(want, 7)).all()
+
+
+def test_pruned_search_compares_few(monkeypatch):
+    rng = np.random.default_rng(8)
+    centroids, rows, cells = rng.random((4096, 3)), rng.random((40_000, 3)), []
+    rank = kernels._rank
+    monkeypatch.setattr(kernels, "_rank", lambda x, c, most: cells.append(len(x) * c.shape[1]) or rank(x, c, most))
+    kernels.nearest_rows(rows, centroids, kernels.leaves_of(centroids, kernels.LARGE_BOOK))
+    assert sum(cells) < 0.2 * len(rows) * len(centroids)
+
+
+def test_search_with_a_large_codebook_keeps_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "LARGE_BOOK", 16)
+    rng = np.random.default_rng(9)
+    centroids = rng.normal(size=(50, 2))
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 2)))]
+    odd = [(900, None), (901, [float("nan"), 1.0]), (902, [None, 1.0]), (903, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows + odd, "id int, v array<double>").repartition(3)
+    book = spark.createDataFrame([(k + 10, c.tolist()) for k, c in enumerate(centroids)], "token bigint, centroid array<double>")
+    found = {r["id"]: r["token"] for r in joins.nearest_centroid(df, "v", book).collect()}
+    want = 10 + kernels.nearest_rows(np.array([v for _, v in rows]), centroids)[0]
+    assert [found[i] for i in range(900)] == want.tolist() and [found[i] for i in range(900, 904)] == [None] * 4

@@ -202,3 +202,23 @@ def test_models_round_trip(spark, blobs, tmp_path):
     assert classifier.FittedClassifier.load(spark, str(tmp_path / "both")).vec == "v"
     again = classifier.FittedClassifier(sinks.load_model(spark, str(tmp_path / "net")), "v")
     assert again.transform(blobs).select("id", "prediction").collect() == fitted.transform(blobs).select("id", "prediction").collect()
+
+
+def test_kmeans_over_placed_rows_is_lloyds_algorithm(spark):
+    # Enough centroids for rows to be placed by the space; a quarter of the rows are one vector.
+    rng = np.random.default_rng(6)
+    data = np.vstack([rng.normal(size=(1500, 2)), np.full((500, 2), 0.25)])
+    df = spark.createDataFrame([(r.tolist(),) for r in data] + [(None,), ([float("nan"), 0.0],)], "v array<double>").repartition(5)
+    seeds = quantizer._seeds(df.where(quantizer.finite("v")), "v", 300, 42)
+    found, cost = quantizer.fit_kmeans(df, "v", 300, iters=4, seed=42)
+    assert len(seeds) == 300 and np.allclose(found, lloyd(data, seeds, 4), atol=1e-9)
+    last = lloyd(data, seeds, 3)
+    assert cost == pytest.approx(((data[:, None] - last[None]) ** 2).sum(2).min(1).sum())
+
+
+def test_a_round_of_kmeans_sends_slices(spark, monkeypatch):
+    monkeypatch.setattr(quantizer, "SLICE_CELLS", 12)
+    data = np.random.default_rng(7).normal(size=(300, 3))
+    df = spark.createDataFrame([(r.tolist(),) for r in data], "v array<double>").repartition(4)
+    seeds = quantizer._seeds(df, "v", 11, 42)
+    assert np.allclose(quantizer.fit_kmeans(df, "v", 11, iters=3)[0], lloyd(data, seeds, 3), atol=1e-9)
