@@ -7,9 +7,10 @@ task returns the best split of each node, so the driver sees one row per slice,
 node.  Gradients are rounded to whole units before they are added: sums do not depend on
 the order, and a tree does not depend on how rows lie in partitions.
 
-Rows are held as blocks of bytes with their scores.  Trees of the last rounds are applied on
-the way; every ``keep_every`` rounds the scores are written to the shared folder, so that
-neither the work of a round nor the loss of an executor grows with the rounds.
+Rows are held as blocks of bytes with their scores.  A round adds what the trees of the round
+before give to the scores held, once; every ``keep_every`` rounds the scores are written to the
+shared folder, so that neither the work of a round nor the loss of an executor grows with the
+rounds.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from sigframe.functions.kernels import arrays_from, rows_of
 from sigframe.plans.quantizer import finite
 from sigframe.runtime import durable, shuffle_width
 
-#: Rows of a block, cells of a slice of the histograms, and numbers of a model.
-BLOCK_ROWS, SLICE_CELLS, MAX_MODEL = 4096, 1 << 19, 50_000_000
+#: Rows of a block, cells of a slice of the histograms, and numbers of a model.  A task sends a
+#: histogram whatever its rows, so it needs rows enough to be worth it.
+BLOCK_ROWS, SLICE_CELLS, MAX_MODEL = 16_384, 1 << 19, 50_000_000
 UNITS = 2.0**24
 BLOCKS = "n int, x binary, y binary, w binary, f binary"
 
@@ -170,30 +172,37 @@ def _with_scores(blocks: DataFrame, recent: tuple) -> DataFrame:
     return blocks.mapInArrow(run, BLOCKS)
 
 
-def _histograms(rows: Iterator[tuple], recent: tuple, level: int, growing: tuple, unit: float, slices: list, bins: int) -> Iterator[tuple]:
+def _advanced(row: tuple, trees: tuple) -> tuple:
+    """A held block with the scores of some trees added."""
+    x, y, w, f = _opened(row)
+    return *row[:4], (f + _scores(x, *trees)).tobytes()
+
+
+def _histograms(rows: Iterator[tuple], level: int, growing: tuple, unit: float, slices: list, bins: int) -> Iterator[tuple]:
     """``(slice, (sums, loss, weight))`` of a task's rows: gradients (G, then H) by class,
     node, feature of the slice and bin, in whole units."""
-    held = [_opened(row) for row in rows]
+    held, loss, total = [], 0.0, 0.0
+    for row in rows:
+        x, y, w, f = _opened(row)
+        p = softmax(f)
+        mine = np.arange(len(y)), y
+        loss -= float((w * np.log(np.maximum(p[mine], 1e-300))).sum())
+        total += float(w.sum())
+        h = 2.0 * p * (1.0 - p)
+        p[mine] -= 1.0
+        g, h = (np.rint(v * w[:, None] / unit) for v in (p, h))
+        held.append([np.ascontiguousarray(a.T) for a in (x, _places(x, *growing, level) * bins, g, h)])
     for k, (low, high) in enumerate(slices if held else []):
-        sums, loss, total = None, 0.0, 0.0
-        for x, y, w, f in held:
-            p = softmax(f + _scores(x, *recent) if len(recent[0]) else f)
-            mine = np.arange(len(y)), y
-            loss -= float((w * np.log(np.maximum(p[mine], 1e-300))).sum())
-            total += float(w.sum())
-            h = 2.0 * p * (1.0 - p)
-            p[mine] -= 1.0
-            g, h = (np.rint(v * w[:, None] / unit) for v in (p, h))
-            node = _places(x, *growing, level)
-            classes, part = f.shape[1], high - low
-            if sums is None:
-                sums = np.zeros((2, classes, 2**level * part * bins))
-            cell = np.arange(part) * bins + x[:, low:high]
-            for c in range(classes):
-                at = (cell + node[:, c : c + 1] * (part * bins)).ravel()
-                for s, v in enumerate((g, h)):
-                    sums[s, c] += np.bincount(at, np.repeat(v[:, c], part), sums.shape[2])
-        yield k, (sums.astype(np.int64), loss, total)
+        sums = np.zeros((2, len(held[0][1]), 2**level, high - low, bins))
+        for x, node, g, h in held:
+            for j in range(low, high):
+                # One feature and class at a time: few cells, which stay in the processor's cache.
+                bin_of = x[j].astype(np.intp)
+                for c in range(len(node)):
+                    at = bin_of + node[c]
+                    for s, v in enumerate((g, h)):
+                        sums[s, c, :, j - low] += np.bincount(at, v[c], 2**level * bins).reshape(-1, bins)
+        yield k, (sums.reshape(2, len(held[0][1]), -1).astype(np.int64), loss, total)
 
 
 def _added(a: tuple, b: tuple) -> tuple:
@@ -238,7 +247,6 @@ def train_boosted_trees(
     seen = rows.agg(F.max("y").alias("y"), F.max("w").alias("w"), F.count(F.lit(1)).alias("n")).first()
     if not seen["n"]:
         raise ValueError("there are no rows to train on")
-    # A level is one job, so a task needs rows enough to be worth it.
     rows = rows.repartition(min(shuffle_width(spark), -(-seen["n"] // BLOCK_ROWS)), F.xxhash64("v", "y", "w"))
     classes, unit = max(2, seen["y"] + 1), max(seen["w"], 1e-300) / UNITS
     inner, ends = 2**depth - 1, 2**depth
@@ -253,7 +261,7 @@ def train_boosted_trees(
     leaves = np.zeros((trees, classes, ends))
     losses: list[float] = []
     blocks = durable(_packed(rows, cuts, classes), "blocks")
-    held = _held(blocks)
+    held = before = _held(blocks)
     since = 0
     try:
         for r in range(trees):
@@ -261,9 +269,11 @@ def train_boosted_trees(
                 blocks = durable(_with_scores(blocks, (features[since:r], steps[since:r], leaves[since:r])), "blocks")
                 held.unpersist()
                 held, since = _held(blocks), r
-            recent = (features[since:r], steps[since:r], leaves[since:r])
+            elif r > since:
+                last = (features[r - 1 : r], steps[r - 1 : r], leaves[r - 1 : r])
+                before, held = held, held.map(partial(_advanced, trees=last)).persist(StorageLevel.MEMORY_AND_DISK)
             for level in range(depth):
-                add = partial(_histograms, recent=recent, level=level, growing=(features[r], steps[r]), unit=unit, slices=slices, bins=bins)
+                add = partial(_histograms, level=level, growing=(features[r], steps[r]), unit=unit, slices=slices, bins=bins)
                 pick = partial(_best_splits, level=level, unit=unit, slices=slices, bins=bins, l2=l2, least=least)
                 sums = held.mapPartitions(add)
                 if held.getNumPartitions() > 1:
@@ -271,6 +281,8 @@ def train_boosted_trees(
                 found = sorted(sums.map(lambda kv, pick=pick: pick(*kv)).collect(), key=lambda s: s[0])
                 if level == 0:
                     losses.append(found[0][1] / found[0][2])
+                    if before is not held:
+                        before.unpersist()
                 if not _grow(found, level, depth, features[r], steps[r], leaves[r], rate, l2):
                     break
             if level == 0 and depth > 0 and (steps[r] == bins).all():
@@ -278,6 +290,7 @@ def train_boosted_trees(
                 break
     finally:
         held.unpersist()
+        before.unpersist()
     thresholds = np.full(steps.shape, np.inf)
     for j, c in enumerate(cuts):
         mine = (features == j) & (steps < bins)

@@ -114,3 +114,38 @@ def test_feature_cuts_are_quantiles(spark):
     cuts = boosting.feature_cuts(df, "v", 4)
     assert cuts[0].tolist() == [24.0, 49.0, 74.0] and cuts[1].tolist() == [1.0]
     assert df.select(F.size("v")).distinct().count() == 1
+
+
+@pytest.mark.parametrize("level", [0, 1, 2])
+def test_a_round_reads_held_scores_and_adds_up_every_cell(level):
+    rng = np.random.default_rng(4)
+    n, d, classes, bins, unit = 40, 3, 2, 8, 1 / boosting.UNITS
+    x, y, w = rng.integers(0, bins, (n, d)).astype(np.uint8), rng.integers(0, classes, n).astype(np.int32), rng.random(n)
+    f = rng.normal(size=(n, classes))
+    features, steps = rng.integers(0, d, (2, classes, 7)).astype(np.int32), rng.integers(0, bins, (2, classes, 7))
+    leaves = rng.normal(size=(2, classes, 8))
+    row = (n, x.tobytes(), y.tobytes(), w.tobytes(), f.tobytes())
+    held = boosting._advanced(row, (features[:1], steps[:1], leaves[:1]))
+    f = f + boosting._scores(x, features[:1], steps[:1], leaves[:1])
+    assert held[:4] == row[:4] and np.allclose(np.frombuffer(held[4]).reshape(n, classes), f)
+    slices = [(0, 2), (2, 3)]
+    found = dict(boosting._histograms([held], level, (features[1], steps[1]), unit, slices, bins))
+    p = boosting.softmax(f)
+    own = np.arange(classes) == y[:, None]
+    node = boosting._places(x, features[1], steps[1], level)
+    for k, (low, high) in enumerate(slices):
+        want = np.zeros((2, classes, 2**level, high - low, bins), np.int64)
+        for i in range(n):
+            for c in range(classes):
+                for j in range(low, high):
+                    want[0, c, node[i, c], j - low, x[i, j]] += np.rint((p[i, c] - own[i, c]) * w[i] / unit)
+                    want[1, c, node[i, c], j - low, x[i, j]] += np.rint(2 * p[i, c] * (1 - p[i, c]) * w[i] / unit)
+        sums, loss, total = found[k]
+        assert (sums.reshape(want.shape) == want).all()
+        assert loss == pytest.approx(-(w * np.log(p[own])).sum()) and total == pytest.approx(w.sum())
+
+
+def test_nothing_stays_held(spark, labelled):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    boosting.train_boosted_trees(labelled[0], "v", "label", trees=5, depth=2, keep_every=3)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
