@@ -222,3 +222,17 @@ def test_a_round_of_kmeans_sends_slices(spark, monkeypatch):
     df = spark.createDataFrame([(r.tolist(),) for r in data], "v array<double>").repartition(4)
     seeds = quantizer._seeds(df, "v", 11, 42)
     assert np.allclose(quantizer.fit_kmeans(df, "v", 11, iters=3)[0], lloyd(data, seeds, 3), atol=1e-9)
+
+
+def test_frames_are_tokenized_once_for_training(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(f"f{i // 30}", i / 8.0, rng.normal(size=4).tolist()) for i in range(60)] + [("f0", None, None)]
+    frames = spark.createDataFrame(rows, "file string, timestamp double, mfcc array<double>")
+    tokenizer = quantizer.build_tokenizer(frames, "mfcc", k=5, iters=2)
+    got = []
+    monkeypatch.setattr(sequence_embedding, "train_token_vectors", lambda df, *args: got.append(df))
+    sequence_embedding.train_frame_vectors(frames, tokenizer, sample=1e-1)
+    assert "ArrowEvalPython" not in got[0]._jdf.queryExecution().executedPlan().toString()
+    sequence_embedding.train_frame_vectors(frames, tokenizer)
+    want = quantizer.tokenize(frames, tokenizer).select("file", "timestamp", "token").collect()
+    assert sorted(got[1].collect(), key=str) == sorted(want, key=str)
