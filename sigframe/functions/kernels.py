@@ -377,6 +377,10 @@ def cluster_sums(
             yield begin // step, (n[mine], sums[mine], float(cost[mine].sum()))
 
 
+def added(a: tuple, b: tuple) -> tuple:
+    return tuple(x + y for x, y in zip(a, b))
+
+
 def power_bands_udf(spark: SparkSession, n_fft: int, window: np.ndarray, bank: np.ndarray):
     """UDF: frame of samples -> power in each band of ``bank`` (bands x bins).
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.functions.kernels import ORDERED_BOOK, cluster_sums, leaves_of, near_cuts, near_place_udf, ordered_blocks, rows_of
+from sigframe.functions.kernels import ORDERED_BOOK, added, cluster_sums, leaves_of, near_cuts, near_place_udf, ordered_blocks, rows_of
 from sigframe.operators.joins import nearest_centroid
 from sigframe.operators.vectors import rotate
 from sigframe.runtime import dealt, shuffle_width
@@ -134,7 +134,7 @@ def fit_kmeans(
             shared = spark.sparkContext.broadcast((centroids, leaves))
             parts = blocks.mapPartitions(partial(cluster_sums, shared=shared, cells=SLICE_CELLS, per=per))
             slices = -(-centroids.size // SLICE_CELLS)
-            found = parts.reduceByKey(_added, min(slices, shuffle_width(spark))).collect()
+            found = parts.reduceByKey(added, min(slices, shuffle_width(spark))).collect()
             shared.destroy()
             sizes = np.zeros(len(centroids), dtype=np.int64)
             moved = centroids.copy()
@@ -183,10 +183,6 @@ def _blocks(train: DataFrame, vec: str, seeds: np.ndarray) -> RDD:
     return train.mapInArrow(packed, "x binary").rdd.mapPartitions(opened).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _added(a: tuple, b: tuple) -> tuple:
-    return tuple(x + y for x, y in zip(a, b))
-
-
 def codebook_of(spark: SparkSession, centroids: Iterable[np.ndarray]) -> DataFrame:
     """Centroids as a table; they are k x d values, which the driver holds anyway."""
     rows = [(i, c.tolist()) for i, c in enumerate(centroids)]
