@@ -236,3 +236,16 @@ def test_frames_are_tokenized_once_for_training(spark, monkeypatch):
     sequence_embedding.train_frame_vectors(frames, tokenizer)
     want = quantizer.tokenize(frames, tokenizer).select("file", "timestamp", "token").collect()
     assert sorted(got[1].collect(), key=str) == sorted(want, key=str)
+
+
+def test_a_saved_rotated_tokenizer_of_placed_rows_gives_the_same_tokens(spark, tmp_path, monkeypatch):
+    from sigframe.functions import kernels
+
+    monkeypatch.setattr(kernels, "LARGE_BOOK", 64)
+    data = np.random.default_rng(8).normal(size=(1200, 3))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(data)], "id long, v array<double>").repartition(4)
+    built = quantizer.build_pca_tokenizer(df, "v", k=300, iters=2)
+    built.save(str(tmp_path / "tok"))
+    loaded = quantizer.Tokenizer.load(spark, str(tmp_path / "tok"), rotated=True)
+    one, two = ({r["id"]: r["token"] for r in quantizer.tokenize(df, t, "v").collect()} for t in (built, loaded))
+    assert one == two and len(set(one.values())) == 300 and kernels.leaves_of(np.eye(3), 3) is not None
