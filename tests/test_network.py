@@ -153,3 +153,18 @@ def test_rows_that_do_not_fill_a_mini_batch_go_on(spark):
     assert state[2] == 7 and not len(state[3][1]) and abs(losses) < 1e-9
     assert all((a == b).all() for a, b in zip(state[0], want))
     assert all((a == b).all() for a, b in zip(weights, first))  # what was shared stays as it was
+
+
+def test_held_out_rows_judge_the_best_epoch_over_many_partitions(rings, monkeypatch):
+    monkeypatch.setattr(network, "TASK_ROWS", 60)
+    train, aside = rings.where("id >= 60"), rings.where("id < 60")
+    model = network.train_relu_classifier(train, "v", "label", hidden=8, epochs=4, rate=0.02, held_out=aside)
+    own = "avg(-ln(probability[label]))"
+    judged = model.transform(aside).selectExpr(f"{own} AS loss").first()["loss"]
+    assert judged == pytest.approx(model.losses[model.best][1], abs=1e-9)
+    assert model.losses[-1][0] < model.losses[0][0]
+    # 240 rows in mini-batches of 64: four steps an epoch, whatever the partitions.
+    calls, visit = [], network._visit
+    monkeypatch.setattr(network, "partial", lambda f, **kept: calls.append(kept.get("last")) or __import__("functools").partial(f, **kept))
+    network.train_relu_classifier(train, "v", "label", hidden=8, epochs=1, rate=0.02, held_out=aside)
+    assert visit is network._visit and calls.count(True) == 1 and 1 <= calls.count(False) <= 3
